@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import language_id, mixing, packing, quality_classifier, quality_rules, warc
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.predict_languages(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "held_out", "lang_pred", "score", "size(spans) AS n_spans")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -16,11 +33,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {
-    "op6_mixing": op6_mixing,
-    "op7_quality_rules": op7_quality_rules,
-}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op4_warc, op5_token_packing, op6_mixing, op7_quality_rules)}
 
 ORACLES = {
+    "op4_warc": warc.ORACLE,
     "op6_mixing": mixing.oracle(),
 }
