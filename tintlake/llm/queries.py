@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, packing, quality_classifier, quality_rules, warc
+from . import decontamination, language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -33,9 +37,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op4_warc, op5_token_packing, op6_mixing, op7_quality_rules)}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_decontamination, op4_warc, op5_token_packing, op6_mixing, op7_quality_rules, op8_near_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op4_warc": warc.ORACLE,
+    "op10_line_dedup": line_dedup.oracle(),
     "op6_mixing": mixing.oracle(),
 }
