@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,6 @@ from .common import cut, fresh
 SHINGLE = 5
 BANDS, ROWS = 40, 4
 PERMUTATIONS = BANDS * ROWS // 2
-#: Rounds of pivots before what is left is compared across components.
-ROUNDS = 3
 #: Classes up to which the list of those that share a bucket is broadcast (32 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -146,6 +144,30 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def set_array(sets: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in sets], pa.list_(pa.int64()))
+
+
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of different components that can be similar, by exact prefix filtering.
+
+    Only shingles that two components or more have can be in the intersection. A class's are ranked, rare ones first;
+    a similar pair has 7 * intersection >= 3 * (n + m), so the first shingle that it shares, in this order, has that
+    many left from its rank on, on both sides.
+    """
+    own = sets.join(members.select("node", "root").distinct(), "node").withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
+    shingles = cut(own.select("node", "root", "n", F.explode(set_array("shingles")).alias("shingle")), "shingles")
+    several = shingles.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("df")).where("r1 <> r2").select("shingle", "df")
+    by_node = Window.partitionBy("node")
+    left = F.count("*").over(by_node) - F.row_number().over(by_node.orderBy("df", "shingle")) + 1
+    x = shingles.join(several, "shingle").withColumn("left", left).where("4 * left >= 3 * n")
+    x = cut(x.select("shingle", F.col("node").alias("a"), "root", "n", "left"), "prefixes")
+    y = x.select("shingle", F.col("a").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"), F.col("left").alias("left_b"))
+    could = (F.col("root") > F.col("root_b")) & (7 * F.least("left", "left_b") >= 3 * (F.col("n") + F.col("m")))
+    return x.join(y, "shingle").where(could).select("a", "b").distinct()
+
+
 class _Classes:
     """The classes of a table of documents, and what is found of them on the way."""
 
@@ -179,37 +201,24 @@ class _Classes:
         members = self.members()
         if members.isEmpty():
             return None
-        sets, links, roots, tried = self.sets(members), None, None, None
-        left, sets_b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        sets = self.sets(members)
+        x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
         def hold(pairs: DataFrame) -> DataFrame:
-            return cut(pairs.join(left, "a").join(sets_b, "b").where(similar("x", "y")).select("a", "b"), "links")
+            return cut(pairs.join(x, "a").join(y, "b").where(similar("x", "y")).select("a", "b"), "links")
 
+        pivots = members.groupBy("band").agg(F.max(F.struct("pull", "node", "n")).alias("p")).select("band", F.col("p.node").alias("b"), F.col("p.n").alias("m"))
         could = 4 * F.least("n", "m") >= 3 * F.greatest("n", "m")  # the sizes alone rule many out
-        for _ in range(ROUNDS):
-            pivots = members.groupBy("band").agg(F.max(F.struct("pull", "node", "n")).alias("p")).select("band", F.col("p.node").alias("b"), F.col("p.n").alias("m"))
-            near = members.join(pivots, "band")
-            pairs = near.where(F.col("node") != F.col("b"))
-            if roots is not None:
-                pairs = pairs.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left").where(~F.col("root").eqNullSafe(F.coalesce("root_b", "b")))
-            pairs = pairs.where(could).select(F.col("node").alias("a"), "b").distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = cut(pairs, "pairs")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            new = hold(pairs)
-            links = new if links is None else links.unionByName(new)
-            roots = cut(components(links), "roots")
-            # the pivot has been compared with all of its bucket
-            members = near.where(F.col("node") != F.col("b")).select("band", "node", "n", "pull").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_ = members.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
-            members = cut(members.join(open_, "band"), "members")
-            if members.isEmpty():
-                return links
-        other = members.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-        pairs = members.join(other, "band").where((F.col("root") > F.col("root_b")) & could).select(F.col("node").alias("a"), "b").distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        return links.unionByName(hold(cut(pairs, "pairs")))
+        pairs = cut(members.join(pivots, "band").where((F.col("node") != F.col("b")) & could).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+        links = hold(pairs)
+        members = members.select("band", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = cut(members, "members")
+        several = members.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where("r1 <> r2 AND size > 2").select("band")
+        left = cut(members.join(several, "band"), "members")
+        if left.isEmpty():
+            return links
+        more = _across(left, sets).join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        return links.unionByName(hold(cut(more, "pairs")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
