@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, warc
+from . import decontamination, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, warc
 from .common import table
 
 
@@ -41,11 +41,15 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_decontamination, op4_warc, op5_token_packing, op6_mixing, op7_quality_rules, op8_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_decontamination, op4_warc, op5_token_packing, op6_mixing, op7_quality_rules, op8_near_dedup, op9_license_scan, op10_line_dedup)}
 
 ORACLES = {
     "op4_warc": warc.ORACLE,
