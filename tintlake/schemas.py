@@ -12,23 +12,34 @@ KINDS = ("series", "movie")
 PALETTE_VERSION = 3
 MAX_ATTEMPTS = 5
 
-_ddl = T.StructType.fromDDL
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 
-TITLES = _ddl(
-    "media_type STRING, tmdb_id BIGINT, title STRING, adult INT, popularity DOUBLE, poster_path STRING, logo_path STRING, "
-    + ", ".join(f"{s}_hex STRING, {s}_ratio DOUBLE" for s in SLOTS) + ", " + ", ".join(f"{r}_hex STRING" for r in ROLES)
-    + ", status STRING, error STRING, attempts INT, palette_version INT, updated_at STRING"
+
+def struct(*fields: str | T.StructField) -> T.StructType:
+    """A schema of 'name type' fields; it needs no session."""
+    return T.StructType([x if isinstance(x, T.StructField) else T.StructField(x.split()[0], _KINDS[x.split()[1]]) for x in fields])
+
+
+def _list(name: str, *fields: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(struct(*fields)))
+
+
+TITLES = struct(
+    "media_type string", "tmdb_id long", "title string", "adult int", "popularity double", "poster_path string", "logo_path string",
+    *[f for s in SLOTS for f in (f"{s}_hex string", f"{s}_ratio double")], *[f"{r}_hex string" for r in ROLES],
+    "status string", "error string", "attempts int", "palette_version int", "updated_at string",
 )
-TVDB_TITLES = _ddl(
-    "kind STRING, tvdb_id BIGINT, title STRING, score DOUBLE, image STRING, logo STRING, status STRING, error STRING, attempts INT, palette_version INT, "
-    + ", ".join(f"{r} STRING" for r in ROLES) + ", dirty INT, seen INT, updated_at STRING"
+TVDB_TITLES = struct(
+    "kind string", "tvdb_id long", "title string", "score double", "image string", "logo string", "status string", "error string", "attempts int", "palette_version int",
+    *[f"{r} string" for r in ROLES], "dirty int", "seen int", "updated_at string",
 )
-STATE = _ddl("key STRING, value STRING")
-MOVIE_EXPORT = _ddl("id BIGINT, original_title STRING, adult BOOLEAN, popularity DOUBLE")
-TV_EXPORT = _ddl("id BIGINT, original_name STRING, adult BOOLEAN, popularity DOUBLE")
-CHANGES = _ddl("results ARRAY<STRUCT<id: BIGINT>>, page INT, total_pages INT")
-DETAILS = _ddl("id BIGINT, title STRING, name STRING, adult BOOLEAN, poster_path STRING, images STRUCT<logos: ARRAY<STRUCT<file_path: STRING, iso_639_1: STRING, vote_average: DOUBLE, width: INT>>>")
-LISTING = _ddl("data ARRAY<STRUCT<id: BIGINT, name: STRING, score: DOUBLE, image: STRING>>, links STRUCT<next: STRING>")
-ARTWORK_TYPES = _ddl("id INT, name STRING, slug STRING, recordType STRING")
-ARTWORKS = _ddl("id BIGINT, artworks ARRAY<STRUCT<type: INT, language: STRING, score: DOUBLE, image: STRING>>")
-MANIFEST = _ddl("description STRING, titles ARRAY<STRUCT<media_type: STRING, id: BIGINT, name: STRING, category: STRING, expect: STRING>>")
+STATE = struct("key string", "value string")
+MOVIE_EXPORT = struct("id long", "original_title string", "adult boolean", "popularity double")
+TV_EXPORT = struct("id long", "original_name string", "adult boolean", "popularity double")
+CHANGES = struct(_list("results", "id long"), "page int", "total_pages int")
+_IMAGES = T.StructField("images", struct(_list("logos", "file_path string", "iso_639_1 string", "vote_average double", "width int")))
+DETAILS = struct("id long", "title string", "name string", "adult boolean", "poster_path string", _IMAGES)
+LISTING = struct(_list("data", "id long", "name string", "score double", "image string"), T.StructField("links", struct("next string")))
+ARTWORK_TYPES = struct("id int", "name string", "slug string", "recordType string")
+ARTWORKS = struct("id long", _list("artworks", "type int", "language string", "score double", "image string"))
+MANIFEST = struct("description string", _list("titles", "media_type string", "id long", "name string", "category string", "expect string"))
