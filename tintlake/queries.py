@@ -5,6 +5,7 @@ A catalogue is derived from the tables by SQL that both engines run: customers a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 
 from .functions import colour, text
 from .operators import catalogue, logos, palettes, pixels, ranking, search
+from .plans.cut import shared_folder
+from .plans.store import Store
 from .schemas import ROLES, SLOTS
+from .schemas import TITLES as TITLE_SCHEMA
 from .sources import listings
+from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -342,6 +347,37 @@ def palette_cache(spark, d):
     return catalogue.palette_cache(titles(spark, d)).select("pair", F.coalesce("base_hex", F.lit("-")).alias("base"))
 
 
+# ---------------------------------------------------------------- streams: the tables as files that arrive
+
+
+def _arriving(spark, pages: DataFrame) -> tuple[str, Store]:
+    """A folder of JSON files, one a page, and an empty store beside it."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    pages.write.option("maxRecordsPerFile", 1).json(f"{folder}/in")
+    return folder, Store(spark, f"{folder}/store")
+
+
+@query(_T + """ SELECT t.media_type, t.tmdb_id, CASE WHEN c AND status <> 'done' THEN 'pending' ELSE status END AS status, CASE WHEN c THEN 0 ELSE attempts END AS attempts, CASE WHEN c AND status = 'done' THEN NULL ELSE palette_version END AS palette_version
+  FROM (SELECT *, media_type = 'movie' AND tmdb_id IN (SELECT user_id FROM events WHERE user_id <> 0) AS c FROM titles) t""")
+def streaming_requeue(spark, d):
+    pages = table(spark, d, "events").groupBy((F.col("event_id") % 20).alias("page")).agg(F.collect_list(F.struct(F.col("user_id").alias("id"))).alias("results"))
+    folder, store = _arriving(spark, pages.select("results"))
+    store.write("titles", titles(spark, d))
+    jobs.follow_changes(store, f"{folder}/in", "movie", f"{folder}/checkpoint")
+    return store.read("titles", TITLE_SCHEMA).select("media_type", "tmdb_id", "status", "attempts", "palette_version")
+
+
+@query(_T + " SELECT media_type, tmdb_id, title, adult, popularity, 'pending' AS status FROM incoming WHERE media_type = 'movie'")
+def streaming_seed(spark, d):
+    x = incoming(spark, d).where("media_type = 'movie'")
+    lines = x.select(F.col("tmdb_id").alias("id"), F.col("title").alias("original_title"), (F.col("adult") == 1).alias("adult"), "popularity")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    lines.write.option("compression", "gzip").json(f"{folder}/in")
+    store = Store(spark, f"{folder}/store")
+    jobs.follow_exports(store, f"{folder}/in", "movie", f"{folder}/checkpoint")
+    return store.read("titles", TITLE_SCHEMA).select("media_type", "tmdb_id", "title", "adult", "popularity", "status")
+
+
 # ---------------------------------------------------------------- sources
 
 
