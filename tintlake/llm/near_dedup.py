@@ -113,7 +113,7 @@ def set_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Whether 100 * intersection >= 75 * union, of two sets as bytes."""
     for left, right in batches:
-        out, key, b = [], None, None
+        out = []
         for x, y in zip(left, right):
             a = np.frombuffer(x.as_buffer(), np.uint64)
             b = np.frombuffer(y.as_buffer(), np.uint64)

@@ -83,20 +83,27 @@ def certified(k: int, n: int, limit: float, error: float) -> bool:
     return n > 0 and k < n and k <= n * limit and at_most(k, n, limit) <= error
 
 
-def choose(counts: dict[str | None, tuple[int, dict[str, list[int]]]], alpha: float, delta: float) -> dict[str | None, dict[str, float | None]]:
-    """The strictest certified cutoff per stratum and rule, None if there is none. counts: clean documents, and
-    those above each cutoff, by rule."""
+#: What a rule rejects in a stratum, by cutoff: clean documents, and junk.
+Counts = dict[str, tuple[list[int], list[int]]]
+
+
+def choose(counts: dict[str | None, tuple[int, Counts]], alpha: float, delta: float) -> dict[str | None, dict[str, float | None]]:
+    """A certified cutoff per stratum and rule: of those, the most lenient that rejects nearly as much labelled junk
+    as the strictest. None if none is certified, or if they reject no junk. counts: clean documents, and Counts.
+
+    All cutoffs before the first failure are certified at once, so any of them may be picked afterwards.
+    """
     error = delta / max(1, len(counts) * len(RULES))
-    out = {}
+    out: dict[str | None, dict[str, float | None]] = {}
     for stratum, (n, above) in counts.items():
         out[stratum] = {}
         for rule, (_, _, cutoffs) in RULES.items():
-            best = None
-            for cutoff, k in zip(cutoffs, above[rule]):
-                if not certified(k, n, alpha / len(RULES), error):
-                    break
-                best = cutoff
-            out[stratum][rule] = best
+            clean, junk = above[rule]
+            good = 0
+            while good < len(cutoffs) and certified(clean[good], n, alpha / len(RULES), error):
+                good += 1
+            most = junk[good - 1] if good else 0
+            out[stratum][rule] = next(c for c, k in zip(cutoffs, junk) if k >= 0.99 * most) if most else None
     return out
 
 
@@ -106,19 +113,19 @@ def _rate(rule: str):
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float, delta: float, doc_id: str, stratum: str) -> dict:
-    """Cutoffs from the labelled clean documents that pass the base rules. ``measured`` has FIELDS, id, stratum, base_failed.
+    """Cutoffs from the labelled documents that pass the base rules. ``measured`` has FIELDS, id, stratum, base_failed.
 
-    One row a stratum comes to the driver: the counts of its clean documents above each cutoff.
+    One row a stratum comes to the driver: how many of its clean and junk documents each cutoff rejects.
     """
-    clean = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("q")).where("q = 1").select("labelled")
-    rows = measured.where(~F.col("base_failed")).join(clean, F.col(doc_id) == F.col("labelled"), "left_semi")
-    sums = [F.sum((_rate(r) > c).cast("long")).alias(f"{r}_{i}") for r, (_, _, cs) in RULES.items() for i, c in enumerate(cs)]
-    found = rows.groupBy(stratum).agg(F.count("*").alias("n"), *sums).collect()
-    counts = {x[stratum]: (x["n"], {r: [x[f"{r}_{i}"] for i in range(len(cs))] for r, (_, _, cs) in RULES.items()}) for x in found}
-    return choose(counts, alpha, delta)
+    given = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("q"))
+    rows = measured.where(~F.col("base_failed")).join(given, F.col(doc_id) == F.col("labelled"))
+    over = {f"{r}_{i}_{q}": F.count_if((_rate(r) > c) & (F.col("q") == q)) for r, (_, _, cs) in RULES.items() for i, c in enumerate(cs) for q in (0, 1)}
+    found = rows.groupBy(stratum).agg(F.count_if(F.col("q") == 1).alias("n"), *[c.alias(k) for k, c in over.items()]).collect()
+    column = lambda x, r, q: [x[f"{r}_{i}_{q}"] for i in range(len(RULES[r][2]))]
+    return choose({x[stratum]: (x["n"], {r: (column(x, r, 1), column(x, r, 0)) for r in RULES}) for x in found}, alpha, delta)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, doc_id="doc_id", text="text", stratum="lang") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, doc_id="doc_id", text="text", stratum="lang") -> DataFrame:
     """Per document: doc_id, FIELDS, base_failed, kept, rules (names of the rules that it breaks).
 
     base_failed: under 50 words, or more than half of the words lie in repeated 3-word windows; so null and empty
