@@ -71,7 +71,7 @@ def deleted_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
     level = cut(lines.withColumn("enough", enough).where("enough").drop("enough"), "line-level")
     base, size, copies = level.drop("rank"), 1, None
     while size <= min_words:
-        runs = _later_copies(level, size)
+        runs = cut(_later_copies(level, size), "line-runs")
         copies = runs if copies is None else copies.unionByName(runs)
         if size * 2 > min_words:
             break
