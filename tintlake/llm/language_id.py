@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, spread
+from .common import held_out, spread, tidy
 
 # Unicode script ranges (first, last code point).
 SCRIPTS: dict[str, tuple[tuple[int, int], ...]] = {
@@ -45,8 +45,9 @@ NAMES = ("Other", *SCRIPTS)
 #: Buckets of hashed bigrams and trigrams.
 BUCKETS = (1 << 13, 1 << 15)
 UNKNOWN = "und"
-#: Characters in a block of documents that are scored together (a longer text is a block of its own).
-BLOCK = 2_000_000
+#: Characters of the documents whose words Viterbi labels side by side (a longer text is by itself), and of those whose
+#: n-grams are looked up at once, which takes most of the memory.
+BLOCK, PART = 2_000_000, 250_000
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))])
@@ -120,9 +121,29 @@ def blocks(texts: list[str | None]) -> Iterator[list[int]]:
         yield block
 
 
+def segments(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """(text, position, segment) of all texts, in groups of about PART characters; long texts are cut between words."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            end = min(len(t), at + PART)
+            while end < len(t) and code_points()[0][ord(t[end])]:
+                end += 1
+            group.append((i, at, t[at:end]))
+            size, at = size + end - at, end
+            if size >= PART:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def word_scores(w: Words, model: Model) -> np.ndarray:
     """float32 [word, lang]: log probability of a word's n-grams, relative to the best; languages that don't use
     its script are out of the question."""
+    if not len(w.first):
+        return np.zeros((0, len(model.langs)), np.float32)
     out = np.add.reduceat(model.tables[0][w.grams[0]] + model.tables[1][w.grams[1]], w.first, axis=0)
     out[~model.allowed[w.script]] -= 1e4
     return out - out.max(axis=1, keepdims=True)
@@ -157,24 +178,28 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def identify(texts: list[str | None], model: Model) -> list[dict]:
     out = [{"lang_pred": UNKNOWN, "score": 0.0, "spans": []} for _ in texts]
     for block in blocks(texts):
-        w = words_of([texts[i] for i in block])
-        if not len(w.start):
+        found = []
+        for group in segments([texts[i] for i in block]):
+            w = words_of([t for _, _, t in group])
+            base = np.array([at for _, at, _ in group]) - w.offset[:-1]
+            found.append((np.array([i for i, _, _ in group])[w.doc], w.start + base[w.doc], w.end + base[w.doc], word_scores(w, model)))
+        doc, start, end, scores = map(np.concatenate, zip(*found))
+        if not len(start):
             continue
-        docs, lengths = np.unique(w.doc, return_counts=True)
+        docs, lengths = np.unique(doc, return_counts=True)
         order = np.argsort(-lengths, kind="stable")
         heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
         lengths = lengths[order]
         # words, longest document first
-        places = np.repeat(heads - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(w.start))
-        label = viterbi(word_scores(w, model)[places], lengths, model.penalty)
-        doc, letters = w.doc[places], (w.end - w.start)[places]
+        places = np.repeat(heads - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(start))
+        label = viterbi(scores[places], lengths, model.penalty)
+        doc, start, end = doc[places], start[places], end[places]
         total = np.zeros((len(block), len(model.langs)))
-        np.add.at(total, (doc, label), letters)
+        np.add.at(total, (doc, label), end - start)
         new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
         last = np.append(new[1:], len(doc)) - 1
-        for d, a, b, lang in zip(doc[new], w.start[places[new]], w.end[places[last]], label[new]):
-            base = w.offset[d]
-            out[block[d]]["spans"].append({"start": int(a - base), "end": int(b - base), "lang": model.langs[lang]})
+        for d, a, b, lang in zip(doc[new], start[new], end[last], label[new]):
+            out[block[d]]["spans"].append({"start": int(a), "end": int(b), "lang": model.langs[lang]})
         for d in docs:
             best = int(total[d].argmax())
             out[block[d]] |= {"lang_pred": model.langs[best], "score": float(total[d, best] / total[d].sum())}
@@ -187,8 +212,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
         rows: dict[str, list] = {"lang": [], "kind": [], "bucket": [], "n": []}
         for lang in sorted(set(langs)):
-            for block in blocks([t if x == lang else None for t, x in zip(texts, langs)]):
-                w = words_of([texts[i] for i in block])
+            for group in segments([t for t, x in zip(texts, langs) if x == lang]):
+                w = words_of([t for _, _, t in group])
                 for kind, found in enumerate((*w.grams, np.repeat(w.script, w.end - w.start))):
                     n = np.bincount(found)
                     some = np.flatnonzero(n)
@@ -236,6 +261,7 @@ def language_id(docs: DataFrame, model: Model | None, text: str = "text"):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(identify(batch.to_pylist(), model), ARROW)
+            tidy()
 
     return run(F.col(text))
 
