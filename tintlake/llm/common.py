@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,5 +55,10 @@ def spread(*columns: str | Column) -> Column:
     return F.xxhash64(*columns)
 
 
+def tidy() -> None:
+    """Gives the memory that Arrow keeps after a batch back to the machine; an executor's workers share little of it."""
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

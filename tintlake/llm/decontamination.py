@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, tidy
 
 BLOCK = 2
 MARKS = string.punctuation + "…“”„«»¿¡‘’–—"
 #: Words of a shingle in the verification.
 SHINGLE = 5
 #: Words of the texts that are searched together.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 100_000
 
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question", T.DoubleType()), T.StructField("answer", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
@@ -200,7 +200,7 @@ class Numbers(dict):
     def __missing__(self, word: str) -> int:
         bare = word.strip(MARKS)
         n = self.term.get(bare, -1) if bare else -2
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = n
         return n
@@ -280,6 +280,7 @@ def _searcher(index: Index, question: float, answer: float):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(search(batch.to_pylist(), index, question, answer), _ARROW)
+            tidy()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh
+from .common import cut, fresh, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
@@ -56,7 +56,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -79,8 +79,8 @@ def signature(s: np.ndarray) -> np.ndarray:
     """uint64 [2 * PERMUTATIONS]: least and greatest value of each map."""
     a, b, _, _ = _constants()
     least, most = np.full(PERMUTATIONS, ~np.uint64(0)), np.zeros(PERMUTATIONS, np.uint64)
-    for at in range(0, len(s), 16384):
-        x = s[None, at : at + 16384] * a + b
+    for at in range(0, len(s), 4096):
+        x = s[None, at : at + 4096] * a + b
         least, most = np.minimum(least, x.min(axis=1)), np.maximum(most, x.max(axis=1))
     return np.stack([least, most], axis=1).ravel()
 
@@ -100,6 +100,7 @@ def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             s = shingle_set(text.as_py(), hashes)
             rows.append({"n": len(s), "node": xxhash.xxh3_128_digest(s.tobytes()), "bands": bands(s)} if len(s) else {"n": 0, "node": None, "bands": None})
         yield pa.array(rows, _ARROW)
+        tidy()
 
 
 @F.arrow_udf(T.BinaryType())
@@ -107,6 +108,7 @@ def set_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     hashes = WordHashes()
     for batch in batches:
         yield pa.array([shingle_set(x.as_py(), hashes).tobytes() for x in batch], pa.binary())
+        tidy()
 
 
 @F.arrow_udf(T.BooleanType())
@@ -122,6 +124,7 @@ def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
             out.append(100 * both >= 75 * (len(a) + len(b) - both))
         yield pa.array(out, pa.bool_())
+        tidy()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import cut, tidy
 
 # Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -163,6 +164,7 @@ def pack(docs: DataFrame, capacity: int = 2048, window: int = 4096, folder: str
                     packed()
                 if len(rows) >= 1024:
                     yield batch()
+            tidy()
         packed()
         yield batch()
 
@@ -173,8 +175,6 @@ def write_files(packed: DataFrame, folder: str) -> DataFrame:
     """Writes packed rows as binary files, per task an id matrix (.ids, uint16), position ids (.pos, uint32) and, as
     the rows' cumulative lengths one after another (.cu, int32) with their counts (.cun, int32); a manifest of the
     files that count (name, rows). Names are new for each attempt, so a lost task leaves nothing that counts."""
-    from .common import cut
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 

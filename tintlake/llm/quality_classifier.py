@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held_out, spread
+from .common import fresh, held_out, spread, tidy
 from .quality_rules import measure
 
 _KINDS = {"upper": range(65, 91), "digit": range(48, 58), "mark": b"!", "bar": b"|", "stop": b".,;:?", "symbol": b"#*$%&<>@~^_=+\\{}[]"}
@@ -128,6 +128,7 @@ def score(text: str | Column, ranker: Ranker | None, at: float = 0.3) -> Column:
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch]).reshape(-1, N_FEATURES)
             yield pa.array(ranker.scores(x), pa.float64())
+            tidy()
 
     return run(F.col(text) if isinstance(text, str) else text)
 
