@@ -30,7 +30,7 @@ from .common import cut, fresh, tidy
 SHINGLE = 5
 BANDS, ROWS = 40, 4
 PERMUTATIONS = BANDS * ROWS // 2
-#: Classes up to which the list of those that share a bucket is broadcast (32 bytes each).
+#: Rows up to which the classes that share a bucket, or the documents that go, are broadcast (up to 40 bytes each).
 BROADCAST_ROWS = 500_000
 
 _SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -251,4 +251,5 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """The rows of ``docs`` that are kept, with the same columns."""
     gone = cut(near_duplicates(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
     same = docs[doc_id].eqNullSafe(gone.gone_id) & F.xxhash64(docs[text]).eqNullSafe(gone.gone_hash)
-    return docs.join(gone, same, "left_anti")
+    few = gone.count() <= BROADCAST_ROWS  # else the texts are shuffled
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
