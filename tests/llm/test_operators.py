@@ -416,6 +416,18 @@ def test_license_lines_of_documents(spark, odd):
     assert license_scan.scan_documents(odd).count() == odd.count()
 
 
+def test_long_license_texts(spark):
+    """A notice that is wrapped over many lines states the licence of its directory, however many they are."""
+    notice = license_scan.TEMPLATES["GPL-3.0"][2].split() * 12
+    wrapped = {n: "\n".join(notice[:n]) for n in (400, 401, len(notice))}
+    foreign = "\n".join(notice[: len(notice) // 12] + words(420, 8))
+    rows = [(f"d{n}/{name}", t) for n, t in wrapped.items() for name, t in (("notes.txt", t), ("sub/x.py", text(30, 3)))] + [("f/notes.txt", foreign), ("f/x.py", text(30, 3)), ("g/LICENSE", wrapped[401]), ("g/x.py", None)]
+    got = {r.path: (r.license, r.inherited_from, r.effective) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    gpl = "GPL-3.0"
+    want = {f"d{n}/notes.txt": (gpl, None, gpl) for n in wrapped} | {f"d{n}/sub/x.py": (None, f"d{n}", gpl) for n in wrapped}
+    assert got == want | {"f/notes.txt": (None, None, None), "f/x.py": (None, None, None), "g/LICENSE": (gpl, None, gpl), "g/x.py": (None, "g", gpl)}
+
+
 # ---------------------------------------------------------------- 10
 
 

@@ -122,7 +122,7 @@ def scan(text: str | None, m: Model) -> dict:
             best |= {"license": name, "score": score, "line": i}
     if lines and not others:
         best["only"] = True
-    elif len(lines) > 1 and len(lines) <= 400:  # a licence text over several lines has few
+    elif len(lines) > 1:
         name, score = closest([w for _, ws in lines for w in ws], m)
         if name is not None:
             best |= {"only": True} | ({"license": name, "score": score, "line": lines[0][0]} if score > best["score"] else {})
