@@ -372,6 +372,20 @@ def test_near_duplicates_match_brute_force(spark, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.keep_first(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    base, other, third = words(150, 51), words(150, 52), words(150, 53)
+    hot = [(7, " ".join(base))] * 9 + [(7, t) for t in variants(base, 6, 3, 1)] + [(8, " ".join(base))]  # a row repeated, near copies under its id, a later copy
+    nulls = [(None, " ".join(other))] * 5 + [(None, t) for t in variants(other, 4, 3, 2)]  # no id at all
+    mixed = [(None, " ".join(third))] * 3 + [(7, t) for t in variants(third, 2, 3, 3)] * 2  # the hot id in another component
+    blank = [(2, ""), (2, ""), (None, None), (None, None), (None, " ")]  # linked with nothing
+    rows = hot + nulls + mixed + blank + [(6, text(80, 2))] * 2
+    got = [(r.doc_id, r.text) for r in near_dedup.keep_first(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, text_hash int")).collect()]
+    assert all(r in rows for r in got) and sorted((r for r in got if not (r[1] or "").strip()), key=str) == sorted(blank, key=str)
+    stay = [r for r in got if (r[1] or "").strip()]
+    assert sorted((d for d, _ in stay), key=str) == [6, 7, 7, None]
+    assert {next(i for i, c in enumerate((hot, nulls, mixed, rows[-2:])) if r in c) for r in stay} == {0, 1, 2, 3}
+
+
 def test_signatures_estimate():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 63, 3000, np.uint64)

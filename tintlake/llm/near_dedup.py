@@ -224,6 +224,21 @@ class _Classes:
         return links.unionByName(hold(cut(more, "pairs")))
 
 
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Per document: (doc_id, text_hash, n, node, first). node: its class, null without shingles; first: the least
+    (no_id, doc_id, text_hash) of its component, so null ids come last."""
+    c = _Classes(docs, doc_id, text)
+    links = c.links()
+    own = c.classes.select("node", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("first"))
+    if links is not None:
+        roots = cut(components(links), "roots")
+        ids = roots.join(own, "node")
+        least = ids.groupBy("root").agg(F.min("first").alias("least"))
+        linked = ids.join(least, "root").select("node", "least")
+        own = cut(own.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("first")), "components")
+    return c.sketches.select("doc_id", "text_hash", "n", "node").join(own, "node", "left")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: (doc_id, n_shingles, component_id, kept, text_hash).
 
@@ -233,23 +248,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     are all kept, and a null id is kept only where its component has no other. An empty table gives an empty one.
     Other columns aren't read.
     """
-    c = _Classes(docs, doc_id, text)
-    links = c.links()
-    own = c.classes.select("node", F.col("doc_id").alias("component_id"))
-    if links is not None:
-        roots = cut(components(links), "roots")
-        ids = roots.join(own, "node")
-        least = ids.groupBy("root").agg(F.min("component_id").alias("least"))
-        linked = ids.join(least, "root").select("node", "least")
-        own = cut(own.join(linked, "node", "left").select("node", F.coalesce("least", "component_id").alias("component_id")), "components")
-    x = c.sketches.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(own, "node", "left")
-    x = x.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return x.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+    x = _labelled(docs, doc_id, text).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")))
+    return x.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with the same columns."""
-    gone = cut(near_duplicates(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
-    same = docs[doc_id].eqNullSafe(gone.gone_id) & F.xxhash64(docs[text]).eqNullSafe(gone.gone_hash)
-    few = gone.count() <= BROADCAST_ROWS  # else the texts are shuffled
-    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    """One row of ``docs`` per component, with the same columns, and all rows without shingles (linked with nothing).
+
+    The row is one with the smallest id, null ids last, and of its texts the one with the least hash; of rows that
+    repeat both, any one stays.
+    """
+    gone = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    x = _labelled(docs, doc_id, text).where("node IS NOT NULL").groupBy(F.col("doc_id").alias("marked_id"), F.col("text_hash").alias("marked_hash"))
+    marks = cut(x.agg(F.max(gone).alias("gone"), F.count("*").alias("rows")).where("gone OR rows > 1").select("marked_id", "marked_hash", "gone"), "marks")
+    repeats = marks.where("NOT gone")
+    n, n_repeats = marks.count(), repeats.count()
+
+    def join(marked: DataFrame, few: bool, how: str) -> DataFrame:
+        same = docs[doc_id].eqNullSafe(marked.marked_id) & F.xxhash64(docs[text]).eqNullSafe(marked.marked_hash)
+        return docs.join(F.broadcast(marked) if few else marked, same, how)  # not few: the texts are shuffled
+
+    out = join(marks, n <= BROADCAST_ROWS, "left_anti")
+    if not n_repeats:
+        return out
+    text_hash = fresh(docs, "text_hash")
+    again = join(repeats, n_repeats <= BROADCAST_ROWS, "left_semi").withColumn(text_hash, F.xxhash64(docs[text]))
+    return out.unionByName(again.dropDuplicates([doc_id, text_hash]).drop(text_hash))
