@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from tintlake.llm import common, decontamination, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, warc
+from tintlake.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ", size long, score double, hits string, s string, gone string, n string, node string, rank int"
@@ -245,6 +246,22 @@ def test_packed_files(spark, tmp_path, sf):
     assert sum((tmp_path / "t" / (f["name"].split("/")[-1] + ".ids")).stat().st_size for f in files) == n * 256
 
 
+def test_packed_files_return(spark, odd, none, sf):
+    """What the query returns is read from files in the shared folder, and is all that pack gives."""
+    from pathlib import Path
+
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("packed-*/*.ids"))
+    docs = common.table(spark, sf, "documents")
+    got = sorted(QUERIES["op5_token_packing"](spark, sf).collect())
+    assert got == sorted(packing.pack(docs).collect()) and len(got) > 0
+    assert sum(f.stat().st_size for f in set(shared.glob("packed-*/*.ids")) - before) == len(got) * 4096
+    for capacity in (64, 70_000):
+        by_row = lambda df: sorted(df.collect(), key=lambda r: r.row_id)
+        assert by_row(packing.round_trip(odd, capacity)) == by_row(packing.pack(odd, capacity))
+    assert packing.round_trip(none).count() == 0
+
+
 # ---------------------------------------------------------------- 6
 
 

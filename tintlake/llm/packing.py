@@ -3,7 +3,8 @@
 Documents are tokenised and end with a separator. What is longer than a row is cut into full rows and a remainder,
 so nothing is lost. Remainders are packed by best fit decreasing: longest first, each into the fullest open row that
 still holds it, found by descending a segment tree over the free lengths. A task packs its own documents in windows
-of bounded size, so there is no shuffle; only the last row of a window can stay half empty.
+of bounded size, so there is no shuffle; only the last row of a window can stay half empty. The same task writes its
+rows as binary files; what counts is in a manifest that Spark commits, and rows are read back from it.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 import base64
 import functools
 import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import cut, shared_dir, tidy
 
 # Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -26,6 +29,9 @@ SEPARATOR = 50256
 RANKS = "byte_bpe_50k.tiktoken"
 SCHEMA = "row_id long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, piece_ids array<int>, n_tokens int"
 _NAMES = ("row_id", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "piece_ids", "n_tokens")
+MANIFEST = "name string, rows long, capacity int, blocks array<struct<row: long, rows: int, segment: long>>"
+#: Rows that are read at once, and found in a file by the manifest.
+BLOCK = 256
 _KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32())
 
 
@@ -118,17 +124,7 @@ def _row(row_id: int, parts: list[tuple[int | None, int, np.ndarray]], capacity:
     return row_id, ids.tobytes(), pos.tobytes(), ends, [d for d, _, _ in parts], [p for _, p, _ in parts], ends[-1]
 
 
-def pack(docs: DataFrame, capacity: int = 2048, window: int = 4096, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``capacity`` token ids (SCHEMA): a row of the id matrix as little-endian uint16, position ids that
-    restart with each segment as uint32, cumulative segment lengths from 0, and each segment's document and piece.
-
-    A document's segments, in order of piece, are its text's ids and a separator. Null and empty texts are a
-    separator alone; a null id is kept as null; rows that repeat an id are packed each by itself (their pieces number
-    alike). ``window`` bounds the remainders that a task holds. An empty table gives no rows. Other columns aren't
-    read. The ids of rows differ with the layout of the input, not with a task's retries.
-    """
-    where = folder or tokenizer_folder()
-
+def _packer(capacity: int, window: int, where: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -168,30 +164,104 @@ def pack(docs: DataFrame, capacity: int = 2048, window: int = 4096, folder: str
         packed()
         yield batch()
 
-    return docs.select(doc_id, text).mapInArrow(run, SCHEMA)
+    return run
 
 
-def write_files(packed: DataFrame, folder: str) -> DataFrame:
-    """Writes packed rows as binary files, per task an id matrix (.ids, uint16), position ids (.pos, uint32) and, as
-    the rows' cumulative lengths one after another (.cu, int32) with their counts (.cun, int32); a manifest of the
-    files that count (name, rows). Names are new for each attempt, so a lost task leaves nothing that counts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+def pack(docs: DataFrame, capacity: int = 2048, window: int = 4096, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``capacity`` token ids (SCHEMA): a row of the id matrix as little-endian uint16, position ids that
+    restart with each segment as uint32, cumulative segment lengths from 0, and each segment's document and piece.
+
+    A document's segments, in order of piece, are its text's ids and a separator. Null and empty texts are a
+    separator alone; a null id is kept as null; rows that repeat an id are packed each by itself (their pieces number
+    alike). ``window`` bounds the remainders that a task holds. An empty table gives no rows. Other columns aren't
+    read. The ids of rows differ with the layout of the input, not with a task's retries.
+    """
+    return docs.select(doc_id, text).mapInArrow(_packer(capacity, window, folder or tokenizer_folder()), SCHEMA)
+
+
+def _streams(capacity: int) -> dict[str, str]:
+    """The files of a part and their numbers: id matrix, position ids, cumulative lengths one row after another and
+    their counts, row ids, and each segment's document (and whether it has an id) and piece."""
+    return {"ids": "<u2", "pos": "<u2" if capacity <= 1 << 16 else "<u4", "cu": "<i4", "cun": "<i4", "row": "<i8", "doc": "<i8", "has": "<u1", "piece": "<i4"}
 
+
+def _writer(folder: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, path = fs.FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
-        name, n = f"part-{uuid.uuid4().hex}", 0
-        out = {k: files.open_output_stream(f"{path}/{name}.{k}", compression=None) for k in ("ids", "pos", "cu", "cun")}
+        name, n, segments, capacity, blocks = f"part-{uuid.uuid4().hex}", 0, 0, 0, []
+        out = {k: files.open_output_stream(f"{path}/{name}.{k}", compression=None) for k in _streams(0)}
         for b in batches:
-            for ids, pos, cu in zip(b.column(0), b.column(1), b.column(2)):
-                ends = np.array(cu.as_py(), "<i4")
-                for k, x in (("ids", ids.as_py()), ("pos", pos.as_py()), ("cu", ends.tobytes()), ("cun", np.array([len(ends)], "<i4").tobytes())):
-                    out[k].write(x)
-                n += 1
+            for row_id, ids, pos, cu, docs, pieces, _ in zip(*[b.column(k) for k in _NAMES]):
+                ids, ends, docs = np.frombuffer(ids.as_buffer(), "<u2"), cu.as_py(), docs.as_py()
+                capacity = len(ids)
+                if n % BLOCK == 0:
+                    blocks.append({"row": n, "rows": 0, "segment": segments})
+                values = {"ids": ids, "pos": np.frombuffer(pos.as_buffer(), "<u4"), "cu": ends, "cun": [len(ends)], "row": [row_id.as_py()], "doc": [d or 0 for d in docs], "has": [d is not None for d in docs], "piece": pieces.as_py()}
+                for k, kind in _streams(capacity).items():
+                    out[k].write(np.asarray(values[k]).astype(kind).tobytes())
+                n, segments, blocks[-1]["rows"] = n + 1, segments + len(docs), blocks[-1]["rows"] + 1
         for x in out.values():
             x.close()
-        yield pa.RecordBatch.from_pydict({"name": [f"{folder}/{name}"], "rows": [n]})
+        block = pa.list_(pa.struct([("row", pa.int64()), ("rows", pa.int32()), ("segment", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64()), pa.array([capacity], pa.int32()), pa.array([blocks], block)], ["name", "rows", "capacity", "blocks"])
+
+    return run
+
+
+def write_files(packed: DataFrame, folder: str) -> DataFrame:
+    """Writes packed rows, all of one capacity, as binary files, per task an id matrix (.ids, uint16), position ids
+    (.pos, uint16, or uint32 where the capacity is over 65,536), as the rows' cumulative lengths one after another
+    (.cu, int32) with their counts (.cun, int32), and the rows' and segments' ids (.row, .doc, .has, .piece); the
+    MANIFEST of the files that count. Names are new for each attempt, so a lost task leaves nothing that counts."""
+    return cut(packed.select(*_NAMES).mapInArrow(_writer(folder), MANIFEST), "packed-files")
+
+
+def pack_files(docs: DataFrame, folder: str, capacity: int = 2048, window: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``write_files`` of what ``pack`` gives, by one worker a task, so that rows don't go through Spark."""
+    packer, writer = _packer(capacity, window, tokenizer_folder()), _writer(folder)
+    return cut(docs.select(doc_id, text).mapInArrow(lambda batches: writer(packer(batches)), MANIFEST), "packed-files")
+
+
+def read_files(manifest: DataFrame) -> DataFrame:
+    """The packed rows (SCHEMA) of the manifest's files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    return cut(packed.select("input_ids", "position_ids", "cu_seqlens").mapInArrow(run, "name string, rows long"), "packed-files")
+        for batch in batches:
+            for name, capacity, row, n, segment in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                files, path = fs.FileSystem.from_uri(name)
+                kinds = _streams(capacity)
+
+                def read(k: str, at: int, count: int) -> np.ndarray:
+                    size = np.dtype(kinds[k]).itemsize
+                    with files.open_input_file(f"{path}.{k}") as f:
+                        got = f.read_at(count * size, at * size)
+                    if len(got) != count * size:
+                        raise OSError(f"{path}.{k} is shorter than its manifest says")
+                    return np.frombuffer(got, kinds[k])
+
+                ids, pos = read("ids", row * capacity, n * capacity).tobytes(), read("pos", row * capacity, n * capacity).astype("<u4").tobytes()
+                sizes = read("cun", row, n).astype(np.int64)
+                total = int(sizes.sum())
+                cu, parts = read("cu", segment + row, total), total - n
+                at, own = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(sizes - 1))
+                doc = pa.array(read("doc", segment, parts), mask=read("has", segment, parts) == 0)
+                whole = lambda x, wide: pa.array([x[i * capacity * wide : (i + 1) * capacity * wide] for i in range(n)], pa.binary())  # noqa: B023, E731
+                lists = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+                columns = [pa.array(read("row", row, n)), whole(ids, 2), whole(pos, 4), lists(at, pa.array(cu)), lists(own, doc), lists(own, pa.array(read("piece", segment, parts))), pa.array(cu[at[1:] - 1])]
+                yield pa.RecordBatch.from_arrays(columns, list(_NAMES))
+                tidy()
+
+    blocks = manifest.select("name", "capacity", F.explode("blocks").alias("b")).select("name", "capacity", "b.row", "b.rows", "b.segment")
+    n = manifest.agg(F.sum(F.size("blocks")).alias("n")).first().n or 1
+    # a task for each few blocks: rows of the manifest are tiny, so Spark must not put them together by their size
+    return blocks.repartition(int(min(-(-n // 4), 50_000)), "name", "row").mapInArrow(run, SCHEMA)
+
+
+def round_trip(docs: DataFrame, capacity: int = 2048) -> DataFrame:
+    """The packed rows of the documents, written to the shared folder and read back through the manifest."""
+    return read_files(pack_files(docs, f"{shared_dir(docs.sparkSession)}/packed-{uuid.uuid4().hex}", capacity))

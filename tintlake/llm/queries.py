@@ -26,7 +26,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
