@@ -5,7 +5,6 @@ A catalogue is derived from the tables by SQL that both engines run: customers a
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import colour, text
 from .operators import catalogue, logos, palettes, pixels, ranking, search
-from .plans.cut import shared_folder
+from .plans.cut import new_folder
 from .plans.store import Store
 from .schemas import ROLES, SLOTS
 from .schemas import TITLES as TITLE_SCHEMA
@@ -352,7 +351,7 @@ def palette_cache(spark, d):
 
 def _arriving(spark, pages: DataFrame) -> tuple[str, Store]:
     """A folder of JSON files, one a page, and an empty store beside it."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     pages.write.option("maxRecordsPerFile", 1).json(f"{folder}/in")
     return folder, Store(spark, f"{folder}/store")
 
@@ -371,7 +370,7 @@ def streaming_requeue(spark, d):
 def streaming_seed(spark, d):
     x = incoming(spark, d).where("media_type = 'movie'")
     lines = x.select(F.col("tmdb_id").alias("id"), F.col("title").alias("original_title"), (F.col("adult") == 1).alias("adult"), "popularity")
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     lines.write.option("compression", "gzip").json(f"{folder}/in")
     store = Store(spark, f"{folder}/store")
     jobs.follow_exports(store, f"{folder}/in", "movie", f"{folder}/checkpoint")
