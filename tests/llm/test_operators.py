@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tintlake.llm import common, decontamination, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, warc
 from tintlake.llm.queries import QUERIES
@@ -250,7 +251,7 @@ def test_packed_files_return(spark, odd, none, sf):
     """What the query returns is read from files in the shared folder, and is all that pack gives."""
     from pathlib import Path
 
-    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    shared = Path(common.shared_folder(spark).removeprefix("file://"))
     before = set(shared.glob("packed-*/*.ids"))
     docs = common.table(spark, sf, "documents")
     got = sorted(QUERIES["op5_token_packing"](spark, sf).collect())
@@ -403,6 +404,43 @@ def test_one_row_of_each_component_stays(spark):
     assert {next(i for i, c in enumerate((hot, nulls, mixed, rows[-2:])) if r in c) for r in stay} == {0, 1, 2, 3}
 
 
+def test_boilerplate_is_no_link_and_is_not_paired(spark):
+    """Pages that share most of their text, but too little for a link, among pages that share enough."""
+    common = words(164, 61)
+    pages = [(i, " ".join(common + words(44, 1000 + i))) for i in range(300)]
+    near = [(1000 + i, " ".join(common + words(44, 1007)[: 43 - i])) for i in range(3)]
+    docs = spark.createDataFrame(pages + near, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(pages + near)
+    ids = spark.createDataFrame([(i, i) for i in range(300)], "id long, root long")
+    sets = docs.where("doc_id < 300").select(F.col("doc_id").alias("id"), near_dedup.sets_of("text")["shingles"].alias("shingles"))
+    assert near_dedup._across(ids, sets).count() == 0  # not one candidate
+
+
+def test_across_components_misses_no_pair(spark):
+    """Sets that overlap in all degrees: each pair of 0.75 or more is a candidate, whatever its sizes."""
+    rng = np.random.default_rng(11)
+    pool = np.unique(rng.integers(0, 1 << 63, 300, np.uint64))
+    sets = [np.sort(rng.choice(pool[: rng.integers(60, 300)], rng.integers(20, 56), replace=False)) for _ in range(150)]
+    sets += [np.sort(np.concatenate([s[: -rng.integers(1, 12)], rng.choice(pool, rng.integers(0, 6), replace=False)])) for s in sets]
+    sets = [np.unique(s) for s in sets]
+    want = {(j, i) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j]))}
+    ids = spark.createDataFrame([(i, i) for i in range(len(sets))], "id long, root long")
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, shingles binary")
+    got = {(r.a, r.b) for r in near_dedup._across(ids, rows).collect()}
+    assert len(want) > 100 and want <= got
+
+
+def test_sieve_lets_all_keys_through(spark):
+    x = spark.range(20_000).withColumn("cell", F.lit(1))
+    keys = spark.range(0, 20_000, 7).select(F.xxhash64("id").alias("k"))
+    got = common.sieved(x, F.xxhash64("id"), keys, "maybe")
+    assert got.columns == ["id", "cell", "maybe"]
+    passed = {r.id for r in got.where("maybe").collect()}
+    assert passed >= set(range(0, 20_000, 7)) and len(passed) < 3400
+    assert common.sieved(x, F.xxhash64("id"), keys.where("false"), "maybe").where("maybe").count() == 0
+
+
 def test_signatures_estimate():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 63, 3000, np.uint64)
@@ -411,9 +449,9 @@ def test_signatures_estimate():
 
 
 def test_components_of_a_chain(spark):
-    chain = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100]), bytes([101]))], "a binary, b binary")
-    got = {bytes(r.node): bytes(r.root) for r in near_dedup.components(chain).collect()}
-    assert set(got.values()) == {bytes([0]), bytes([100])} and len(got) == 43
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    got = {r.node: r.root for r in near_dedup.components(chain).collect()}
+    assert set(got.values()) == {0, 100} and len(got) == 43
 
 
 # ---------------------------------------------------------------- 9

@@ -1,38 +1,18 @@
-"""What the operators share: word pattern, label folds, column names and materialised tables."""
+"""What the operators share: word pattern, label folds, column names, bounded samples and a sieve for large joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cut import materialise as cut  # noqa: F401
+from ..plans.cut import new_folder, scratch, shared_folder  # noqa: F401
+
 #: A word, for the operators that count words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tintlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends there, and later uses don't compute it again.
-
-    An executor that is lost takes nothing with it, as the files are not its own.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have (Spark compares names without case)."""
     taken, name = {c.lower() for c in df.columns}, base
@@ -62,3 +42,28 @@ def tidy() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the largest sieve: 64 MB, in 16,384 rows.
+SIEVE_BITS = 1 << 29
+_CELL = 15
+
+
+def sieved(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean ``name`` that is false where the hash ``key`` surely is none of ``keys`` (one long column).
+
+    The keys make a bitmap, 16 bits or more a key up to SIEVE_BITS, which bounds what is broadcast whatever their
+    number. Beyond that more rows pass, and beyond ten times as many nearly all do: then the exact join that follows
+    moves what it would without a sieve.
+    """
+    k = keys.columns[0]
+    bits = min(SIEVE_BITS, max(1 << 20, 1 << (16 * keys.count()).bit_length()))
+    cell, at = F.shiftright(F.pmod(F.col(k), F.lit(bits)), _CELL), F.col(k).bitwiseAND((1 << _CELL) - 1)
+    found = keys.select(cell.cast("long").alias("cell"), at.alias("at")).repartition("cell").groupBy("cell").agg(F.bitmap_construct_agg("at").alias("map"))
+    names = {c: fresh(df, c) for c in ("cell", "map")}
+    found = found.select(F.col("cell").alias(names["cell"]), F.col("map").alias(names["map"]))
+    bit = key.bitwiseAND((1 << _CELL) - 1).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(names["map"]), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    # at most SIEVE_BITS in all
+    x = df.join(F.broadcast(found), F.shiftright(F.pmod(key, F.lit(bits)), _CELL).cast("long") == F.col(names["cell"]), "left")
+    return x.withColumn(name, F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(7))) != 0, F.lit(False))).drop(*names.values())

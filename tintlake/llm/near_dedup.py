@@ -4,34 +4,40 @@ Under each of ``PERMUTATIONS`` random maps of the 64-bit shingle hashes both the
 kept: two coordinates a map, each of which agrees for two sets with probability J. The coordinates make ``BANDS``
 bands of ``ROWS``; a pair of similarity 0.75 meets in no band with probability (1 - 0.75^4)^40 < 3e-7.
 
-1. Documents with one shingle set are one class, and all that follows is between classes.
-2. Classes that meet in a band's bucket are candidates. A bucket isn't expanded into pairs: each round compares its
-   members with one of them, its pivot, and the links that hold join components. A bucket whose members all lie in
-   one component has nothing left to say; of the others, the pivot goes and the next round takes another one. What a
-   few rounds leave, buckets with classes of several components, is compared across components.
-3. A candidate is a link if the full shingle sets say so; sets are read again for classes that share a bucket only.
+1. Documents with one shingle set are one class, numbered; all that follows is between classes.
+2. Classes that meet in a band's bucket are candidates. A bucket isn't expanded into pairs: its members are compared
+   with one of them, its pivot, if they meet it in several buckets or in a bucket of two, and the links that hold join
+   components. A bucket whose members all lie in one component has nothing left to say; what classes of several
+   components still share a bucket are compared across components, by an exact prefix filter.
+3. A candidate is a link if the full shingle sets say so. Sets are read again for classes that share a bucket only: a
+   bitmap of bounded size lets their documents through, and few others, so texts aren't shuffled.
 4. Components come from alternating large-star and small-star steps, each written to the shared folder.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, tidy
+from .common import WORD, cut, fresh, scratch, sieved, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
 PERMUTATIONS = BANDS * ROWS // 2
-#: Rows up to which the classes that share a bucket, or the documents that go, are broadcast (up to 40 bytes each).
-BROADCAST_ROWS = 500_000
+#: Buckets in which a class must meet a pivot of more than two members to be compared at once. Two sets of similarity
+#: 0.75 meet in 12.7 on average; those that meet in fewer are compared across components.
+MEETINGS = 4
+#: Sizes of one class of sizes differ by this factor at most.
+SIZE_STEP = 1.05
+#: Classes that a shingle may have in one task.
+HOT = 10_000
 
 _SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 _ARROW = pa.struct([("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -103,11 +109,13 @@ def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tidy()
 
 
-@F.arrow_udf(T.BinaryType())
-def set_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+@F.arrow_udf(T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType())]))
+def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The class and the shingle set of each text."""
     hashes = WordHashes()
     for batch in batches:
-        yield pa.array([shingle_set(x.as_py(), hashes).tobytes() for x in batch], pa.binary())
+        sets = [shingle_set(x.as_py(), hashes).tobytes() for x in batch]
+        yield pa.StructArray.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
         tidy()
 
 
@@ -152,23 +160,35 @@ def set_array(sets: pa.Array) -> pa.Array:
     return pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in sets], pa.list_(pa.int64()))
 
 
-def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of different components that can be similar, by exact prefix filtering.
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP))).cast("int")
+
 
-    Only shingles that two components or more have can be in the intersection. A class's are ranked, rare ones first;
-    a similar pair has 7 * intersection >= 3 * (n + m), so the first shingle that it shares, in this order, has that
-    many left from its rank on, on both sides.
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components that can be similar, by exact prefix filtering.
+
+    Only shingles that two components or more have can be in an intersection. A class's are ranked, rare ones first.
+    A similar pair of n and m <= n shingles has 7 * intersection >= 3 * (n + m), so from the first shingle that it
+    shares in this order on, both have that many left. The larger set looks for it where enough is left for a partner
+    of a size that it can have (0.75 n at least), by classes of sizes; the smaller one is found where 7 * left >= 6 *
+    m. So text that many share, but that isn't enough for a link by itself, is never looked up. A shingle that very
+    many classes have is dealt out to several tasks.
     """
-    own = sets.join(members.select("node", "root").distinct(), "node").withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
-    shingles = cut(own.select("node", "root", "n", F.explode(set_array("shingles")).alias("shingle")), "shingles")
+    own = sets.join(members.select("id", "root").distinct(), "id").withColumn("n", (F.octet_length("shingles") / 8).cast("int"))
+    shingles = cut(own.select("id", "root", "n", F.explode(set_array("shingles")).alias("shingle")), "shingles")
     several = shingles.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("df")).where("r1 <> r2").select("shingle", "df")
-    by_node = Window.partitionBy("node")
-    left = F.count("*").over(by_node) - F.row_number().over(by_node.orderBy("df", "shingle")) + 1
+    by_id = Window.partitionBy("id")
+    left = (F.count("*").over(by_id) - F.row_number().over(by_id.orderBy("df", "shingle")) + 1).cast("int")
     x = shingles.join(several, "shingle").withColumn("left", left).where("4 * left >= 3 * n")
-    x = cut(x.select("shingle", F.col("node").alias("a"), "root", "n", "left"), "prefixes")
-    y = x.select("shingle", F.col("a").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"), F.col("left").alias("left_b"))
-    could = (F.col("root") > F.col("root_b")) & (7 * F.least("left", "left_b") >= 3 * (F.col("n") + F.col("m")))
-    return x.join(y, "shingle").where(could).select("a", "b").distinct()
+    x = cut(x.withColumn("parts", F.ceil(F.col("df") / HOT).cast("int")).drop("df"), "prefixes")
+    most = F.least(F.col("n"), F.floor(7 * F.col("left") / 3).cast("int") - F.col("n"))
+    sizes = F.sequence(_size_class(F.ceil(F.col("n") * 0.75)), _size_class(most))
+    probes = x.where(4 * most >= 3 * F.col("n")).select("shingle", "parts", F.explode(sizes).alias("size"), F.col("id").alias("p"), F.col("root").alias("rp"), "n", "left")
+    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = x.where("7 * left >= 6 * n").select("shingle", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), _size_class(F.col("n")).alias("size"), F.col("id").alias("q"), F.col("root").alias("rq"), F.col("n").alias("m"), F.col("left").alias("left_q"))
+    could = (F.col("rp") != F.col("rq")) & ((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("p") > F.col("q")))) & (7 * F.least("left", "left_q") >= 3 * (F.col("n") + F.col("m")))
+    pairs = probes.join(found, ["shingle", "size", "part"]).where(could)
+    return pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
 
 
 class _Classes:
@@ -179,25 +199,24 @@ class _Classes:
         s = self.docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch("text").alias("s"))
         self.sketches = cut(s.select("doc_id", "text_hash", "s.*"), "sketches")
         rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-        found = self.sketches.where("n > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-        self.classes = cut(found.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"), "n", "bands"), "classes")
+        found = self.sketches.where("n > 0").groupBy("node").agg(F.min(rep).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        # numbers are read from the table, so they stay what they are
+        self.classes = cut(found.select(F.monotonically_increasing_id().alias("id"), "node", "first", "n", "bands"), "classes")
 
     def members(self) -> DataFrame:
-        """(band, node, n, pull) of the buckets with two classes or more. pull: how many others a class meets in all
-        its buckets; copies of one text meet that text most often, so it pulls most and makes the best pivot."""
-        rows = self.classes.select(F.explode("bands").alias("band"), "node", "n")
+        """(band, id, n, size, pull) of the buckets with two classes or more. pull: how many others a class meets in
+        all its buckets; copies of one text meet that text most often, so it pulls most and makes the best pivot."""
+        rows = self.classes.select(F.explode("bands").alias("band"), "id", "n")
         shared = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
         found = cut(rows.join(shared, "band"), "buckets")
-        return cut(found.drop("size").join(found.groupBy("node").agg(F.sum("size").alias("pull")), "node"), "members")
+        return cut(found.join(found.groupBy("id").agg(F.sum("size").alias("pull")), "id"), "members")
 
     def sets(self, members: DataFrame) -> DataFrame:
-        """(node, shingles) of the classes that share a bucket."""
-        wanted = cut(self.classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), "wanted")
-        few = wanted.count() <= BROADCAST_ROWS
-        docs = self.docs.withColumn("text_hash", F.xxhash64("text"))
-        found = docs.join(F.broadcast(wanted) if few else wanted, docs.doc_id.eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-        # rows that repeat a document whole give one set
-        return cut(found.select("node", set_bytes("text").alias("shingles")).dropDuplicates(["node"]), "sets")
+        """(id, shingles) of the classes that share a bucket."""
+        wanted = cut(self.classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "node", F.xxhash64("first.doc_id", "first.text_hash").alias("key")), "wanted")
+        docs = sieved(self.docs, F.xxhash64("doc_id", F.xxhash64("text")), wanted.select("key"), "maybe")
+        found = docs.where("maybe").select(sets_of("text").alias("s")).select("s.*").dropDuplicates(["node"])
+        return cut(found.join(wanted, "node").select("id", "shingles"), "sets")
 
     def links(self) -> DataFrame | None:
         """(a, b) of similar classes, enough of them for the components; None if no bucket is shared."""
@@ -205,38 +224,40 @@ class _Classes:
         if members.isEmpty():
             return None
         sets = self.sets(members)
-        x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
 
         def hold(pairs: DataFrame) -> DataFrame:
             return cut(pairs.join(x, "a").join(y, "b").where(similar("x", "y")).select("a", "b"), "links")
 
-        pivots = members.groupBy("band").agg(F.max(F.struct("pull", "node", "n")).alias("p")).select("band", F.col("p.node").alias("b"), F.col("p.n").alias("m"))
+        pivots = members.groupBy("band").agg(F.max(F.struct("pull", "id", "n")).alias("p")).select("band", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"))
         could = 4 * F.least("n", "m") >= 3 * F.greatest("n", "m")  # the sizes alone rule many out
-        pairs = cut(members.join(pivots, "band").where((F.col("node") != F.col("b")) & could).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+        met = members.join(pivots, "band").where((F.col("id") != F.col("pivot")) & could)
+        met = met.groupBy(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).agg(F.count("*").alias("times"), F.min("size").alias("size"))
+        pairs = cut(met.where((F.col("times") >= MEETINGS) | (F.col("size") == 2)).select("a", "b"), "pairs")
         links = hold(pairs)
-        members = members.select("band", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = members.select("band", "id").join(components(links), F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
         members = cut(members, "members")
         several = members.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where("r1 <> r2 AND size > 2").select("band")
         left = cut(members.join(several, "band"), "members")
         if left.isEmpty():
             return links
-        more = _across(left, sets).join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        more = _across(left, sets).join(pairs, ["a", "b"], "left_anti")
         return links.unionByName(hold(cut(more, "pairs")))
 
 
-def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per document: (doc_id, text_hash, n, node, first). node: its class, null without shingles; first: the least
-    (no_id, doc_id, text_hash) of its component, so null ids come last."""
-    c = _Classes(docs, doc_id, text)
-    links = c.links()
-    own = c.classes.select("node", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("first"))
-    if links is not None:
-        roots = cut(components(links), "roots")
-        ids = roots.join(own, "node")
-        least = ids.groupBy("root").agg(F.min("first").alias("least"))
-        linked = ids.join(least, "root").select("node", "least")
-        own = cut(own.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("first")), "components")
-    return c.sketches.select("doc_id", "text_hash", "n", "node").join(own, "node", "left")
+def _labelled(docs: DataFrame, doc_id: str, text: str, label: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``label`` of, per document: (doc_id, text_hash, n, node, first). node: its class, null without shingles; first:
+    the least (no_id, doc_id, text_hash) of its component, so null ids come last. The tables on the way are deleted."""
+    with scratch() as keep:
+        c = _Classes(docs, doc_id, text)
+        links = c.links()
+        own = c.classes.select("id", "node", "first")
+        if links is not None:
+            ids = cut(components(links).select(F.col("node").alias("id"), "root").join(own, "id").select("id", "root", "first"), "roots")
+            linked = ids.join(ids.groupBy("root").agg(F.min("first").alias("least")), "root").select("id", "least")
+            own = own.join(linked, "id", "left").select("node", F.coalesce("least", "first").alias("first"))
+        own = cut(own.select("node", "first"), "components")
+        return keep(cut(label(c.sketches.select("doc_id", "text_hash", "n", "node").join(own, "node", "left")), "labelled"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,29 +269,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     are all kept, and a null id is kept only where its component has no other. An empty table gives an empty one.
     Other columns aren't read.
     """
-    x = _labelled(docs, doc_id, text).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")))
-    return x.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+
+    def label(x: DataFrame) -> DataFrame:
+        x = x.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")))
+        return x.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+
+    return _labelled(docs, doc_id, text, label)
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` per component, with the same columns, and all rows without shingles (linked with nothing).
 
     The row is one with the smallest id, null ids last, and of its texts the one with the least hash; of rows that
-    repeat both, any one stays.
+    repeat both, any one stays. Rows that surely go nowhere near the list of what goes are passed on as they are; only
+    the others are shuffled, and joined with it exactly.
     """
-    gone = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
-    x = _labelled(docs, doc_id, text).where("node IS NOT NULL").groupBy(F.col("doc_id").alias("marked_id"), F.col("text_hash").alias("marked_hash"))
-    marks = cut(x.agg(F.max(gone).alias("gone"), F.count("*").alias("rows")).where("gone OR rows > 1").select("marked_id", "marked_hash", "gone"), "marks")
-    repeats = marks.where("NOT gone")
-    n, n_repeats = marks.count(), repeats.count()
-
-    def join(marked: DataFrame, few: bool, how: str) -> DataFrame:
-        same = docs[doc_id].eqNullSafe(marked.marked_id) & F.xxhash64(docs[text]).eqNullSafe(marked.marked_hash)
-        return docs.join(F.broadcast(marked) if few else marked, same, how)  # not few: the texts are shuffled
-
-    out = join(marks, n <= BROADCAST_ROWS, "left_anti")
-    if not n_repeats:
-        return out
-    text_hash = fresh(docs, "text_hash")
-    again = join(repeats, n_repeats <= BROADCAST_ROWS, "left_semi").withColumn(text_hash, F.xxhash64(docs[text]))
-    return out.unionByName(again.dropDuplicates([doc_id, text_hash]).drop(text_hash))
+
+    def label(x: DataFrame) -> DataFrame:
+        """(key, gone) of the documents, by id and text, that go or of which one row of several stays."""
+        gone = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+        x = x.where("node IS NOT NULL").groupBy(F.struct("doc_id", "text_hash").alias("key")).agg(F.max(gone).alias("gone"), F.count("*").alias("rows"))
+        return x.where("gone OR rows > 1").select("key", "gone")
+
+    marks = _labelled(docs, doc_id, text, label)
+    names = {c: fresh(docs, c) for c in ("marked", "key", "maybe")}
+    text_hash = F.xxhash64(F.col(text))
+    x = sieved(docs, F.xxhash64(F.col(doc_id), text_hash), marks.select(F.xxhash64("key.doc_id", "key.text_hash").alias("k")), names["maybe"])
+    maybe = F.col(names["maybe"]) & F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    once = x.where(maybe).withColumn(names["key"], F.struct(F.col(doc_id).alias("doc_id"), text_hash.alias("text_hash"))).dropDuplicates([names["key"]])
+    gone = marks.where("gone").select(F.col("key").alias(names["marked"]))
+    once = once.join(gone, F.col(names["key"]) == F.col(names["marked"]), "left_anti")
+    return x.where(~maybe).select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+#: The same in DuckDB, from the shingles themselves: every pair that shares one is counted, and reachability is recursive.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS s FROM w),
+x AS (SELECT r, CAST(len(s) AS BIGINT) AS n, unnest(s) AS shingle FROM s),
+both_ AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS i FROM x a JOIN x b ON a.shingle = b.shingle AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_ WHERE 100 * i >= 75 * (n + m - i)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r, r AS t FROM s UNION SELECT x.r, e.b FROM reach x JOIN edges e ON x.t = e.a),
+least_ AS (SELECT x.r, min(s.doc_id) AS component_id FROM reach x JOIN s ON s.r = x.t GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id IS NOT DISTINCT FROM l.component_id AS kept FROM s JOIN least_ l USING (r)
+"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, tidy
+from .common import cut, new_folder, tidy
 
 # Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -264,4 +264,4 @@ def read_files(manifest: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     """The packed rows of the documents, written to the shared folder and read back through the manifest."""
-    return read_files(pack_files(docs, f"{shared_dir(docs.sparkSession)}/packed-{uuid.uuid4().hex}", capacity))
+    return read_files(pack_files(docs, new_folder(docs.sparkSession, "packed"), capacity))

@@ -55,4 +55,5 @@ ORACLES = {
     "op4_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.oracle(),
     "op6_mixing": mixing.oracle(),
+    "op8_near_dedup": near_dedup.ORACLE,
 }

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, new_folder
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are never replaced by a revisit.
@@ -195,7 +195,7 @@ def round_trip(pages: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     alike: all response or all revisit. An empty table writes and gives nothing. Other columns aren't read.
     """
     spark: SparkSession = pages.sparkSession
-    found = read(write(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"), split_bytes, payloads=False)
+    found = read(write(pages, new_folder(spark, "warc")), split_bytes, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
