@@ -142,13 +142,70 @@ def test_decontamination(spark, odd, none):
     assert decontamination.contaminated(docs, bench.where("false")).count() == 0
 
 
+def brute_hits(docs, bench, threshold=0.6, question=0.5, answer=0.5):
+    """Every window of every text scored against every item, term by term."""
+    items = sorted({(i, t) for i, t in bench if t is not None}, key=str)
+    bags = [Counter(decontamination.words_of(t)) for _, t in items]
+    mean = sum(sum(b.values()) for b in bags) / max(1, len(items))
+    df = Counter(w for b in bags for w in b)
+    out = []
+    for (i, t), bag in zip(items, bags):
+        if not bag:
+            continue
+        n = sum(bag.values())
+        weight = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) for w, tf in bag.items()}
+        step = 32
+        while step < n:
+            step *= 2
+        q_words, a_words = decontamination.question_and_answer(t)
+        for d, text in docs:
+            words_, best = decontamination.words_of(text), None
+            for start in range(0, len(words_), step):
+                passage = words_[start : start + 2 * step]
+                score = sum(weight[w] for w in set(passage) & set(weight)) / sum(weight.values())
+                q, a = decontamination.overlap(q_words, passage), decontamination.overlap(a_words, passage)
+                if score >= threshold - 1e-9 and (q is None or q >= question) and (a is None or a >= answer) and (best is None or score > best[0] + 1e-12):
+                    best = (score, q, a, start, start + len(passage) - 1)
+            if best:
+                out.append((d, i, round(best[0], 9), *best[1:]))
+    return sorted(out, key=str)
+
+
+def test_decontamination_matches_full_scoring(spark, odd, monkeypatch):
+    """The whole query against scoring everything, with long texts cut, items of all lengths, repeated and null ids."""
+    monkeypatch.setattr(decontamination, "SLICE", 700)  # of workers that fork here only; the result is the same anyway
+    bench = bench_rows() + [(5, "What " + text(25, 505) + "? " + text(6, 705)), (5, text(45, 901) + "? " + text(3, 902)), (60, text(150, 903) + "? " + text(10, 904)), (None, text(20, 800)), (None, text(30, 801)), (61, text(3, 905))]
+    items = [t for _, t in bench if t]
+    r = random.Random(12)
+    rows = [(x[0], x[1]) for x in odd_rows() if len(x[1] or "") < 100_000]
+    for n in range(60):
+        own = r.choice(items).split()
+        own = [w if r.random() > 0.04 * (n % 6) else "zzz" for w in own[: r.choice((len(own), len(own), len(own) - 4))]]
+        rows.append((1000 + n, text(r.randint(0, 150), 40 + n) + " " + " ".join(own) + " " + text(r.randint(0, 90), 400 + n) + " " + (r.choice(items) if n % 9 == 0 else "")))
+    docs, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = brute_hits(rows, bench)
+    assert len({x[0] for x in want}) > 25
+    rounded = lambda df: sorted([(x[0], x[1], round(x[2], 9), *x[3:]) for x in df.collect()], key=str)
+    assert rounded(decontamination.contaminated(docs, b)) == want
+    assert rounded(decontamination.contaminated(docs, b, shard_items=4)) == want
+    dirty = {t for _, t in rows} & {t for d, t in rows if d in {x[0] for x in want}}
+    assert sorted(map(str, decontamination.decontaminate(docs, b, shard_items=7).collect())) == sorted(f"Row(doc_id={d!r}, text={t!r})" for d, t in rows if t not in dirty)
+
+
+def test_passages_of_cut_texts(monkeypatch):
+    t = "  " + text(400, 3) + " ... " + text(300, 4)
+    monkeypatch.setattr(decontamination, "SLICE", 90)
+    for start, n in ((0, 64), (64, 64), (33, 7), (650, 64), (699, 64), (800, 64)):
+        assert decontamination.passage_of(t, start, n) == decontamination.words_of(t)[start : start + n]
+
+
 def test_wand_retrieves_all(spark):
     rows = [(i, text(30, i)) for i in range(60)]
     bench = spark.createDataFrame(rows, "item_id long, text string")
-    x = decontamination.indexes(bench, 0.2)[0]
-    rng = random.Random(1)
+    shard = next(decontamination.shards(bench, 0.2, 4000))
+    x, rng = shard.classes[0], random.Random(1)
     for _ in range(30):
-        query = sorted({x.term[w] for i in rng.sample(range(60), 3) for w in decontamination.words_of(rows[i][1])[: rng.randint(3, 25)]})
+        query = sorted({shard.term[w] for i in rng.sample(range(60), 3) for w in decontamination.words_of(rows[i][1])[: rng.randint(3, 25)]})
         score = defaultdict(float)
         for t in query:
             for i, w in zip(x.postings[t], x.weights[t]):
@@ -157,11 +214,6 @@ def test_wand_retrieves_all(spark):
         assert [(i, round(s, 9)) for i, s in decontamination.wand(query, x, list(range(x.n_blocks)))] == want
 
 
-def test_shards_find_the_same(spark):
-    bench = spark.createDataFrame(bench_rows(), "item_id long, text string")
-    assert sum(len(i.item_ids) for i in decontamination.indexes(bench, 0.6, shard_items=4)) == 13
-
-
 # ---------------------------------------------------------------- 4
 
 
