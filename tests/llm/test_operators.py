@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -97,6 +98,67 @@ def test_viterbi_is_the_best_path():
         assert cost(list(got)) == pytest.approx(max(map(cost, paths)), abs=1e-4)
 
 
+def plain_identify(t, model):
+    """(lang_pred, score) of a text, letter by letter and word by word."""
+    mask, found = (1 << 64) - 1, []
+    for m in re.finditer(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*", t or ""):
+        code, scores = [0, 0] + [ord(c.lower()) for c in m[0]] + [0], []
+        for lang in range(len(model.langs)):
+            total = 0.0
+            for i in range(2, len(code)):
+                pair = code[i - 1] * 0x110000 + code[i]
+                triple = (((code[i - 2] * 0x9E3779B97F4A7C15) & mask) ^ pair) & mask
+                total += sum(float(table[((x * 0xD6E8FEB86659FD93) & mask) >> (64 - b.bit_length() + 1)][lang]) for table, x, b in zip(model.tables, (pair, triple), language_id.BUCKETS))
+            script = next((k for k, ranges in enumerate(language_id.SCRIPTS.values(), 1) if any(x <= ord(m[0][0]) <= y for x, y in ranges)), 0)
+            scores.append(total - (0 if model.allowed[script][lang] else 1e4))
+        found.append((len(m[0]), scores))
+    if not found:
+        return "und", 0.0
+    n = len(model.langs)
+    value, back = list(found[0][1]), []
+    for _, scores in found[1:]:
+        back.append([max(range(n), key=lambda k: value[k] - (0 if k == j else model.penalty)) for j in range(n)])
+        value = [value[back[-1][j]] - (0 if back[-1][j] == j else model.penalty) + scores[j] for j in range(n)]
+    path = [max(range(n), key=value.__getitem__)]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    letters = Counter()
+    for (size, _), k in zip(found, reversed(path)):
+        letters[k] += size
+    best = max(range(n), key=lambda k: letters[k])
+    return model.langs[best], letters[best] / sum(letters.values())
+
+
+def test_language_query_matches_a_plain_version(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    model = language_id.train(docs.where(~common.held_out("doc_id")), 2000)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = QUERIES["op1_language_id"](spark, sf).collect()
+    assert len(got) == len(texts)
+    some = sorted(got, key=lambda r: len(texts[r.doc_id]))[:120]
+    for r in some:
+        lang, score = plain_identify(texts[r.doc_id], model)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6)
+
+
+def test_marks_without_a_letter_and_many_languages(spark, sf):
+    model = language_id.train(common.table(spark, sf, "documents"), 500)
+    got = language_id.identify(["\u0301\u0302 \u0303!", "a\u0301 \u0301", None], model)
+    assert [x["lang_pred"] == "und" for x in got] == [True, False, True] and got[0]["score"] == 0.0
+    scores = np.zeros((5, 300), np.float32)
+    scores[:, 250] = 9.0
+    assert language_id.viterbi(scores, np.array([5]), 1.0).tolist() == [250] * 5
+
+
+def test_lowest_takes_the_least_of_each(spark):
+    x = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 60, "b").alias("k"), F.xxhash64("id").alias("h"))
+    rows, by = x.collect(), defaultdict(list)
+    for r in rows:
+        by[r.k].append(r.h)
+    got = sorted(((r.k, r.h) for r in common.lowest(x, "k", 100).collect()), key=str)
+    assert got == sorted(((k, h) for k, hs in by.items() for h in sorted(hs)[:100]), key=str)
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -111,11 +173,37 @@ def test_quality_separates(spark, sf, odd, none, labels):
     assert quality_classifier.keep_quality(odd, labels).columns == odd.columns
 
 
+def test_quality_query_matches_a_plain_version(spark, sf):
+    """The cut is the best one for all labelled documents, and scores follow from the weights alone."""
+    docs, lab = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    ranker = quality_classifier.train(docs, lab)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    strength = {d: float(((np.array(quality_classifier.features(t)) - ranker.mean) / ranker.scale).clip(-6, 6) @ ranker.weights) for d, t in texts.items()}
+    learnt = {r.doc_id: r.quality for r in lab.where(~common.held_out("doc_id")).where("quality IN (0, 1)").collect() if r.doc_id in texts}
+    wrong = lambda c: sum((strength[d] >= c) != bool(q) for d, q in learnt.items())
+    assert wrong(ranker.cut) <= min(wrong(c) for c in sorted(strength[d] for d in learnt)) + 1  # one bin may hold two
+    for r in QUERIES["op2_quality_classifier"](spark, sf).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(strength[r.doc_id] - ranker.cut + math.log(0.3 / 0.7)))), abs=1e-9) and r.predicted == int(r.score >= 0.3)
+
+
+def test_hot_ids_do_not_reach_the_driver(spark):
+    """An id that most rows repeat is one row of the sample."""
+    rows = [(7, text(60, i % 5)) for i in range(3000)] + [(i, text(60, i) + (" !!! $$$" if i % 2 else "")) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(7, 1, 0)] + [(i, 1 - i % 2, 0) for i in range(100, 400)], LABELS)
+    r = quality_classifier.score_quality(docs, lab).where("doc_id >= 100").collect()
+    assert len(r) == 300 and sum(x.predicted == 1 - x.doc_id % 2 for x in r) >= 290
+
+
 def test_pairs_rank():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5))
     y = (x[:, 0] - 0.5 * x[:, 1] + 0.1 * rng.normal(size=400) > 0.8).astype(int)
-    m = quality_classifier.fit(x, y, float(y.mean()))
+    m = quality_classifier.fit(x, y)
+    s = m.strengths(x)
+    edges = np.linspace(s.min(), s.max() + 1e-9, 1000)
+    n = [np.histogram(s[y == k], edges)[0] for k in (1, 0)]
+    m = replace(m, cut=float(edges[quality_classifier.best_cut(*n)]))
     s = m.scores(x)
     assert (s[y == 1][:, None] > s[y == 0][None]).mean() > 0.97 and ((s >= 0.3) == y).mean() > 0.93
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.cut import materialise as cut  # noqa: F401
@@ -44,6 +44,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lowest(keys: DataFrame, by: str, most: int) -> DataFrame:
+    """Of each ``by`` the ``most`` rows with the least ``h``, a 64-bit hash that no two rows of one ``by`` share.
+
+    A threshold from the count lets twice as many through, on average, before they are numbered, so no task sorts all
+    rows of a ``by``; fewer than ``most`` only pass where there are no more.
+    """
+    n = keys.groupBy(by).agg(F.count("*").alias("n")).select(F.col(by).alias("b"), "n")
+    passing = keys.join(n, F.col(by).eqNullSafe(F.col("b"))).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(2.0 * most + 50) / F.col("n"))
+    return passing.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("h"))).where(F.col("nth") <= most).select(*keys.columns)
+
+
 #: Bits of the largest sieve: 64 MB, in 16,384 rows.
 SIEVE_BITS = 1 << 29
 _CELL = 15

@@ -17,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, spread, tidy
+from .common import held_out, lowest, spread, tidy
 
 # Unicode script ranges (first, last code point).
 SCRIPTS: dict[str, tuple[tuple[int, int], ...]] = {
@@ -63,20 +63,21 @@ class Model:
 
 
 @functools.cache
-def code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: whether it is part of a word, its lower case, its script."""
+def code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: whether it is part of a word, its lower case, its script, whether it is a mark and no letter."""
     n = 0x110000
-    word, lower, script = np.zeros(n, bool), np.arange(n, dtype=np.uint32), np.zeros(n, np.uint8)
+    word, lower, script, mark = np.zeros(n, bool), np.arange(n, dtype=np.uint32), np.zeros(n, np.uint8), np.zeros(n, bool)
     for c in range(n):
         x = chr(c)
-        if x.isalpha() or (c > 0x2FF and unicodedata.category(x)[0] == "M"):
+        mark[c] = c > 0x2FF and unicodedata.category(x)[0] == "M"
+        if x.isalpha() or mark[c]:
             word[c] = True
             if len(y := x.lower()) == 1:
                 lower[c] = ord(y)
     for i, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
             script[a : b + 1] = i
-    return word, lower, script
+    return word, lower, script, mark
 
 
 @dataclass
@@ -91,12 +92,18 @@ class Words:
 
 
 def words_of(texts: list[str]) -> Words:
-    word, lower, scripts = code_points()
+    word, lower, scripts, mark = code_points()
     offset = np.cumsum([0, *[len(t) + 1 for t in texts]])
     raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = word[raw] if len(raw) else np.zeros(0, bool)
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    marks = np.cumsum(np.append(0, mark[raw]))
+    bare = marks[end] - marks[start] == end - start  # marks without a letter are no word
+    if bare.any():
+        for a, b in zip(start[bare], end[bare]):
+            inside[a:b] = False
+        start, end = start[~bare], end[~bare]
     code = np.where(inside, lower[raw], 0).astype(np.uint64)
     one = np.concatenate([[0], code[:-1]]).astype(np.uint64)
     two = np.where(one == 0, 0, np.concatenate([[0, 0], code[:-2]])[: len(code)]).astype(np.uint64)
@@ -152,9 +159,9 @@ def word_scores(w: Words, model: Model) -> np.ndarray:
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word. scores: words of document after document; lengths: falling, none 0."""
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    back = np.empty(scores.shape, np.int8)
-    label = np.empty(len(scores), np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    back = np.empty(scores.shape, np.int16)
+    label = np.empty(len(scores), np.int16)
+    own = np.arange(scores.shape[1], dtype=np.int16)
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # documents longer than t
     value = scores[first].copy()
     for t in range(1, lengths[0]):
@@ -165,7 +172,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
         at = first[:n] + t
         back[at] = np.where(v >= top, own, best[:, None])
         value[:n] = np.maximum(v, top) + scores[at]
-    now = value.argmax(axis=1).astype(np.int8)
+    now = value.argmax(axis=1).astype(np.int16)
     for t in range(lengths[0] - 1, -1, -1):
         n = active[t]
         at = first[:n] + t
@@ -225,13 +232,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, per_lang: int = 2000, penalty: float = 12.0, least_share: float = 0.005) -> Model | None:
-    """A model of the languages in ``docs`` (doc_id, text, lang), from the ``per_lang`` documents of each whose id
-    hashes lowest; that bounds both what is read and the table of counts that the driver gets. None without any."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = known.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(spread("doc_id"), "doc_id")).alias("nth"))
-    sample = ranked.where(F.col("nth") <= per_lang).select("doc_id", "lang").distinct()
+    """A model of the languages in ``docs`` (doc_id, text, lang), from the ``per_lang`` documents of each that hash
+    lowest by id and text; that bounds both what is read and the table of counts that the driver gets. Rows that
+    repeat a document whole count once. None without any."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", spread("doc_id", spread("text")).alias("h"))
+    sample = lowest(known.select("lang", "h").distinct(), "lang", per_lang)
     # at most per_lang rows a language
-    texts = known.select("doc_id", "text", "lang").join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    texts = known.join(F.broadcast(sample), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
     found = texts.mapInArrow(_counts, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if not len(found):
         return None

@@ -1,31 +1,45 @@
 """Operator 2: a quality score learnt from preference pairs (Bradley-Terry), thresholded at a score quantile.
 
 A document's strength is linear in its features. A pair of a document labelled 1 and one labelled 0 is a preference;
-the logistic loss of the pair's strength difference is minimised. The cut is the quantile of the labelled documents'
-strengths that classifies them best, and the score is the logistic function placed so that the cut scores ``at``.
+the logistic loss of the pair's strength difference is minimised. The cut is the quantile of strengths, among all
+labelled documents that may be learnt from, that classifies them best, taken from a histogram; and the score is the
+logistic function placed so that the cut scores ``at``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held_out, spread, tidy
+from .common import cut, fresh, held_out, lowest, sieved, spread, tidy
 from .quality_rules import measure
 
 _KINDS = {"upper": range(65, 91), "digit": range(48, 58), "mark": b"!", "bar": b"|", "stop": b".,;:?", "symbol": b"#*$%&<>@~^_=+\\{}[]"}
 _OTHERS = {k: bytes(v) for k, v in _KINDS.items()}
 
 
-def features(text: str | None) -> list[float]:
-    """Rates of a whole text, each also as its square root, which tells small rates apart."""
+#: Buckets of hashed byte trigrams.
+GRAMS = 256
+
+
+def grams(data: bytes) -> np.ndarray:
+    """Roots of the shares of hashed trigrams of bytes."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint32)
+    if len(x) < 3:
+        return np.zeros(GRAMS)
+    h = ((x[:-2] << 16) ^ (x[1:-1] << 8) ^ x[2:]) * np.uint32(0x9E3779B1)
+    return np.sqrt(np.bincount(h >> 24, minlength=GRAMS) / len(h))
+
+
+def features(text: str | None) -> np.ndarray:
+    """Rates of a whole text, each also as its square root, which tells small rates apart; its length; its trigrams."""
     data = (text or "").encode()
     words = data.split()
     n, letters, _, dup_lines, repeated = measure(text)
@@ -45,7 +59,7 @@ def features(text: str | None) -> list[float]:
         1 - len(set(words)) / w,
         min(letters / w, 50.0) / 50,
     ]
-    return [*rates, *map(math.sqrt, rates), math.log1p(n)]
+    return np.concatenate([rates, np.sqrt(rates), [math.log1p(n)], grams(data)])
 
 
 N_FEATURES = len(features("a"))
@@ -62,13 +76,18 @@ class Ranker:
     def strengths(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights
 
+    @property
+    def most(self) -> float:
+        """No strength is greater, or less than its negative."""
+        return max(1e-9, 6 * float(np.abs(self.weights).sum()))
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = self.strengths(x) - self.cut + math.log(self.at / (1 - self.at))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, base: float, at: float = 0.3, n_pairs: int = 40_000, ridge: float = 1e-3, rounds: int = 25) -> Ranker | None:
-    """base: the share of label 1 in all labelled rows; the sample may hold the labels in other shares."""
+def fit(x: np.ndarray, y: np.ndarray, at: float = 0.3, n_pairs: int = 40_000, ridge: float = 1e-3, rounds: int = 25) -> Ranker | None:
+    """The weights, from a sample of labelled documents; the cut is 0 until ``cut_at`` sets it."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return None
@@ -86,14 +105,29 @@ def fit(x: np.ndarray, y: np.ndarray, base: float, at: float = 0.3, n_pairs: int
         w -= step * min(1.0, 4 / max(1e-9, float(np.linalg.norm(step))))
         if float(np.abs(step).max()) < 1e-6:
             break
-    s = z @ w
-    weight = np.where(y == 1, base / len(good), (1 - base) / len(bad))
-    order = np.argsort(s, kind="stable")
-    # cutting below the i-th: label 1 below and label 0 above are wrong
-    wrong = np.concatenate([[0], np.cumsum(np.where(y == 1, weight, 0)[order])]) + (1 - base) - np.concatenate([[0], np.cumsum(np.where(y == 0, weight, 0)[order])])
-    i = int(np.argmin(wrong))
-    ends = np.concatenate([[s[order[0]] - 1], s[order], [s[order[-1]] + 1]])
-    return Ranker(mean, scale, w, float((ends[i] + ends[i + 1]) / 2), at)
+    return Ranker(mean, scale, w, 0.0, at)
+
+
+def best_cut(below: np.ndarray, wrong: np.ndarray) -> int:
+    """The bin at whose lower end cutting is least wrong, the middle one of several in a row. below, wrong: documents
+    of label 1 and 0 by bin."""
+    errors = np.concatenate([[0], np.cumsum(below)]) + wrong.sum() - np.concatenate([[0], np.cumsum(wrong)])
+    first = last = int(errors.argmin())
+    while last + 1 < len(errors) and errors[last + 1] == errors[first]:
+        last += 1
+    return (first + last) // 2
+
+
+def _each(f: Callable[[np.ndarray], np.ndarray]):
+    """A column of numbers from the features of a text column."""
+
+    @F.arrow_udf(T.DoubleType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(f(np.array([features(t.as_py()) for t in batch]).reshape(-1, N_FEATURES)), pa.float64())
+            tidy()
+
+    return run
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -103,34 +137,34 @@ def feature_column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, at: float = 0.3) -> Ranker | None:
-    """Learns from labelled rows that aren't held out: of each label the ``per_class`` whose id hashes lowest, which
-    bounds the rows that come to the driver. A repeated id counts with its lowest label. None without both labels."""
+    """Learns from labelled rows that aren't held out. The weights are fitted on the ``per_class`` documents of each
+    label whose id hashes lowest, one text of each id, which bounds the rows that come to the driver; the cut comes
+    from the strengths of all of them. A repeated id counts with its lowest label. None without both labels."""
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    shares = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    if not shares.get(0) or not shares.get(1):
-        return None
-    nth = F.row_number().over(Window.partitionBy("quality").orderBy(spread("doc_id"), "doc_id"))
-    sample = rows.withColumn("nth", nth).where(F.col("nth") <= per_class).select("doc_id", "quality")
+    rows = cut(rows.withColumn("h", spread("doc_id")), "labelled")
     # at most 2 * per_class rows
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", feature_column("text").alias("x")).toPandas()
-    if not len(found):
-        return None
-    return fit(np.array(found.x.tolist()), found.quality.to_numpy(), shares[1] / (shares[0] + shares[1]), at)
+    sample = F.broadcast(lowest(rows, "quality", per_class).select("doc_id", "quality"))
+    one = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", spread("text")).alias("text"))
+    found = one.orderBy("doc_id").select("quality", feature_column("text").alias("x")).toPandas()
+    ranker = fit(np.array(found.x.tolist()), found.quality.to_numpy(), at) if len(found) else None
+    return ranker and cut_at(ranker, docs, rows)
 
 
-def score(text: str | Column, ranker: Ranker | None, at: float = 0.3) -> Column:
-    """The score column of a text column; ``at`` everywhere without a ranker."""
-    if ranker is None:
-        return F.lit(at)
+def cut_at(ranker: Ranker, docs: DataFrame, rows: DataFrame, bins: int = 1 << 16) -> Ranker:
+    """``ranker`` with the cut that classifies the documents of all ``rows`` (doc_id, quality, h) best. Texts aren't
+    shuffled: a sieve of ids keeps unlabelled ones from being scored, and what is joined is (id, bin)."""
+    some = sieved(docs.select("doc_id", "text"), spread("doc_id"), rows.select("h"), "maybe").where("maybe")
+    place = F.least(F.lit(bins - 1), F.floor((_each(ranker.strengths)("text") / ranker.most + 1) * (bins / 2)))
+    scored = some.select("doc_id", place.alias("bin")).distinct().join(rows, "doc_id")
+    n = np.zeros((2, bins), np.int64)
+    for r in scored.groupBy("quality", "bin").count().collect():  # two rows a bin at most
+        n[r.quality, r.bin] = r["count"]
+    return replace(ranker, cut=(best_cut(n[1], n[0]) / (bins / 2) - 1) * ranker.most)
 
-    @F.arrow_udf(T.DoubleType())
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch]).reshape(-1, N_FEATURES)
-            yield pa.array(ranker.scores(x), pa.float64())
-            tidy()
 
-    return run(F.col(text) if isinstance(text, str) else text)
+def score(text: str | Column, ranker: Ranker | None, at: float = 0.3) -> Column:
+    """The score column of a text column; ``at`` everywhere without a ranker."""
+    return F.lit(at) if ranker is None else _each(ranker.scores)(F.col(text) if isinstance(text, str) else text)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 4000, at: float = 0.3) -> DataFrame:
