@@ -627,14 +627,81 @@ def test_license_lines_of_documents(spark, odd):
 
 def test_long_license_texts(spark):
     """A notice that is wrapped over many lines states the licence of its directory, however many they are."""
-    notice = license_scan.TEMPLATES["GPL-3.0"][2].split() * 12
+    notice = license_scan.TEMPLATES["GPL-3.0"][4].split() * 12
     wrapped = {n: "\n".join(notice[:n]) for n in (400, 401, len(notice))}
     foreign = "\n".join(notice[: len(notice) // 12] + words(420, 8))
     rows = [(f"d{n}/{name}", t) for n, t in wrapped.items() for name, t in (("notes.txt", t), ("sub/x.py", text(30, 3)))] + [("f/notes.txt", foreign), ("f/x.py", text(30, 3)), ("g/LICENSE", wrapped[401]), ("g/x.py", None)]
+    # f: a notice wrapped over lines above foreign text is a header, but not the licence of the directory
     got = {r.path: (r.license, r.inherited_from, r.effective) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     gpl = "GPL-3.0"
     want = {f"d{n}/notes.txt": (gpl, None, gpl) for n in wrapped} | {f"d{n}/sub/x.py": (None, f"d{n}", gpl) for n in wrapped}
-    assert got == want | {"f/notes.txt": (None, None, None), "f/x.py": (None, None, None), "g/LICENSE": (gpl, None, gpl), "g/x.py": (None, "g", gpl)}
+    assert got == want | {"f/notes.txt": (gpl, None, gpl), "f/x.py": (None, None, None), "g/LICENSE": (gpl, None, gpl), "g/x.py": (None, "g", gpl)}
+
+
+def plain_scan(t, m):
+    """All headers of a text by their definition, each scored in full."""
+    lines = [(i, license_scan.words_of(x)) for i, x in enumerate((t or "").split("\n")) if license_scan.words_of(x)]
+
+    def cosine(bag):
+        x = {w: n * m.weight(w) for w, n in Counter(bag).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        found = [(sum(x[w] * v[w] for w in x if w in v) / size, name) for name, v in m.templates]
+        score = max(s for s, _ in found)
+        return next(n for s, n in found if s >= score - 1e-12), score
+
+    best, stated = (None, 0.0, None), set()
+    for a in range(len(lines)):
+        runs = {a}
+        for n in m.lengths:
+            total, b = 0, a
+            while b < len(lines) and (total := total + len(lines[b][1])) < n:
+                b += 1
+            if b < len(lines):
+                runs.add(b)
+        for b in sorted(runs):
+            name, score = cosine([w for _, ws in lines[a : b + 1] for w in ws])
+            if score >= m.threshold:
+                stated |= set(range(a, b + 1))
+                if score > best[1] + 1e-12:
+                    best = (name, score, lines[a][0])
+    only = bool(lines) and len(stated) == len(lines)
+    if lines and not only:
+        name, score = cosine([w for _, ws in lines for w in ws])
+        only = score >= m.threshold
+        if only and score > best[1] + 1e-12:
+            best = (name, score, lines[0][0])
+    return (*best, only)
+
+
+def test_license_headers_match_full_cosine(spark, sf):
+    texts = license_scan.TEMPLATES
+    mit, bsd = texts["MIT"][3].split(), texts["BSD-3-Clause"][2].split()
+    wrap = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    code = "\n".join(text(6, 700 + i) for i in range(30))
+    rows = [
+        "Copyright (c) 2020 Somebody\n\n" + wrap(mit, 11), "# " + wrap(mit, 9).replace("\n", "\n# ") + "\n\n" + code, code + "\n" + wrap(bsd, 8) + "\n" + code, wrap(bsd, 12), wrap(mit[:40], 5) + "\n" + code,
+        "/* " + wrap(texts["Apache-2.0"][2].split(), 10) + " */\n" + code, wrap(texts["GPL-3.0"][3].split(), 10), "the license of this\nsoftware is\nfree", code, "", None, "SPDX-License-Identifier: Zlib\n" + code, wrap(texts["ISC"][1].split(), 7) + "\n" + code,
+    ]
+    rows += [r.text for r in common.table(spark, sf, "documents").collect() if len(r.text) < 3000]
+    files = spark.createDataFrame([(f"d{i}/x", t) for i, t in enumerate(rows)], "path string, text string")
+    m = license_scan.train(files, "text", 0.7)
+    found = {r.path: r for r in files.select("path", license_scan.found_column("text", m).alias("f")).select("path", "f.*").collect()}
+    want = [plain_scan(t, m) for t in rows]
+    for i, (name, score, line, only) in enumerate(want):
+        r = found[f"d{i}/x"]
+        assert (r.license, r.line, r.only) == (name, line, only) and (name is None or r.score == pytest.approx(score)), i
+    assert [w[0] for w in want[:7]] == ["MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", "MIT", "Apache-2.0", "GPL-3.0"]
+    bags, n = [Counter(set(license_scan.words_of(t or ""))) for t in rows], len(rows)
+    df = sum(bags, Counter())
+    for w in ("license", "software", "of"):
+        assert m.idf[w] == pytest.approx(math.log((1 + n) / (1 + df[w])) + 1)
+
+
+def test_license_columns_that_clash(spark):
+    files = spark.createDataFrame([("a/LICENSE", "Released under the MIT License.", 1, 2), ("a/x", "", 3, 4)], "path string, text string, score int, line int")
+    got = license_scan.scan_licenses(files, keep=("score", "line"))
+    assert got.columns == ["path", "score_", "line_", "license", "score", "line", "inherited_from", "effective"]
+    assert sorted((r.path, r.score_, r.line_, r.effective) for r in got.collect()) == [("a/LICENSE", 1, 2, "MIT"), ("a/x", 3, 4, "MIT")]
 
 
 # ---------------------------------------------------------------- 10

@@ -1,56 +1,35 @@
 """Operator 9: the licence of each file, by TF-IDF cosine to templates and inheritance from directories.
 
-Each line of a whole text (a header), and the whole text of a file (a licence file), is a sparse TF-IDF vector, and
-its licence is that of the template with the greatest cosine, if that reaches a threshold. Document frequencies are
-counted over all files, for the words of the templates; any other word weighs as one that no file has, so foreign
-words around a notice lower its cosine. A file that is nothing but licence text, by its name or its lines, is the
-licence of its directory; a file without a header of its own has the licence of the nearest directory above it that
-has one. That is found per directory, by joining its ancestors with the licensed directories.
+A header is a run of lines of a whole text: a line by itself, or from any line the fewest lines with so many words as
+templates of a class of lengths have. A header, and the whole text of a file (a licence file), is a sparse TF-IDF
+vector, and its licence is that of the template with the greatest cosine, if that reaches a threshold. Document
+frequencies are counted over all files: for template words by word, for all others by one of ``BUCKETS`` hash buckets,
+which bounds the table. By Cauchy-Schwarz a vector that shares no heavy word of a template, its anchors, can't reach
+the threshold, so headers without an anchor aren't scored; nothing is lost by that.
+
+A file that is nothing but licence text, by its name or its lines, is the licence of its directory; a file without a
+header of its own has the licence of the nearest directory above it that has one. That is found per directory, by
+joining its ancestors with the licensed directories.
 """
 
 from __future__ import annotations
 
 import math
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
+from .licenses import TEMPLATES
 
-# Notices by which files state a licence.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
-    ),
-    "BSD-3-Clause": (
-        "Use of this source code is governed by a BSD-style license.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work.", "SPDX-License-Identifier: CC0-1.0"),
-}
 FILE_NAMES = ("license", "licence", "copying", "unlicense")
 MARKS = string.punctuation
 
@@ -62,88 +41,146 @@ def words_of(text: str) -> list[str]:
     return [x for w in text.lower().split() if (x := w.strip(MARKS))]
 
 
-VOCABULARY = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
+#: Buckets of the document frequencies of words that no template has.
+BUCKETS = 1 << 16
+#: Parts of each directory in the last join.
+SALTS = 16
+Templates = dict[str, tuple[str, ...]]
+
+
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
 @dataclass(frozen=True)
 class Model:
-    """idf by word, that of a word that no file has, and templates as (licence, unit vector)."""
+    """idf of template words and of buckets, templates as (licence, unit vector), words that one of them is in ``by``."""
 
     idf: dict[str, float]
-    unknown: float
+    other: np.ndarray
     templates: tuple[tuple[str, dict[str, float]], ...]
+    anchors: frozenset[str]
+    lengths: tuple[int, ...]
     threshold: float
 
+    def weight(self, word: str) -> float:
+        return self.idf.get(word) or float(self.other[bucket(word)])
 
-def model(n_files: int, df: dict[str, int], threshold: float = 0.7) -> Model:
-    weight = lambda n: math.log((1 + n_files) / (1 + n)) + 1
-    idf = {w: weight(df.get(w, 0)) for w in VOCABULARY}
-    templates = []
-    for name, texts in TEMPLATES.items():
-        for t in texts:
-            v = {w: n * idf[w] for w, n in Counter(words_of(t)).items()}
-            norm = math.sqrt(math.fsum(x * x for x in v.values()))
-            templates.append((name, {w: x / norm for w, x in v.items()}))
-    return Model(idf, weight(0), tuple(templates), threshold)
 
-
-def closest(words: list[str], m: Model) -> tuple[str | None, float]:
+def model(n_files: int, df: dict[str, int], buckets: dict[int, int], threshold: float = 0.7, given: Templates = TEMPLATES) -> Model:
+    weight = lambda n: math.log((1 + n_files) / (1 + n)) + 1
+    bags = [(name, Counter(words_of(t))) for name, texts in given.items() for t in texts if words_of(t)]
+    idf = {w: weight(df.get(w, 0)) for _, bag in bags for w in bag}
+    other = np.full(BUCKETS, weight(0))
+    for b, n in buckets.items():
+        other[b] = weight(n)
+    templates, anchors = [], set()
+    for name, bag in bags:
+        norm = math.sqrt(math.fsum((n * idf[w]) ** 2 for w, n in bag.items()))
+        v = {w: n * idf[w] / norm for w, n in bag.items()}
+        templates.append((name, v))
+        # cosine^2 is at most the sum of squares of the shared words; without the anchors that is under threshold^2
+        rest = 1.0
+        for w in sorted(v, key=lambda w: (-v[w], w)):
+            if rest < threshold**2 - 1e-9:
+                break
+            anchors.add(w)
+            rest -= v[w] ** 2
+    # a class of lengths for each power of the root of 2
+    lengths = {round(2 ** (math.ceil(2 * math.log2(sum(bag.values()))) / 2)) for _, bag in bags}
+    return Model(idf, other, tuple(templates), frozenset(anchors), tuple(sorted(lengths)), threshold)
+
+
+def closest(count: Counter, m: Model) -> tuple[str | None, float]:
     """The licence nearest to the words, with the cosine; none under the threshold. Ties go to the first template."""
-    known = [w for w in words if w in m.idf]
-    if not known:
-        return None, 0.0
-    # words that no template has, in the most favourable case each once, against the known ones
-    count = Counter(known)
-    known2 = sum((n * m.idf[w]) ** 2 for w, n in count.items())
-    other = len(words) - len(known)
-    if known2 < m.threshold**2 * (known2 + other * m.unknown**2):
-        return None, 0.0
-    if other:
-        known2 += m.unknown**2 * sum(n * n for w, n in Counter(words).items() if w not in m.idf)
-    norm = math.sqrt(known2)
+    x = {w: n * m.weight(w) for w, n in count.items()}
+    norm = math.sqrt(math.fsum(v * v for v in x.values()))
     best, name = 0.0, None
     for licence, v in m.templates:
-        cosine = sum(n * m.idf[w] * v[w] for w, n in count.items() if w in v) / norm
+        small, large = (x, v) if len(x) < len(v) else (v, x)
+        cosine = math.fsum(y * large[w] for w, y in small.items() if w in large) / norm
         if cosine > best + 1e-12:
             best, name = cosine, licence
     return (name, min(1.0, best)) if best >= m.threshold else (None, best)
 
 
+def headers(sizes: list[int], hot: list[int], m: Model) -> Iterator[tuple[int, int]]:
+    """(first, last) of the runs of lines that are headers and have one of the ``hot`` lines, by first and last line.
+    sizes: words by line, none 0."""
+    upto = np.cumsum([0, *sizes])
+    hot_lines = np.array(hot)
+    ends = {n: np.searchsorted(upto, upto[:-1] + n, "left") - 1 for n in m.lengths}
+    for first in range(len(sizes)):
+        found = {first, *[int(e[first]) for e in ends.values() if e[first] < len(sizes)]}
+        if max(found) < (at := int(hot_lines[min(len(hot) - 1, int(np.searchsorted(hot_lines, first)))])) or at < first:
+            continue
+        for last in sorted(found):
+            if last >= at:
+                yield first, last
+
+
 def scan(text: str | None, m: Model) -> dict:
-    """The best header of a whole text; ``only``: whether each line with words states a licence, or all do together."""
+    """The best header of a whole text, the first of equal ones; ``only``: whether each line with words lies in a
+    header that states a licence, or the whole text states one."""
     best = {"license": None, "score": 0.0, "line": None, "only": False}
-    lines = [(i, w) for i, x in enumerate((text or "").split("\n")) if (w := words_of(x))]
-    others = 0
-    for i, words in lines:
-        name, score = closest(words, m)
-        if name is None:
-            others += 1
-        elif score > best["score"]:
-            best |= {"license": name, "score": score, "line": i}
-    if lines and not others:
-        best["only"] = True
-    elif len(lines) > 1:
-        name, score = closest([w for _, ws in lines for w in ws], m)
+    if not text or m.anchors.isdisjoint(words_of(text)):
+        return best
+    lines = [(i, w) for i, x in enumerate(text.split("\n")) if (w := words_of(x))]
+    hot = [k for k, (_, w) in enumerate(lines) if not m.anchors.isdisjoint(w)]
+    stated = 0  # lines before this lie in headers that state a licence, or don't
+    covered, at = True, -1
+    count: Counter = Counter()
+    for first, last in headers([len(w) for _, w in lines], hot, m):
+        if first != at:
+            at, upto, count = first, first, Counter()
+        for k in range(upto, last + 1):
+            count.update(lines[k][1])
+        upto = last + 1
+        name, score = closest(count, m)
         if name is not None:
-            best |= {"only": True} | ({"license": name, "score": score, "line": lines[0][0]} if score > best["score"] else {})
+            covered, stated = covered and first <= stated, max(stated, last + 1)
+            if score > best["score"] + 1e-12:
+                best |= {"license": name, "score": score, "line": lines[first][0]}
+    if covered and stated == len(lines):
+        return best | {"only": True}
+    name, score = closest(Counter(w for _, ws in lines for w in ws), m)
+    if name is not None:
+        best |= {"only": True} | ({"license": name, "score": score, "line": lines[0][0]} if score > best["score"] + 1e-12 else {})
     return best
 
 
-def train(files: DataFrame, text: str, threshold: float) -> Model:
-    """Document frequencies of the templates' words over all files: one number a word comes to the driver."""
+class _Bare(dict):
+    """(word without marks, bucket) by word as it stands in a text."""
+
+    def __missing__(self, word: str) -> tuple[str, int]:
+        if len(self) > 100_000:
+            self.clear()
+        bare = word.strip(MARKS)
+        found = self[word] = (bare, bucket(bare))
+        return found
+
+
+def train(files: DataFrame, text: str, threshold: float, given: Templates = TEMPLATES) -> Model:
+    """Document frequencies over all files: a number for each template word and each bucket comes to the driver. A word
+    counts once a file; two of one bucket count as one."""
+    known = frozenset(w for texts in given.values() for t in texts for w in words_of(t))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frozenset(VOCABULARY)
         n: Counter = Counter()
+        buckets, bare, files = np.zeros(BUCKETS, np.int64), _Bare(), 0
         for batch in batches:
             for t in batch.column(0):
-                own = set((t.as_py() or "").lower().split())
-                n[""] += 1
-                n.update({w.strip(MARKS) for w in own} & known)
-        yield pa.RecordBatch.from_pydict({"word": list(n), "n": list(n.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
+                found = [bare[w] for w in set((t.as_py() or "").lower().split())]
+                n.update({w for w, _ in found} & known)
+                buckets[np.unique(np.fromiter((b for w, b in found if w), np.int64))] += 1
+                files += 1
+        some = np.flatnonzero(buckets)
+        rows = [("", -1, files), *((w, -1, k) for w, k in n.items()), *((None, b, k) for b, k in zip(some.tolist(), buckets[some].tolist()))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64()))], ["word", "bucket", "n"])
 
-    df = {r.word: r.n for r in files.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return model(df.pop("", 0), df, threshold)
+    found = files.select(text).mapInArrow(count, "word string, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n")).collect()
+    df = {r.word: r.n for r in found if r.word is not None}
+    return model(df.pop("", 0), df, {r.bucket: r.n for r in found if r.word is None}, threshold, given)
 
 
 def found_column(text: str, m: Model) -> Column:
@@ -155,21 +192,23 @@ def found_column(text: str, m: Model) -> Column:
     return run(F.col(text))
 
 
-def scan_licenses(files: DataFrame, threshold: float = 0.7, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def scan_licenses(files: DataFrame, threshold: float = 0.7, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), templates: Templates = TEMPLATES) -> DataFrame:
     """Per file: path, the columns of ``keep``, license, score and line (from 0) of its own header (null without),
     inherited_from (the directory whose licence it has, if it has none itself) and effective (its licence).
 
     A null path has no directory and inherits nothing; a path without '/' lies in the root ''. Of several licence
     files in a directory the one with the greatest score counts, then the first licence by name. Null and empty texts
-    have no header. Files that repeat a path are judged each by itself. An empty table gives an empty one. Other
-    columns aren't read.
+    have no header. Files that repeat a path are judged each by itself. An empty table gives an empty one. Columns of
+    ``keep`` named like one of ours get an underscore. Other columns aren't read.
     """
-    own = files.select(F.col(path).alias("path"), *keep, F.col(text).alias("text"))
-    m = train(own, "text", threshold)
+    ours = ("path", "license", "score", "line", "inherited_from", "effective")
+    named_ = {c: c if c.lower() not in ours else c + "_" for c in keep}
+    own = files.select(F.col(path).alias("path"), F.struct(F.lit(0).alias("0"), *[F.col(c).alias(named_[c]) for c in keep]).alias("keep"), F.col(text).alias("text"))
+    m = train(own, "text", threshold, templates)
     here = F.regexp_replace("path", "/?[^/]*$", "")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    x = own.select("path", *keep, found_column("text", m).alias("f"), here.alias("directory"), name.rlike(f"^({'|'.join(FILE_NAMES)})([.-].*)?$").alias("named"))
-    x = cut(x.select("path", *keep, "directory", "named", "f.*"), "licenses")
+    x = own.select("path", "keep", found_column("text", m).alias("f"), here.alias("directory"), name.rlike(f"^({'|'.join(FILE_NAMES)})([.-].*)?$").alias("named"))
+    x = cut(x.select("path", "keep", "directory", "named", "f.*"), "licenses")
     stated = x.where((F.col("named") | F.col("only")) & F.col("license").isNotNull() & F.col("directory").isNotNull())
     licensed = stated.groupBy("directory").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")).select(F.col("directory").alias("above"), F.col("best.license").alias("given"))
     # each directory's ancestors, itself first; nearest is longest
@@ -178,10 +217,12 @@ def scan_licenses(files: DataFrame, threshold: float = 0.7, path: str = "path",
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     chain = directories.select("directory", F.explode(F.array_distinct(above)).alias("above"))
     nearest = chain.join(licensed, "above").groupBy("directory").agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("n"))
-    nearest = nearest.select(F.col("directory").alias("d"), F.col("n.above").alias("inherited_from"), F.col("n.given").alias("given"))
-    out = x.join(nearest, (x.directory == nearest.d) & x.license.isNull(), "left")
+    # a directory may hold a third of all files, so each is dealt out to several tasks
+    nearest = nearest.select(F.col("directory").alias("d"), F.col("n.above").alias("inherited_from"), F.col("n.given").alias("given"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("path", "keep"), F.lit(SALTS)).cast("int")
+    out = x.join(nearest, (x.directory == nearest.d) & (salt == nearest.salt) & x.license.isNull(), "left")
     score = F.when(F.col("license").isNotNull(), F.col("score"))
-    return out.select("path", *keep, "license", score.alias("score"), "line", "inherited_from", F.coalesce("license", "given").alias("effective"))
+    return out.select("path", *[F.col("keep")[c].alias(c) for c in named_.values()], "license", score.alias("score"), "line", "inherited_from", F.coalesce("license", "given").alias("effective"))
 
 
 def scan_documents(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
