@@ -1,6 +1,7 @@
 """Each operator on the cases that its docstring names: nulls, empty and long texts, repeated rows, empty tables and
 clashing columns; against brute force where SQL has no word for it."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -330,6 +331,36 @@ def test_warc_payloads_return(spark, tmp_path):
     assert got == {i: (u, h) for i, u, h in rows}
 
 
+def foreign(kind, block, more=(), length=True):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", "Content-Type: x/y", *more, *([f"Content-Length: {len(block)}"] if length else [])]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    """Archives of two more writers beside ours: other record types, headers that are missing, chunks, hex digests."""
+    body = b"<p>\x1f\x8b\x08 body</p>"
+    hex_ = hashlib.sha1(body).hexdigest()
+    one = [
+        foreign("warcinfo", b"software: x\r\n"), foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", ["WARC-Target-URI: http://h/"]), foreign("response", b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + body, ["WARC-Target-URI: http://h/"]),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n" + body[:5] + b"\r\n" + f"{len(body) - 5:x}".encode() + b";e=1\r\n" + body[5:] + b"\r\n0\r\n\r\n", [f"WARC-Payload-Digest: sha1:{hex_.upper()}"]),
+    ]
+    two = [foreign("metadata", b"", length=False), foreign("resource", body, ["WARC-Payload-Digest: md5:abc"]), foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", ["WARC-Refers-To: <urn:uuid:a>"]), foreign("conversion", "é".encode())]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.warc.gz").write_bytes(b"".join(one))
+    (tmp_path / "two.warc.gz").write_bytes(b"junk" + b"".join(two))
+    warc.write(spark.createDataFrame([(1, "http://o/", "<b>ours</b>")], "page_id long, url string, html string"), f"file://{tmp_path}/ours").collect()
+    for split in (60, 1 << 20):
+        got = {(r.record_type, r.record_id.split(":")[1]): r for r in warc.read_folder(spark, f"file://{tmp_path}", split).collect() if r.record_type != "response"}
+        assert {k for k, _ in got} == {"warcinfo", "request", "metadata", "resource", "revisit", "conversion"}
+        assert bytes(got["resource", "uuid"].payload) == body and got["resource", "uuid"].payload_digest is None and got["revisit", "uuid"].payload_bytes is None and got["metadata", "uuid"].url is None
+        responses = [r for r in warc.read_folder(spark, f"file://{tmp_path}", split).collect() if r.record_type == "response"]
+        assert sorted((bytes(r.payload), r.payload_digest, r.page_id) for r in responses if r.page_id is None) == [(body, hex_, None)] * 2
+        assert [(r.page_id, bytes(r.payload), r.url) for r in responses if r.page_id is not None] == [(1, b"<b>ours</b>", "http://o/")]
+    bad = gzip.decompress(foreign("response", b"HTTP/1.1 200 OK\r\n\r\nother", [f"WARC-Payload-Digest: sha1:{hex_}"]))
+    with pytest.raises(ValueError, match="not what its headers say"):
+        warc.parse(bad)
+
+
 # ---------------------------------------------------------------- 5
 
 

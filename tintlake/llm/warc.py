@@ -1,7 +1,8 @@
 """Operator 4: WARC archives, one gzip member a record, and a reader that splits them.
 
-Writing: equal payloads of some size are stored once. Only (page id, digest) of the later dropped copies is found by
-an aggregation over digests; the payloads themselves are shuffled once, by page. Each task writes files of its own
+Writing: equal payloads of some size are stored once. The (page id, digest) of the copies that become revisits are
+found by an aggregation over digests; pages that surely aren't among them, by a bitmap of bounded size, are written
+where they are read, and only the others are shuffled. Each task writes files of its own
 through ``pyarrow.fs`` under names that no other attempt has, and its rows in the manifest, which Spark commits with
 the task, say which files count; so a task that is lost or run twice leaves no record twice.
 
@@ -23,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder
+from .common import cut, new_folder, scratch, sieved
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_REVISIT = 1000
 CHUNK = 1 << 20
+#: Parts of each payload's pages in the join that finds copies.
+SALTS = 8
 MANIFEST = "file string, bytes long, records long"
-RECORD = "file string, offset long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-_FIELDS = ("file", "offset", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload")
-_KINDS = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+RECORD = "file string, offset long, record_type string, record_id string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+_FIELDS = ("file", "offset", "record_type", "record_id", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload")
+_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
 
 
 def _open(uri: str):
@@ -69,10 +72,17 @@ def write(pages: DataFrame, folder: str, file_bytes: int = 1 << 29) -> DataFrame
     """Writes (page_id, url, html) as archives under ``folder``; the manifest of files that count."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = p.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "digest")
-    shared = large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("kept").isNotNull()).drop("n")
-    later = large.join(shared, "digest").where(F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")))
-    later = later.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "kept").distinct()
-    rows = p.join(later, p.page_id.eqNullSafe(later.p) & (p.digest == later.d), "left").select("page_id", "url", "payload", "digest", "kept")
+    shared = large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("kept").isNotNull())
+    # one payload may be that of a third of all pages, so each is dealt out to several tasks
+    shared = shared.select("digest", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    large = large.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    later = large.join(shared, ["digest", "salt"]).where(F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")))
+    with scratch() as keep:
+        later = keep(cut(later.select(F.struct("page_id", "digest").alias("later"), "kept").distinct(), "warc-later"))
+    key = F.xxhash64("page_id", "digest")
+    x = sieved(p, key, later.select(F.xxhash64("later.page_id", "later.digest").alias("k")), "maybe")
+    some = x.where("maybe").join(later, F.struct("page_id", "digest") == F.col("later"), "left").select("page_id", "url", "payload", "digest", "kept")
+    rows = x.where("NOT maybe").select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("kept")).unionByName(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,18 +153,66 @@ def members(stream, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             at += found[1]
 
 
+def _headers(data: bytes) -> dict[str, str]:
+    lines = data.decode("utf-8", "replace").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _whole(body: bytes) -> bytes:
+    """A body that was sent in chunks, put together; what isn't in chunks is left."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip()
+        if end < 0 or not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            return body
+        n = int(size, 16)
+        if n == 0:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + n + 4
+    return b"".join(out)
+
+
+def _sha1(value: str | None) -> str | None:
+    """Hex of a digest header in base 32 or hex; null for other digests."""
+    kind, _, code = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9a-fA-F]{40}", code):
+        return code.lower()
+    return base64.b32decode(code.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", code) else None
+
+
 def parse(data: bytes) -> dict:
+    """The fields of a record. The payload of an HTTP response or revisit is the body, of other records the block.
+
+    Headers that a record doesn't have are null; a response without a digest gets that of its payload. A payload that
+    differs from a SHA-1 in its header, without chunks or an encoding in between, is an error.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    named = lambda lines: {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.decode("utf-8", "replace").split("\r\n")[1:])}
-    warc = named(head)
-    http, _, payload = rest[: int(warc["content-length"])].partition(b"\r\n\r\n")
-    digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
-    kind, length = warc["warc-type"], int(named(http)["content-length"])
-    if kind == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"the payload of {warc['warc-record-id']} is not what its headers say")
+    warc = _headers(head)
+    kind = warc.get("warc-type")
+    length = int(warc["content-length"]) if warc.get("content-length", "").isdigit() else len(rest)
+    block, http = rest[:length], {}
+    if kind in ("response", "revisit") and block.startswith(b"HTTP/"):
+        top, _, block = block.partition(b"\r\n\r\n")
+        http = _headers(top)
+        if http.get("transfer-encoding", "").lower() == "chunked":
+            block = _whole(block)
+    digest = _sha1(warc.get("warc-payload-digest"))
+    if kind == "revisit":
+        size = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+    else:
+        size = len(block)
+        own = hashlib.sha1(block).hexdigest()
+        plain = not {"transfer-encoding", "content-encoding"} & http.keys() and http.get("content-length", str(size)) == str(size)
+        if kind == "response" and digest not in (None, own) and plain:
+            raise ValueError(f"the payload of {warc.get('warc-record-id')} is not what its headers say")
+        digest = digest or (own if kind == "response" else None)
     return {
-        "record_type": kind, "page_id": _page(warc["warc-record-id"]), "url": warc.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest,
-        "refers_to": _page(warc.get("warc-refers-to")), "payload": payload if kind == "response" else None,
+        "record_type": kind, "record_id": warc.get("warc-record-id"), "page_id": _page(warc.get("warc-record-id")), "url": warc.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest,
+        "refers_to": _page(warc.get("warc-refers-to")), "payload": None if kind == "revisit" else block,
     }
 
 
@@ -182,6 +240,16 @@ def read(manifest: DataFrame, split_bytes: int = 8 << 20, payloads: bool = True)
     return splits.repartition(int(min(total, 50_000)), "file", "start").mapInArrow(run, RECORD)
 
 
+def read_folder(spark: SparkSession, folder: str, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
+    """The records of all gzip archives below a folder, whoever wrote them, RECORD; splits come from the files' sizes.
+
+    page_id and refers_to are null for records that aren't of our writer; record_id is as it stands.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", True).load(folder)
+    uri = F.regexp_replace("path", "^file:/+", "file:///")
+    return read(found.select(uri.alias("file"), F.col("length").alias("bytes")), split_bytes, payloads)
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(_FIELDS, _KINDS)], list(_FIELDS))
 
@@ -199,8 +267,6 @@ def round_trip(pages: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-
-
 ORACLE = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
 d AS (SELECT page_id, payload_bytes, sha1(h) AS payload_digest FROM p),
