@@ -494,6 +494,13 @@ def test_measures():
 def test_binomial_bound():
     for n, p, k in ((20, 0.1, 3), (50, 0.02, 0), (7, 0.5, 7)):
         assert quality_rules.at_most(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+    rng = random.Random(6)
+    for _ in range(400):
+        n = rng.choice((1, 2, 30, 400, 3000))
+        k, p = rng.randint(0, n), rng.choice((0.0125, 0.3, 0.9, rng.random()))
+        terms = [math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)]
+        assert quality_rules.at_most(k, n, p) == pytest.approx(math.fsum(terms), abs=1e-9, rel=1e-7), (k, n, p)
+    assert 0.0019 < quality_rules.at_most(12_490_000, 1_000_000_000, 0.0125) < 0.0026  # 2.85 deviations below the mean
     assert not quality_rules.certified(0, 50, 0.005, 0.01) and quality_rules.certified(0, 1000, 0.005, 0.01)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh
+from .common import WORD, cut
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -61,18 +61,33 @@ def measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([dict(zip(FIELDS, measure(x.as_py()))) for x in batch], kind)
 
 
-def _log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-
 def at_most(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial."""
+    """P(X <= k) of a binomial, exact but for rounding: the regularised incomplete beta function of 1 - p at n - k and
+    k + 1, by its continued fraction, whose length grows with the root of n only."""
     if p <= 0 or k >= n:
         return 1.0
-    if p >= 1:
+    if p >= 1 or k < 0:
         return 0.0
-    a, b = math.log(p), math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(_log_choose(n, i) + i * a + (n - i) * b) for i in range(k + 1)))
+    a, b, x = n - k, k + 1, 1 - p
+    flip = x > (a + 1) / (a + b + 2)  # there the fraction of the complement converges fast
+    if flip:
+        a, b, x = b, a, p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # convergents by forward recurrence, scaled so that the last denominator is 1
+    value, m = 1.0, 0
+    above, below, last_above, last_below = 1.0, 1.0, 1.0, 0.0
+    while True:
+        m += 1
+        h = m // 2
+        step = h * (b - h) * x / ((a + m - 1) * (a + m)) if m % 2 == 0 else -(a + h) * (a + b + h) * x / ((a + m - 1) * (a + m))
+        above, last_above = above + step * last_above, above
+        below, last_below = below + step * last_below, below
+        above, last_above, last_below, below = above / below, last_above / below, last_below / below, 1.0
+        if abs(above - value) <= 1e-15 * abs(above) and m > 1:
+            break
+        value = above
+    tail = front / above
+    return min(1.0, max(0.0, 1 - tail if flip else tail))
 
 
 def certified(k: int, n: int, limit: float, error: float) -> bool:
@@ -144,3 +159,35 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
     broken = F.filter(F.array(*[F.when(_rate(r) > F.col(r), F.lit(r)) for r in RULES]), lambda y: y.isNotNull())
     x = x.withColumn("rules", broken)
     return x.select("doc_id", *FIELDS, "base_failed", (~F.col("base_failed") & (F.size("rules") == 0)).alias("kept"), "rules")
+
+
+def oracle(alpha: float = 0.05, delta: float = 0.05) -> str:
+    """The same in DuckDB, rules as text: windows of words as rows, binomial tails as sums, cutoffs as rows."""
+    rate = lambda r: "CASE WHEN {1} > 0 THEN {0}::DOUBLE / {1} ELSE 0 END".format(*RULES[r][:2])
+    cutoffs = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, (_, _, cs) in RULES.items() for i, c in enumerate(cs))
+    rates = " UNION ALL ".join(f"SELECT r, stratum, doc_id, base_failed, '{r}' AS rule, {k} AS nth, {rate(r)} AS rate FROM m" for k, r in enumerate(RULES))
+    limit = alpha / len(RULES)
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+threes AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS three FROM w WHERE len(w) > 2),
+often AS (SELECT r, i FROM threes QUALIFY count(*) OVER (PARTITION BY r, three) > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM often, (VALUES (0), (1), (2)) t(k) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM w),
+f AS (SELECT w.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[{SYMBOLS}]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN lines USING (r) LEFT JOIN repeated USING (r)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+rates AS ({rates}),
+given AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY 1),
+labelled AS (SELECT r.*, q FROM rates r JOIN given USING (doc_id) WHERE NOT base_failed),
+cs AS (SELECT * FROM (VALUES {cutoffs}) t(rule, i, c)),
+counts AS (SELECT stratum, rule, i, any_value(c) AS c, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND rate > c) AS k, count(*) FILTER (q = 0 AND rate > c) AS junk FROM labelled JOIN cs USING (rule) GROUP BY 1, 2, 3),
+tails AS (SELECT stratum, rule, i, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({limit}::DOUBLE) + (n - x) * ln(1 - {limit}::DOUBLE))) AS p
+  FROM (SELECT stratum, rule, i, n, unnest(range(0, k + 1)) AS x FROM counts WHERE n > 0 AND k < n) t GROUP BY 1, 2, 3),
+passed AS (SELECT c.*, n > 0 AND k < n AND k <= n * {limit}::DOUBLE AND coalesce(p, 1) <= {delta}::DOUBLE / ((SELECT count(*) FROM (SELECT DISTINCT stratum FROM labelled) t) * {len(RULES)}) AS ok
+  FROM counts c LEFT JOIN tails t ON c.stratum IS NOT DISTINCT FROM t.stratum AND c.rule = t.rule AND c.i = t.i),
+good AS (SELECT * FROM passed p WHERE NOT EXISTS (SELECT 1 FROM passed o WHERE o.stratum IS NOT DISTINCT FROM p.stratum AND o.rule = p.rule AND o.i <= p.i AND NOT o.ok)),
+chosen AS (SELECT stratum, rule, arg_min(c, i) AS cutoff FROM (SELECT *, arg_max(junk, i) OVER (PARTITION BY stratum, rule) AS most FROM good) t WHERE most > 0 AND junk >= 0.99::DOUBLE * most GROUP BY 1, 2),
+broken AS (SELECT r, string_agg(x.rule, ',' ORDER BY nth) AS rules FROM rates x JOIN chosen c ON x.stratum IS NOT DISTINCT FROM c.stratum AND x.rule = c.rule WHERE rate > cutoff GROUP BY r)
+SELECT doc_id, {', '.join(FIELDS)}, base_failed, NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS rules FROM m LEFT JOIN broken USING (r)
+"""

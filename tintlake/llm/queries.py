@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, warc
 from .common import table
@@ -34,7 +35,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("rules", F.array_join("rules", ","))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +57,6 @@ ORACLES = {
     "op4_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.oracle(),
     "op6_mixing": mixing.oracle(),
+    "op7_quality_rules": quality_rules.oracle(),
     "op8_near_dedup": near_dedup.ORACLE,
 }
