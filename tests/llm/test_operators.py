@@ -369,24 +369,31 @@ def unpack(rows):
     for x in rows:
         ids, pos = np.frombuffer(x.input_ids, "<u2"), np.frombuffer(x.position_ids, "<u4")
         assert x.cu_seqlens[0] == 0 and x.cu_seqlens[-1] == x.n_tokens <= len(ids)
-        for a, b, d, p in zip(x.cu_seqlens, x.cu_seqlens[1:], x.doc_ids, x.piece_ids):
+        for a, b, d, n, p in zip(x.cu_seqlens, x.cu_seqlens[1:], x.doc_ids, x.doc_rows, x.piece_ids):
             assert (pos[a:b] == np.arange(b - a)).all()
-            parts[d].append((p, ids[a:b].tolist()))
+            parts[d, n].append((p, ids[a:b].tolist()))
     return parts
 
 
 def test_packing_is_lossless(spark, odd, none):
     enc = packing.encoding(packing.tokenizer_folder())
-    own = odd.where("doc_id IS NULL OR doc_id NOT IN (6, 8)")
-    parts = unpack(packing.pack(own, capacity=64, window=50).collect())
-    texts = {r[0]: r[1] for r in odd_rows() if r[0] is not None}
-    for d in set(texts) - {6, 8}:
-        ids = [i for _, x in sorted(parts[d]) for i in x]
-        assert ids[-1] == packing.SEPARATOR and enc.decode(ids[:-1]) == (texts[d] or "")
-    assert len([1 for p, _ in parts[None] if p == 0]) == 2
+    for rows in (packing.pack(odd, capacity=64, window=50), packing.round_trip(odd, 64)):
+        back = []
+        for (d, _), pieces in unpack(rows.collect()).items():
+            assert [p for p, _ in sorted(pieces)] == list(range(len(pieces)))
+            ids = [i for _, x in sorted(pieces) for i in x]
+            assert ids[-1] == packing.SEPARATOR
+            back.append((d, enc.decode(ids[:-1])))
+        assert sorted(back, key=str) == sorted(((r[0], r[1] or "") for r in odd_rows()), key=str)  # repeated ids and rows too
     assert packing.pack(none).count() == 0
 
 
+def test_rows_are_full(spark):
+    """Best fit decreasing leaves little of the rows empty."""
+    r = packing.pack(common.table(spark, "/root/testdata/sf0.1", "documents")).selectExpr("sum(n_tokens) / count(*) / 2048 AS fill").first()
+    assert r.fill > 0.98
+
+
 def test_best_fit_decreasing():
     rng = random.Random(4)
     for _ in range(20):

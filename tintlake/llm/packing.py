@@ -27,12 +27,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Ends each document; also fills the rest of a row, beyond the last cumulative length.
 SEPARATOR = 50256
 RANKS = "byte_bpe_50k.tiktoken"
-SCHEMA = "row_id long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, piece_ids array<int>, n_tokens int"
-_NAMES = ("row_id", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "piece_ids", "n_tokens")
+SCHEMA = "row_id long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_rows array<long>, piece_ids array<int>, n_tokens int"
+_NAMES = ("row_id", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "doc_rows", "piece_ids", "n_tokens")
 MANIFEST = "name string, rows long, capacity int, blocks array<struct<row: long, rows: int, segment: long>>"
 #: Rows that are read at once, and found in a file by the manifest.
 BLOCK = 256
-_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32())
+_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32())
 
 
 def tokenizer_folder() -> str:
@@ -114,27 +114,27 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def _row(row_id: int, parts: list[tuple[int | None, int, np.ndarray]], capacity: int) -> tuple:
+def _row(row_id: int, parts: list[tuple[int | None, int, int, np.ndarray]], capacity: int) -> tuple:
     ids, pos = np.full(capacity, SEPARATOR, "<u2"), np.zeros(capacity, "<u4")
     ends = [0]
-    for _, _, x in parts:
+    for *_, x in parts:
         ids[ends[-1] : ends[-1] + len(x)] = x
         pos[ends[-1] : ends[-1] + len(x)] = np.arange(len(x))
         ends.append(ends[-1] + len(x))
-    return row_id, ids.tobytes(), pos.tobytes(), ends, [d for d, _, _ in parts], [p for _, p, _ in parts], ends[-1]
+    return row_id, ids.tobytes(), pos.tobytes(), ends, [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], ends[-1]
 
 
 def _packer(capacity: int, window: int, where: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row_id = TaskContext.get().partitionId() << 40
-        held: list[tuple[int | None, int, np.ndarray]] = []
+        row_id = number = TaskContext.get().partitionId() << 40
+        held: list[tuple[int | None, int, int, np.ndarray]] = []
         rows: list[tuple] = []
 
         def packed():
             nonlocal held, row_id
-            for members in best_fit_decreasing([len(x) for _, _, x in held], capacity):
+            for members in best_fit_decreasing([len(x) for *_, x in held], capacity):
                 rows.append(_row(row_id, [held[i] for i in members], capacity))
                 row_id += 1
             held = []
@@ -148,14 +148,15 @@ def _packer(capacity: int, window: int, where: str) -> Callable:
             for d, t in zip(given.column(0).to_pylist(), given.column(1)):
                 ids = np.append(tokenize(t.as_py() or "", where), np.uint16(SEPARATOR))
                 for piece, at in enumerate(range(0, len(ids), capacity)):
-                    part = (d, piece, ids[at : at + capacity])
-                    if len(part[2]) == capacity:
+                    part = (d, number, piece, ids[at : at + capacity])
+                    if len(part[3]) == capacity:
                         rows.append(_row(row_id, [part], capacity))
                         row_id += 1
                         if len(rows) >= 1024:
                             yield batch()
                     else:
                         held.append(part)
+                number += 1
                 if len(held) >= window:
                     packed()
                 if len(rows) >= 1024:
@@ -169,11 +170,12 @@ def _packer(capacity: int, window: int, where: str) -> Callable:
 
 def pack(docs: DataFrame, capacity: int = 2048, window: int = 4096, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``capacity`` token ids (SCHEMA): a row of the id matrix as little-endian uint16, position ids that
-    restart with each segment as uint32, cumulative segment lengths from 0, and each segment's document and piece.
+    restart with each segment as uint32, cumulative segment lengths from 0, and each segment's document, the number of
+    its row of ``docs``, and piece.
 
     A document's segments, in order of piece, are its text's ids and a separator. Null and empty texts are a
-    separator alone; a null id is kept as null; rows that repeat an id are packed each by itself (their pieces number
-    alike). ``window`` bounds the remainders that a task holds. An empty table gives no rows. Other columns aren't
+    separator alone; a null id is kept as null; rows that repeat an id are packed each by itself, and told apart by
+    doc_rows. ``window`` bounds the remainders that a task holds. An empty table gives no rows. Other columns aren't
     read. The ids of rows differ with the layout of the input, not with a task's retries.
     """
     return docs.select(doc_id, text).mapInArrow(_packer(capacity, window, folder or tokenizer_folder()), SCHEMA)
@@ -181,8 +183,8 @@ def pack(docs: DataFrame, capacity: int = 2048, window: int = 4096, folder: str
 
 def _streams(capacity: int) -> dict[str, str]:
     """The files of a part and their numbers: id matrix, position ids, cumulative lengths one row after another and
-    their counts, row ids, and each segment's document (and whether it has an id) and piece."""
-    return {"ids": "<u2", "pos": "<u2" if capacity <= 1 << 16 else "<u4", "cu": "<i4", "cun": "<i4", "row": "<i8", "doc": "<i8", "has": "<u1", "piece": "<i4"}
+    their counts, row ids, and each segment's document (and whether it has an id), row number and piece."""
+    return {"ids": "<u2", "pos": "<u2" if capacity <= 1 << 16 else "<u4", "cu": "<i4", "cun": "<i4", "row": "<i8", "doc": "<i8", "has": "<u1", "num": "<i8", "piece": "<i4"}
 
 
 def _writer(folder: str) -> Callable:
@@ -194,12 +196,12 @@ def _writer(folder: str) -> Callable:
         name, n, segments, capacity, blocks = f"part-{uuid.uuid4().hex}", 0, 0, 0, []
         out = {k: files.open_output_stream(f"{path}/{name}.{k}", compression=None) for k in _streams(0)}
         for b in batches:
-            for row_id, ids, pos, cu, docs, pieces, _ in zip(*[b.column(k) for k in _NAMES]):
+            for row_id, ids, pos, cu, docs, numbers, pieces, _ in zip(*[b.column(k) for k in _NAMES]):
                 ids, ends, docs = np.frombuffer(ids.as_buffer(), "<u2"), cu.as_py(), docs.as_py()
                 capacity = len(ids)
                 if n % BLOCK == 0:
                     blocks.append({"row": n, "rows": 0, "segment": segments})
-                values = {"ids": ids, "pos": np.frombuffer(pos.as_buffer(), "<u4"), "cu": ends, "cun": [len(ends)], "row": [row_id.as_py()], "doc": [d or 0 for d in docs], "has": [d is not None for d in docs], "piece": pieces.as_py()}
+                values = {"ids": ids, "pos": np.frombuffer(pos.as_buffer(), "<u4"), "cu": ends, "cun": [len(ends)], "row": [row_id.as_py()], "doc": [d or 0 for d in docs], "has": [d is not None for d in docs], "num": numbers.as_py(), "piece": pieces.as_py()}
                 for k, kind in _streams(capacity).items():
                     out[k].write(np.asarray(values[k]).astype(kind).tobytes())
                 n, segments, blocks[-1]["rows"] = n + 1, segments + len(docs), blocks[-1]["rows"] + 1
@@ -214,7 +216,7 @@ def _writer(folder: str) -> Callable:
 def write_files(packed: DataFrame, folder: str) -> DataFrame:
     """Writes packed rows, all of one capacity, as binary files, per task an id matrix (.ids, uint16), position ids
     (.pos, uint16, or uint32 where the capacity is over 65,536), as the rows' cumulative lengths one after another
-    (.cu, int32) with their counts (.cun, int32), and the rows' and segments' ids (.row, .doc, .has, .piece); the
+    (.cu, int32) with their counts (.cun, int32), and the rows' and segments' ids (.row, .doc, .has, .num, .piece); the
     MANIFEST of the files that count. Names are new for each attempt, so a lost task leaves nothing that counts."""
     return cut(packed.select(*_NAMES).mapInArrow(_writer(folder), MANIFEST), "packed-files")
 
@@ -252,7 +254,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 doc = pa.array(read("doc", segment, parts), mask=read("has", segment, parts) == 0)
                 whole = lambda x, wide: pa.array([x[i * capacity * wide : (i + 1) * capacity * wide] for i in range(n)], pa.binary())  # noqa: B023, E731
                 lists = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
-                columns = [pa.array(read("row", row, n)), whole(ids, 2), whole(pos, 4), lists(at, pa.array(cu)), lists(own, doc), lists(own, pa.array(read("piece", segment, parts))), pa.array(cu[at[1:] - 1])]
+                columns = [pa.array(read("row", row, n)), whole(ids, 2), whole(pos, 4), lists(at, pa.array(cu)), lists(own, doc), lists(own, pa.array(read("num", segment, parts))), lists(own, pa.array(read("piece", segment, parts))), pa.array(cu[at[1:] - 1])]
                 yield pa.RecordBatch.from_arrays(columns, list(_NAMES))
                 tidy()
 
