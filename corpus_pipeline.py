@@ -29,8 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
-    return packing.pack(docs)
+    """Packed rows of token ids, written as binary files and read back through their manifest."""
+    return packing.round_trip(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix), ("tokens", tokens)]
