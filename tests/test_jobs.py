@@ -4,11 +4,10 @@ import gzip
 import json
 from datetime import date
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tintlake.operators import palettes, pixels
+
 from tintlake.plans import refresh
 from tintlake.plans.store import Store
 from tintlake.schemas import ROLES, STATE, TITLES
@@ -93,60 +92,3 @@ def test_logos(spark, tmp_path):
     types = spark.createDataFrame([(2, "Poster", None, "series"), (23, "Clear Logo", None, "series"), (25, "ClearLogo", None, "movie")], "id int, name string, slug string, recordType string")
     arts = spark.createDataFrame([(1, [(23, "spa", 99.0, "/x.png"), (23, "eng", 10.0, "/y.png"), (2, "eng", 500.0, "/z.png")]), (2, [])], "id long, artworks array<struct<type: int, language: string, score: double, image: string>>")
     assert {r.id: r.logo for r in listings.logos_of(arts, types, "series", "https://h").collect()} == {1: "https://h/y.png", 2: None}
-
-
-# ---------------------------------------------------------------- palettes
-
-
-def poster(spark, bands, width=12, height=60):
-    """Pixels of a poster of horizontal bands ((r, g, b), share)."""
-    rows, y = [], 0
-    for (r, g, b), share in bands:
-        n = round(share * height)
-        rows += [(1, y + i, x, r, g, b) for i in range(n) for x in range(width)]
-        y += n
-    return spark.createDataFrame(rows, "poster long, y int, x int, r int, g int, b int")
-
-
-def near(code, rgb, most=12):
-    return max(abs(int(code[i : i + 2], 16) - c) for i, c in zip((1, 3, 5), rgb)) <= most
-
-
-def test_palettes_of_bands(spark):
-    sky, orange, navy = (150, 190, 220), (235, 110, 30), (20, 30, 70)
-    p = poster(spark, [(sky, 0.6), (orange, 0.25), (navy, 0.15)])
-    v1 = palettes.palette_v1(p).first()
-    assert near(v1.primary_hex, sky) and v1.primary_ratio == 0.6 and near(v1.secondary_hex, orange) and near(v1.tertiary_hex, navy)
-    x = palettes.cluster(p)
-    v2 = palettes.palette_v2(x).first()
-    assert near(v2.primary_hex, orange)  # identity beats the larger sky
-    assert palettes.review_flags(palettes.palette_v2(x), x).first().flags == []
-    v3 = palettes.palette_v3(palettes.cluster(p, palettes.Clustering(k=16), accents=False)).first()
-    assert near(v3.base, sky) and len({v3[r] for r in ROLES}) == 6 and v3.sources[-1] == "derived"
-
-
-def test_flat_and_grey_posters(spark):
-    flat = poster(spark, [((200, 30, 30), 1.0)])
-    v1 = palettes.palette_v1(flat).first()
-    assert v1.primary_hex == v1.secondary_hex == v1.tertiary_hex == "#C81E1E" and v1.tertiary_ratio == 1.0
-    v2 = palettes.palette_v2(palettes.cluster(flat)).first()
-    assert v2.primary_hex == v2.tertiary_hex
-    grey = palettes.palette_v2(palettes.cluster(poster(spark, [((30, 30, 30), 0.5), ((128, 128, 128), 0.3), ((230, 230, 230), 0.2)]))).first()
-    assert all(len({grey[f"{s}_hex"][i : i + 2] for i in (1, 3, 5)}) == 1 for s in ("primary", "secondary", "tertiary"))
-
-
-def test_clustering_is_deterministic():
-    rng = np.random.default_rng(5)
-    p = rng.random((500, 3))
-    a, b = (palettes.lloyd(p, 6, 30) for _ in range(2))
-    assert (a == b).all() and len(set(a)) == 6
-
-
-def test_pixels_of_images(spark):
-    data = bytearray()
-    for y in range(4):
-        for x in range(4):
-            data += bytes([255, 0, 0]) if y < 2 else bytes([0, 0, 255])  # blue, then red, as BGR
-    row = spark.createDataFrame([(1, ("f", 4, 4, 3, 16, data)), (2, ("bad", -1, -1, -1, -1, bytearray()))], "poster long, image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>")
-    got = {(r.y, r.x): (r.r, r.g, r.b) for r in pixels.from_images(row, 2, 2).collect()}
-    assert got == {(0, 0): (0, 0, 255), (0, 1): (0, 0, 255), (1, 0): (255, 0, 0), (1, 1): (255, 0, 0)}

@@ -8,7 +8,7 @@ from datetime import date
 
 from pyspark.sql import SparkSession
 
-from .operators import palettes, pixels, search
+from .operators import clusters, pixels, roles, search
 from .plans import refresh
 from .plans.store import Store
 from .schemas import ROLES, TITLES
@@ -22,8 +22,8 @@ def colours_from(spark: SparkSession, folder: str) -> refresh.Colours:
     def colours(pairs):
         files = listings.read_posters(spark, folder).withColumn("poster_path", F.concat(F.lit("/"), F.element_at(F.split("path", "/"), -1)))
         wanted = pairs.join(files, "poster_path").withColumn("poster", F.xxhash64("pair"))
-        roles = palettes.palette_v3(palettes.cluster(pixels.from_images(wanted.select("poster", "image"), 80, 120), palettes.Clustering(k=16), accents=False))
-        return wanted.select("pair", "poster").join(roles, "poster").select("pair", *ROLES)
+        found = roles.palette_v3(clusters.cluster(pixels.from_images(wanted.select("poster", "image"), 80, 120), clusters.V3))
+        return wanted.select("pair", "poster").join(found, "poster").select("pair", *ROLES)
 
     return colours
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import colour, text
-from .operators import catalogue, logos, palettes, pixels, ranking, search
-from .plans.cut import new_folder
+from .operators import catalogue, clusters, logos, palettes, pixels, ranking, roles, search
+from .plans.cut import materialise, new_folder
 from .plans.store import Store
 from .schemas import ROLES, SLOTS
 from .schemas import TITLES as TITLE_SCHEMA
@@ -553,6 +553,10 @@ def _labelled(spark, d):
     return x.withColumn("label", (F.floor(F.col("r") / 100) * 4 + F.floor(F.col("g") / 128)).cast("int"))
 
 
+def _gridded(spark, d):
+    return pixels.on_grid(_labelled(spark, d))
+
+
 @query(_T + _LOK + " SELECT poster, label, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY poster), 6) AS share, round(avg(sqrt(oka * oka + okb * okb)), 5) AS chroma, round(avg(okl), 5) AS lightness, round(stddev_pop(okl), 5) AS lightness_std FROM ok GROUP BY poster, label")
 def pixel_coverage(spark, d):
     return pixels.coverage(_labelled(spark, d)).select("poster", "label", "n", F.round("share", 6).alias("share"), *[F.round(c, 5).alias(c) for c in ("chroma", "lightness", "lightness_std")])
@@ -564,13 +568,13 @@ _CW = "1.0 - 0.3 * least(greatest((pow((x - (w - 1) / 2.0::DOUBLE) / (w / 2.0::D
 
 @query(_T + _LBL + _SIZE + f" SELECT poster, label, round(sum({_CW}) / sum(sum({_CW})) OVER (PARTITION BY poster), 5) AS salient FROM lb JOIN sz USING (poster) GROUP BY poster, label")
 def centre_weighted_coverage(spark, d):
-    return pixels.centred_share(_labelled(spark, d)).select("poster", "label", F.round("salient", 5).alias("salient"))
+    return pixels.centred_share(_gridded(spark, d)).select("poster", "label", F.round("salient", 5).alias("salient"))
 
 
 @query(_T + _LBL + _SIZE + """, c AS (SELECT poster, label, (SELECT max(k) FROM generate_series(0, 5) t(k) WHERE k * h // 6 <= y) AS cy, (SELECT max(k) FROM generate_series(0, 3) t(k) WHERE k * w // 4 <= x) AS cx FROM lb JOIN sz USING (poster)),
   n AS (SELECT poster, label, cy, cx, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY poster, cy, cx) AS share FROM c GROUP BY 1, 2, 3, 4) SELECT poster, label, round(count(*) FILTER (share >= 0.08) / 24.0, 6)::DOUBLE AS spatial FROM n GROUP BY 1, 2""")
 def grid_presence(spark, d):
-    return pixels.grid_presence(_labelled(spark, d)).select("poster", "label", F.round("spatial", 6).alias("spatial"))
+    return pixels.grid_presence(_gridded(spark, d)).select("poster", "label", F.round("spatial", 6).alias("spatial"))
 
 
 _NB = ", nb AS (SELECT a.poster, a.label AS l1, b.label AS l2 FROM lb a JOIN lb b ON a.poster = b.poster AND (a.y = b.y AND b.x = a.x + 1 OR a.x = b.x AND b.y = a.y + 1)), both_ AS (SELECT poster, l1, l2 FROM nb UNION ALL SELECT poster, l2, l1 FROM nb WHERE l1 <> l2)"
@@ -579,13 +583,13 @@ _NB = ", nb AS (SELECT a.poster, a.label AS l1, b.label AS l2 FROM lb a JOIN lb
 @query(_T + _LOK + _NB + """, ce AS (SELECT poster, label, avg(okl) AS cl, avg(oka) AS ca, avg(okb) AS cb FROM ok GROUP BY 1, 2)
   SELECT c.poster, c.label, round(coalesce(avg(sqrt(pow(c.cl - o.cl, 2) + pow(c.ca - o.ca, 2) + pow(c.cb - o.cb, 2))), 0), 5) AS contrast FROM ce c LEFT JOIN (SELECT * FROM both_ WHERE l1 <> l2) e ON e.poster = c.poster AND e.l1 = c.label LEFT JOIN ce o ON o.poster = e.poster AND o.label = e.l2 GROUP BY 1, 2""")
 def neighbour_contrast(spark, d):
-    x = _labelled(spark, d)
+    x = _gridded(spark, d)
     return pixels.neighbour_contrast(x, pixels.centres(x)).select("poster", "label", F.round("contrast", 5).alias("contrast"))
 
 
 @query(_T + _LBL + _NB + " SELECT poster, l1 AS label, round(count(*) FILTER (l1 = l2)::DOUBLE / count(*), 6) AS coherence FROM both_ GROUP BY 1, 2")
 def coherence(spark, d):
-    return pixels.coherence(_labelled(spark, d)).select("poster", "label", F.round("coherence", 6).alias("coherence"))
+    return pixels.coherence(_gridded(spark, d)).select("poster", "label", F.round("coherence", 6).alias("coherence"))
 
 
 @query(_T + _LOK + ", ce AS (SELECT poster, label, avg(okl) AS cl, avg(oka) AS ca, avg(okb) AS cb FROM ok GROUP BY 1, 2) SELECT a.poster, a.label, b.label AS other, round(sqrt(pow(a.cl - b.cl, 2) + pow(a.ca - b.ca, 2) + pow(a.cb - b.cb, 2)), 5) AS distance FROM ce a JOIN ce b ON a.poster = b.poster AND a.label < b.label")
@@ -596,49 +600,85 @@ def cluster_distance_table(spark, d):
 # ---------------------------------------------------------------- palettes: clustering has no SQL
 
 
+#: A logo for each poster, from other columns of the same rows; a third of it is clear.
+LOGOS = """
+SELECT poster, CAST(floor(nth / 10) AS INT) AS y, CAST(nth % 10 AS INT) AS x, r, g, b, alpha FROM (
+  SELECT l_partkey AS poster, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount) - 1 AS nth,
+    CAST((l_tax * 3000) % 256 AS INT) AS r, CAST((l_quantity * 5) % 128 AS INT) AS g, CAST(floor(l_extendedprice / 9) % 256 AS INT) AS b, CASE WHEN l_linenumber % 3 = 0 THEN 90 ELSE 255 END AS alpha FROM {lineitem}) p
+"""
+
+
+def _clustered(spark, d, how, space="oklab"):
+    return clusters.cluster(pixels.sampled(pixel_table(spark, d), 60, 90), how, space)
+
+
+def _logo_queue(spark, d):
+    p = pixels.sampled(pixel_table(spark, d), 80, 120)
+    logo = pixels.sampled(_sql(spark, d, LOGOS, "lineitem"), 300, 300)
+    return roles.logo_colours(clusters.cluster(roles.solid(logo), clusters.LOGO), p)
+
+
 @query()
 def kmeans_labels(spark, d):
-    return palettes.cluster(pixel_table(spark, d), merged=False, accents=False).select("poster", "y", "x", "label")
+    return _clustered(spark, d, clusters.V1).select("poster", "y", "x", "label")
 
 
 @query()
 def palette_v1(spark, d):
-    return palettes.palette_v1(pixel_table(spark, d))
+    return palettes.palette_v1(_clustered(spark, d, clusters.V1, "cielab"))
+
+
+def _v2(p):
+    return p.select("poster", *[c for s in SLOTS for c in (F.col(f"{s}_hex"), F.round(f"{s}_coverage", 4).alias(f"{s}_ratio"))])
 
 
 @query()
 def palette_v2(spark, d):
-    p = palettes.palette_v2(palettes.cluster(pixel_table(spark, d)))
-    return p.select("poster", *[c for s in SLOTS for c in (F.col(f"{s}_hex"), F.round(f"{s}_coverage", 4).alias(f"{s}_ratio"))])
+    return _v2(palettes.palette_v2(_clustered(spark, d, clusters.V2)))
+
+
+@query()
+def logo_colours(spark, d):
+    return _logo_queue(spark, d).select("poster", F.col("logo.hex").alias("colours"))
 
 
 @query()
 def palette_v3(spark, d):
-    return palettes.palette_v3(palettes.cluster(pixel_table(spark, d), palettes.Clustering(k=16), accents=False))
+    return roles.palette_v3(_clustered(spark, d, clusters.V3), _logo_queue(spark, d))
 
 
 @query()
 def review_flags(spark, d):
-    x = palettes.cluster(pixel_table(spark, d))
+    x = _clustered(spark, d, clusters.V2)
     return palettes.review_flags(palettes.palette_v2(x), x)
 
 
+def _compared(spark, d):
+    x = _clustered(spark, d, clusters.V2)
+    two = materialise(palettes.palette_v2(x), "second")
+    out = palettes.palette_v1(_clustered(spark, d, clusters.V1, "cielab")).selectExpr("poster", "primary_hex AS v1_primary", "secondary_hex AS v1_secondary", "tertiary_hex AS v1_tertiary")
+    out = out.join(two.selectExpr("poster", "primary_hex AS v2_primary", "secondary_hex AS v2_secondary", "tertiary_hex AS v2_tertiary"), "poster")
+    return out.join(palettes.review_flags(two, x), "poster")
+
+
 @query()
 def compare_palettes(spark, d):
-    p = pixel_table(spark, d)
-    x = palettes.cluster(p)
-    two = palettes.palette_v2(x)
-    out = palettes.palette_v1(p).selectExpr("poster", "primary_hex AS v1_primary", "secondary_hex AS v1_secondary", "tertiary_hex AS v1_tertiary")
-    out = out.join(two.selectExpr("poster", "primary_hex AS v2_primary", "secondary_hex AS v2_secondary", "tertiary_hex AS v2_tertiary"), "poster")
-    return out.join(palette_v3(spark, d).drop("sources"), "poster").join(palettes.review_flags(two, x), "poster")
+    three = roles.palette_v3(_clustered(spark, d, clusters.V3)).select("poster", *ROLES)
+    return _compared(spark, d).join(three, "poster")
 
 
 @query()
 def report_summary(spark, d):
-    c = compare_palettes(spark, d)
+    c = _compared(spark, d)
     return c.agg(F.count("*").alias("posters"), F.count_if(F.col("v1_primary") != F.col("v2_primary")).alias("changed"), F.count_if(F.size("flags") > 0).alias("flagged"))
 
 
+@query(" UNION ALL ".join(f"SELECT '{r}' AS role, {lo}::DOUBLE AS least, {hi}::DOUBLE AS most, (SELECT count(*) FROM (" + TITLES.format(customer="customer", supplier="supplier") + f") t WHERE {r}_hex <> '') AS titles" for r, (lo, hi) in roles.ROLE_WEIGHTS.items()))
+def role_weights(spark, d):
+    n = titles(spark, d).agg(*[F.count_if(F.col(f"{r}_hex") != "").alias(r) for r in ROLES])
+    return n.select(F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(lo).alias("least"), F.lit(hi).alias("most"), F.col(r).alias("titles")) for r, (lo, hi) in roles.ROLE_WEIGHTS.items()])).alias("x")).select("x.*")
+
+
 @query(_T + " SELECT media_type, tmdb_id, identity1_hex AS primary_hex, base_hex AS secondary_hex, accent_hex AS tertiary_hex, 0.275::DOUBLE AS primary_ratio, 0.45::DOUBLE AS secondary_ratio, 0.055::DOUBLE AS tertiary_ratio FROM titles")
 def legacy_triple(spark, d):
     x = titles(spark, d).select("media_type", "tmdb_id", *[F.col(f"{r}_hex").alias(r) for r in ROLES])
