@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,9 +39,18 @@ def spread(*columns: str | Column) -> Column:
     return F.xxhash64(*columns)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's own way to give memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def tidy() -> None:
-    """Gives the memory that Arrow keeps after a batch back to the machine; an executor's workers share little of it."""
+    """Gives the memory that Arrow and numpy keep after a batch back to the machine; an executor's workers share little
+    of it, and stay for the next stage."""
     pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,8 +25,8 @@ _KINDS = {"upper": range(65, 91), "digit": range(48, 58), "mark": b"!", "bar": b
 _OTHERS = {k: bytes(v) for k, v in _KINDS.items()}
 
 
-#: Buckets of hashed byte trigrams.
-GRAMS = 256
+#: Buckets of hashed byte trigrams; texts whose features, and pairs whose differences, are held at once.
+GRAMS, ROWS = 256, 512
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -95,12 +95,15 @@ def fit(x: np.ndarray, y: np.ndarray, at: float = 0.3, n_pairs: int = 40_000, ri
     scale[scale < 1e-9] = 1.0
     z = np.clip((x - mean) / scale, -6, 6)
     rng = np.random.default_rng(0)
-    d = z[rng.choice(good, n_pairs)] - z[rng.choice(bad, n_pairs)]
-    w = np.zeros(d.shape[1])
+    better, worse = rng.choice(good, n_pairs), rng.choice(bad, n_pairs)
+    w = np.zeros(z.shape[1])
     for _ in range(rounds):  # Newton steps of the convex loss
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = -(p @ d) / n_pairs + ridge * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d / n_pairs + ridge * np.eye(len(w))
+        gradient, curve = ridge * w, ridge * np.eye(len(w))
+        for i in range(0, n_pairs, ROWS):
+            d = z[better[i : i + ROWS]] - z[worse[i : i + ROWS]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            gradient -= (p @ d) / n_pairs
+            curve += (d * (p * (1 - p))[:, None]).T @ d / n_pairs
         step = np.linalg.solve(curve, gradient)
         w -= step * min(1.0, 4 / max(1e-9, float(np.linalg.norm(step))))
         if float(np.abs(step).max()) < 1e-6:
@@ -124,7 +127,8 @@ def _each(f: Callable[[np.ndarray], np.ndarray]):
     @F.arrow_udf(T.DoubleType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(f(np.array([features(t.as_py()) for t in batch]).reshape(-1, N_FEATURES)), pa.float64())
+            parts = [batch[i : i + ROWS] for i in range(0, len(batch), ROWS)]
+            yield pa.array(np.concatenate([f(np.array([features(t.as_py()) for t in p])) for p in parts] or [np.zeros(0)]), pa.float64())
             tidy()
 
     return run
@@ -145,8 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, at: float =
     # at most 2 * per_class rows
     sample = F.broadcast(lowest(rows, "quality", per_class).select("doc_id", "quality"))
     one = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", spread("text")).alias("text"))
-    found = one.orderBy("doc_id").select("quality", feature_column("text").alias("x")).toPandas()
-    ranker = fit(np.array(found.x.tolist()), found.quality.to_numpy(), at) if len(found) else None
+    found = one.orderBy("doc_id").select("quality", feature_column("text").alias("x")).toArrow().combine_chunks()
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES) if len(found) else np.zeros((0, N_FEATURES))
+    ranker = fit(x, found.column("quality").to_numpy(), at)
     return ranker and cut_at(ranker, docs, rows)
 
 
