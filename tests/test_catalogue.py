@@ -83,6 +83,15 @@ def test_error_then_done(spark):
     assert (r.status, r.attempts, r.palette_version, r.error) == ("done", 0, 3, None)
 
 
+def test_several_results_of_a_title_are_one(spark):
+    x = titles(spark, [{"media_type": "movie", "tmdb_id": 1}])
+    two = spark.createDataFrame([("movie", 1, "error", 2), ("movie", 1, "no_poster", 1)], "media_type string, tmdb_id long, status string, ordinal long")
+    assert [(r.status, r.attempts) for r in catalogue.save(x, two, at()).collect()] == [("error", 1)]
+    y = tvdb(spark, [{"kind": "movie", "tvdb_id": 1}])
+    twice = spark.createDataFrame([("movie", 1, "error"), ("movie", 1, "error")], "kind string, tvdb_id long, status string")
+    assert [(r.status, r.attempts) for r in catalogue.save_b(y, twice, at()).collect()] == [("error", 1)]
+
+
 def test_requeue(spark):
     x = titles(spark, [{"media_type": "movie", "tmdb_id": 550, "status": "done", "palette_version": 3}, {"media_type": "movie", "tmdb_id": 551, "status": "no_poster", "attempts": 2}])
     ids = spark.createDataFrame([("movie", 550), ("movie", 551), ("movie", 9999)], "media_type string, tmdb_id long")

@@ -18,6 +18,8 @@ def test_palettes_cover_posters(spark, sf, name):
     assert len(got) == posters
     first = "base" if name == "palette_v3" else "primary_hex"
     assert all(len(r[first]) == 7 and r[first][0] == "#" for r in got)
+    if name == "palette_v3":
+        assert {x for r in got for x in r.sources} >= {"base", "logo", "artwork"}
 
 
 def test_entry(spark):

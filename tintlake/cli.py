@@ -1,4 +1,4 @@
-"""Command line of the refresh: python -m tintlake.cli STORE COMMAND ..."""
+"""Command line of both pipelines: python -m tintlake.cli STORE COMMAND ..."""
 
 from __future__ import annotations
 
@@ -6,24 +6,31 @@ import argparse
 import json
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import clusters, pixels, roles, search
-from .plans import refresh
+from .plans import listed, refresh
 from .plans.store import Store
-from .schemas import ROLES, TITLES
+from .schemas import KINDS, ROLES, TITLES
 from .sources import listings
 
 
 def colours_from(spark: SparkSession, folder: str) -> refresh.Colours:
-    """Colours of pairs from a folder of poster files named as their paths."""
-    from pyspark.sql import functions as F
+    """Colours of pairs from a folder of poster and logo files, named as the last part of their paths; of a poster's
+    two sizes the small one, with _t before its ending, comes first. A missing logo doesn't matter."""
 
-    def colours(pairs):
-        files = listings.read_posters(spark, folder).withColumn("poster_path", F.concat(F.lit("/"), F.element_at(F.split("path", "/"), -1)))
-        wanted = pairs.join(files, "poster_path").withColumn("poster", F.xxhash64("pair"))
-        found = roles.palette_v3(clusters.cluster(pixels.from_images(wanted.select("poster", "image"), 80, 120), clusters.V3))
-        return wanted.select("pair", "poster").join(found, "poster").select("pair", *ROLES)
+    def colours(pairs: DataFrame) -> DataFrame:
+        name = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
+        files = listings.read_images(spark, folder).select(name("path").alias("file"), "image").where("image.width > 0")
+        wanted = pairs.select("pair", name("poster_path").alias("file"), name("logo_path").alias("logo"), F.xxhash64("pair").alias("poster"))
+        small = files.select(F.regexp_replace("file", r"_t(\.[^.]*)$", "$1").alias("file"), F.col("image").alias("small")).where(F.col("small.origin").rlike(r"_t\.[^.]*$"))
+        found = wanted.join(files, "file", "left").join(small, "file", "left").select("pair", "poster", "logo", F.coalesce("small", "image").alias("image")).where("image IS NOT NULL")
+        marks = wanted.join(files.withColumnRenamed("file", "logo"), "logo").select("poster", "image")
+        art = pixels.from_images(found.select("poster", "image"), 80, 120)
+        logos = roles.logo_colours(clusters.cluster(roles.solid(pixels.from_images(marks, 300, 300, clear=True)), clusters.LOGO), art)
+        six = roles.palette_v3(clusters.cluster(art, clusters.V3), logos)
+        return found.select("pair", "poster").join(six, "poster").select("pair", *ROLES)
 
     return colours
 
@@ -31,32 +38,64 @@ def colours_from(spark: SparkSession, folder: str) -> refresh.Colours:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tintlake")
     p.add_argument("store")
-    p.add_argument("command", choices=["seed", "sync", "process", "run", "prune", "stats"])
+    p.add_argument("command", choices=["seed", "sync", "process", "run", "prune", "stats", "tvdb"])
+    p.add_argument("action", nargs="?", choices=["seed", "process", "export", "run", "stats"], help="of tvdb")
     p.add_argument("--exports", default="exports")
     p.add_argument("--details", default="details")
     p.add_argument("--posters", default="posters")
+    p.add_argument("--listings", default="listings", help="of tvdb: pages below series/ and movie/, artworks below artworks/, artwork-types.json")
+    p.add_argument("--base", default="", help="of tvdb: where relative image paths lie")
+    p.add_argument("--out", default="colours", help="of tvdb: the folder that batches are sent to")
     p.add_argument("--size", type=int, default=0, help="catalogue size; 0 is no limit")
     p.add_argument("--top", type=int, default=0, help="process the first ranks only; the catalogue stays whole")
     p.add_argument("--limit", type=int, default=0)
+    p.add_argument("--max-minutes", type=float, default=0, help="stop after the step in which the time runs out")
+    p.add_argument("--max-writes", type=int, default=80_000, help="of tvdb: titles to send")
+    p.add_argument("--include-adult", action="store_true")
+    p.add_argument("--no-errors", action="store_true", help="leave failed titles out of the queue")
     p.add_argument("--today", type=date.fromisoformat, default=date.today())
     a = p.parse_args(argv)
+    if (a.command == "tvdb") != (a.action is not None):
+        p.error("tvdb needs an action, and only tvdb has one")
     spark = SparkSession.builder.getOrCreate()
     store = Store(spark, a.store)
     details = lambda: listings.read_details(spark, f"{a.details}/movie", "movie").unionByName(listings.read_details(spark, f"{a.details}/tv", "tv"))
+    how = {"include_adult": a.include_adult, "include_errors": not a.no_errors, "limit": a.limit, "max_minutes": a.max_minutes}
     if a.command == "seed":
-        out = refresh.seed(store, a.exports, a.today, a.size)
+        out = refresh.seed(store, a.exports, a.today, a.size, a.include_adult)
     elif a.command == "sync":
         out = refresh.sync(store, a.exports, a.today)
     elif a.command == "process":
-        out = refresh.process(store, details(), colours_from(spark, a.posters), a.top, a.limit)
+        out = refresh.process(store, details(), colours_from(spark, a.posters), a.top, **how)
     elif a.command == "run":
-        out = refresh.run(store, a.exports, details(), colours_from(spark, a.posters), a.today, a.size, a.top)
+        out = refresh.run(store, a.exports, details(), colours_from(spark, a.posters), a.today, a.size, a.top, **how)
     elif a.command == "prune":
-        out = {"deleted": refresh.prune(store, a.size)}
-    else:
+        out = {"deleted": refresh.prune(store, a.size, a.include_adult)}
+    elif a.command == "stats":
         out = {r.media_type: r.counts for r in search.stats(store.read("titles", TITLES)).collect()}
+    else:
+        out = _tvdb(spark, store, a)
     print(json.dumps(out, sort_keys=True))
-    return 0
+    return 1 if a.action in ("export", "run") and out.get("export", out).get("refused") else 0
+
+
+def _tvdb(spark: SparkSession, store: Store, a: argparse.Namespace) -> dict:
+    listing = lambda: listings.read_listing(spark, f"{a.listings}/series", "series", a.base).unionByName(listings.read_listing(spark, f"{a.listings}/movie", "movie", a.base))
+
+    def logos() -> DataFrame:
+        arts, types = listings.read_artworks(spark, f"{a.listings}/artworks/series", f"{a.listings}/artworks/movie"), listings.read_artwork_types(spark, f"{a.listings}/artwork-types.json")
+        own = [listings.logos_of(arts.where(F.col("kind") == k), types, k, a.base).select(F.lit(k).alias("kind"), F.col("id").alias("tvdb_id"), "logo") for k in KINDS]
+        return own[0].unionByName(own[1]).where("logo IS NOT NULL")
+
+    if a.action == "seed":
+        return listed.seed(store, listing())
+    if a.action == "process":
+        return listed.process(store, logos(), colours_from(spark, a.posters), a.limit, a.max_minutes)
+    if a.action == "export":
+        return vars(listed.export(store, listed.to_folder(a.out), a.max_writes))
+    if a.action == "run":
+        return listed.run(store, listing(), logos(), colours_from(spark, a.posters), listed.to_folder(a.out), a.limit, a.max_minutes, a.max_writes)
+    return listed.stats(store)
 
 
 if __name__ == "__main__":

@@ -44,7 +44,7 @@ def is_true(value: Column, default: bool) -> Column:
 
 
 def csv_set(value: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def is_clear_logo(name: Column, slug: Column) -> Column:

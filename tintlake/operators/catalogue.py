@@ -83,13 +83,22 @@ def keep_top(export: DataFrame, size: int, include_adult: bool = False) -> DataF
     return interleaved_rank(listed(export, include_adult)).where(F.col("rank") <= size).drop("rank")
 
 
+def last_of_each(results: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key: the last by ``ordinal``, if there is one, and of equal ones the greatest by its values."""
+    place = [F.col("ordinal")] if "ordinal" in results.columns else []
+    row = F.struct(*[c for c in results.columns if c not in key])
+    return results.groupBy(*key).agg(F.max_by(row, F.struct(*place, *[F.col(c).cast("string") for c in results.columns if c not in key])).alias("r")).select(*key, "r.*")
+
+
 def save(table: DataFrame, results: DataFrame, at: Column | None = None) -> DataFrame:
     """Outcomes (key, status, and any of title, adult, error, poster_path, logo_path and colours) into the table.
 
     Unknown keys are inserted. All outcome columns are overwritten, so an error clears colours; title and adult only
-    if given. An error adds an attempt, anything else sets 0; the version is set only with colours.
+    if given. An error adds an attempt, anything else sets 0; the version is set only with colours. Of several results
+    of one title the last counts.
     """
     at = now() if at is None else at
+    results = last_of_each(results, KEY_A)
     own = conform(results, TITLES).drop("attempts", "palette_version", "updated_at")
     if "adult" not in results.columns:
         own = own.withColumn("adult", F.lit(None).cast("int"))
@@ -157,9 +166,9 @@ def sweep(table: DataFrame, listing: DataFrame, at: Column | None = None) -> Dat
 
 def save_b(table: DataFrame, results: DataFrame, at: Column | None = None) -> DataFrame:
     """Outcomes into the second pipeline's table; unknown keys are ignored. The target needs the result (dirty) unless
-    it is an error."""
+    it is an error. Of several results of one title the last counts."""
     at = now() if at is None else at
-    own = conform(results, TVDB_TITLES)
+    own = conform(last_of_each(results, KEY_B), TVDB_TITLES)
     new = own.select(*[F.col(k).alias(f"n_{k}") for k in KEY_B], F.struct("status", "error", "logo", *ROLES).alias("n"))
     x = table.join(new, [F.col(k) == F.col(f"n_{k}") for k in KEY_B], "left")
     got, status = F.col("n").isNotNull(), F.col("n.status")

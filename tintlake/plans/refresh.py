@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -33,7 +34,7 @@ def seed(store: Store, folder: str, today: date, size: int = 0, include_adult: b
     if size:
         rows = catalogue.keep_top(rows, size, include_adult)
     counts = {r.media_type: r.n for r in rows.groupBy("media_type").agg(F.count("*").alias("n")).collect()}
-    store.write("titles", catalogue.seed(store.read("titles", TITLES), rows))
+    store.change("titles", TITLES, lambda t: catalogue.seed(t, rows))
     for media, _ in loaded:
         state = catalogue.set_state(state, f"seed:{media}", today.isoformat())
     store.write("state", state)
@@ -53,7 +54,7 @@ def sync(store: Store, folder: str, today: date) -> dict[str, int]:
         if ids is not None:
             ids = ids.distinct()
             counts[media] = ids.count()
-            store.write("titles", catalogue.requeue(store.read("titles", TITLES), ids))
+            store.change("titles", TITLES, lambda t: catalogue.requeue(t, ids))
         state = catalogue.set_state(state, f"changes:{media}", today.isoformat())
     store.write("state", state)
     return counts
@@ -73,33 +74,43 @@ def outcomes(queue: DataFrame, details: DataFrame, colours: Colours, cache: Data
     return x.select("media_type", "tmdb_id", "title", "adult", "poster_path", "logo_path", status.alias("status"), *[f"{r}_hex" for r in ROLES], *swatches)
 
 
-def process(store: Store, details: DataFrame, colours: Colours, top: int = 0, limit: int = 0, include_adult: bool = False) -> dict[str, int]:
-    titles = store.read("titles", TITLES)
-    results = outcomes(ranking.work_queue(titles, top, limit, include_adult=include_adult), details, colours, catalogue.palette_cache(titles))
-    store.write("results", results)  # once: the counts and the table come from what was written
-    _, path = store.current("results")
-    done = store.spark.read.parquet(path)
-    store.write("titles", catalogue.save(titles, done))
-    return {r.status: r.n for r in done.groupBy("status").agg(F.count("*").alias("n")).collect()}
+def process(store: Store, details: DataFrame, colours: Colours, top: int = 0, limit: int = 0, include_adult: bool = False, include_errors: bool = True, max_minutes: float = 0, step: int = 10_000) -> dict[str, int]:
+    """Colours of the queue; counts by status. With ``max_minutes`` it works by ``step`` titles and stops after the step
+    in which the time runs out; the next run goes on from there."""
+    counts: dict[str, int] = {}
+    until, left = time.monotonic() + max_minutes * 60, limit
+    while True:
+        most = min(x for x in (left or step, step) if x) if max_minutes else left
+        version, _ = store.current("titles")
+        titles = store.read("titles", TITLES)
+        queue = ranking.work_queue(titles, top, most, include_errors, include_adult)
+        store.write("results", outcomes(queue, details, colours, catalogue.palette_cache(titles)))  # once: the counts and the table come from what was written
+        done = store.spark.read.parquet(store.current("results")[1])
+        now = {r.status: r.n for r in done.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        store.write("titles", catalogue.save(titles, done), version)
+        for k, n in now.items():
+            counts[k] = counts.get(k, 0) + n
+        left -= sum(now.values()) if limit else 0
+        if not max_minutes or not sum(now.values()) or (limit and left <= 0) or time.monotonic() >= until:
+            return counts
 
 
 def prune(store: Store, size: int, include_adult: bool = False) -> int:
     """Deletes what is beyond ``size`` ranks and not done; the number of rows."""
-    titles = store.read("titles", TITLES)
-    before = titles.count()
-    store.write("titles", catalogue.prune(titles, size, include_adult))
+    before = store.read("titles", TITLES).count()
+    store.change("titles", TITLES, lambda t: catalogue.prune(t, size, include_adult))
     gone = before - store.read("titles", TITLES).count()
     if before and gone > before / 5:
-        store.compact("titles", max(1, titles.rdd.getNumPartitions() // 2))
+        store.compact("titles", max(1, store.read("titles", TITLES).rdd.getNumPartitions() // 2))
     return gone
 
 
-def run(store: Store, folder: str, details: DataFrame, colours: Colours, today: date, size: int = 0, top: int = 0) -> dict:
+def run(store: Store, folder: str, details: DataFrame, colours: Colours, today: date, size: int = 0, top: int = 0, include_adult: bool = False, **how) -> dict:
     out: dict = {}
     if size:
-        out["pruned"] = prune(store, size)
-    out["seeded"] = seed(store, folder, today, size)
+        out["pruned"] = prune(store, size, include_adult)
+    out["seeded"] = seed(store, folder, today, size, include_adult)
     out["changed"] = sync(store, folder, today)
-    out["processed"] = process(store, details, colours, top)
+    out["processed"] = process(store, details, colours, top, include_adult=include_adult, **how)
     out["stats"] = {r.media_type: r.counts for r in search.stats(store.read("titles", TITLES)).collect()}
     return out

@@ -6,6 +6,7 @@ A catalogue is derived from the tables by SQL that both engines run: customers a
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 from .functions import colour, text
 from .operators import catalogue, clusters, logos, palettes, pixels, ranking, roles, search
 from .plans.cut import materialise, new_folder
+from .plans import listed, refresh
 from .plans.store import Store
+from . import schemas
 from .schemas import ROLES, SLOTS
 from .schemas import TITLES as TITLE_SCHEMA
+from .schemas import TVDB_TITLES as TVDB_SCHEMA
 from .sources import listings
 from .streaming import jobs
 
@@ -359,24 +363,114 @@ def _arriving(spark, pages: DataFrame) -> tuple[str, Store]:
 @query(_T + """ SELECT t.media_type, t.tmdb_id, CASE WHEN c AND status <> 'done' THEN 'pending' ELSE status END AS status, CASE WHEN c THEN 0 ELSE attempts END AS attempts, CASE WHEN c AND status = 'done' THEN NULL ELSE palette_version END AS palette_version
   FROM (SELECT *, media_type = 'movie' AND tmdb_id IN (SELECT user_id FROM events WHERE user_id <> 0) AS c FROM titles) t""")
 def streaming_requeue(spark, d):
-    pages = table(spark, d, "events").groupBy((F.col("event_id") % 20).alias("page")).agg(F.collect_list(F.struct(F.col("user_id").alias("id"))).alias("results"))
+    pages = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("page")).agg(F.collect_list(F.struct(F.col("user_id").alias("id"))).alias("results"))
     folder, store = _arriving(spark, pages.select("results"))
     store.write("titles", titles(spark, d))
     jobs.follow_changes(store, f"{folder}/in", "movie", f"{folder}/checkpoint")
     return store.read("titles", TITLE_SCHEMA).select("media_type", "tmdb_id", "status", "attempts", "palette_version")
 
 
-@query(_T + " SELECT media_type, tmdb_id, title, adult, popularity, 'pending' AS status FROM incoming WHERE media_type = 'movie'")
+@query(_T + f""" SELECT coalesce(o.media_type, n.media_type) AS media_type, coalesce(o.tmdb_id, n.tmdb_id) AS tmdb_id, coalesce(o.title, n.title) AS title,
+  CASE WHEN o.tmdb_id IS NULL OR n.tmdb_id IS NOT NULL AND {_DIFF} THEN n.adult ELSE o.adult END AS adult,
+  CASE WHEN o.tmdb_id IS NULL OR n.tmdb_id IS NOT NULL AND {_DIFF} THEN n.popularity ELSE o.popularity END AS popularity, coalesce(o.status, 'pending') AS status
+  FROM titles o FULL JOIN (SELECT * FROM incoming WHERE media_type = 'movie') n ON o.media_type = n.media_type AND o.tmdb_id = n.tmdb_id""")
 def streaming_seed(spark, d):
     x = incoming(spark, d).where("media_type = 'movie'")
     lines = x.select(F.col("tmdb_id").alias("id"), F.col("title").alias("original_title"), (F.col("adult") == 1).alias("adult"), "popularity")
     folder = new_folder(spark, "stream")
     lines.write.option("compression", "gzip").json(f"{folder}/in")
     store = Store(spark, f"{folder}/store")
+    store.write("titles", titles(spark, d))
     jobs.follow_exports(store, f"{folder}/in", "movie", f"{folder}/checkpoint")
     return store.read("titles", TITLE_SCHEMA).select("media_type", "tmdb_id", "title", "adult", "popularity", "status")
 
 
+@query(_T + ", res AS (" + _RES.format(titles="SELECT * FROM titles") + """) SELECT coalesce(o.media_type, n.media_type) AS media_type, coalesce(o.tmdb_id, n.tmdb_id) AS tmdb_id, coalesce(n.status, o.status) AS status,
+  CASE WHEN n.tmdb_id IS NULL THEN o.attempts WHEN n.status = 'error' THEN coalesce(o.attempts, 0) + 1 ELSE 0 END AS attempts FROM titles o FULL JOIN res n ON o.media_type = n.media_type AND o.tmdb_id = n.tmdb_id""")
+def streaming_results(spark, d):
+    """Results that arrive as files, followed by two runs of the stream."""
+    folder = new_folder(spark, "stream")
+    results = catalogue.conform(_sql(spark, d, _RES.format(titles=TITLES), "customer", "supplier"), TITLE_SCHEMA)
+    results.write.parquet(f"{folder}/in")
+    store = Store(spark, f"{folder}/store")
+    store.write("titles", titles(spark, d))
+    for _ in range(2):
+        jobs.follow_results(store, f"{folder}/in", f"{folder}/checkpoint")
+    return store.read("titles", TITLE_SCHEMA).select("media_type", "tmdb_id", "status", "attempts")
+
+
+# ---------------------------------------------------------------- whole runs
+
+_OPEN_B = "(status IN ('pending', 'error') AND attempts < 5 OR status = 'done' AND (palette_version IS NULL OR palette_version < 3))"
+
+
+@query(_T + f""", a AS (SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.tvdb_id, n.tvdb_id) AS tvdb_id, CASE WHEN n.tvdb_id IS NOT NULL THEN n.score ELSE o.score END AS score, CASE WHEN n.tvdb_id IS NOT NULL THEN n.image ELSE o.image END AS image,
+    CASE WHEN o.tvdb_id IS NULL OR {_MOVED} AND o.status <> 'done' OR n.tvdb_id IS NOT NULL AND o.status = 'not_found' THEN 'pending' ELSE o.status END AS status,
+    CASE WHEN o.tvdb_id IS NULL OR {_MOVED} THEN 0 ELSE o.attempts END AS attempts, CASE WHEN {_MOVED} THEN NULL ELSE o.palette_version END AS palette_version, coalesce(o.dirty, 0) AS dirty, o.base AS base, n.tvdb_id IS NULL AS unlisted
+    FROM tvdb o FULL JOIN listing n ON o.kind = n.kind AND o.tvdb_id = n.tvdb_id),
+  b AS (SELECT * REPLACE (CASE WHEN unlisted AND status = 'done' THEN 1 ELSE dirty END AS dirty, CASE WHEN unlisted THEN 'not_found' ELSE status END AS status) FROM a),
+  c AS (SELECT *, {_OPEN_B} AS open, {_OPEN_B} AND image IS NOT NULL AND image <> 'i7' AS coloured FROM b),
+  e AS (SELECT kind, tvdb_id, score, CASE WHEN open THEN CASE WHEN coloured THEN 'done' ELSE 'no_poster' END ELSE status END AS status, CASE WHEN open THEN 0 ELSE attempts END AS attempts, CASE WHEN open THEN CASE WHEN coloured THEN 3 END ELSE palette_version END AS palette_version,
+    CASE WHEN open THEN 1 ELSE dirty END AS dirty, CASE WHEN open THEN CASE WHEN coloured THEN '#' || upper(substr(md5(image), 1, 6)) END ELSE base END AS base FROM c)
+  SELECT kind, tvdb_id, status, attempts, palette_version, CASE WHEN row_number() OVER (PARTITION BY dirty ORDER BY score DESC NULLS LAST, kind, tvdb_id) <= 300 THEN 0 ELSE dirty END AS dirty, base FROM e""")
+def tvdb_refresh(spark, d):
+    """A whole run of the second pipeline: listing, sweep, colours and a budgeted export."""
+    folder = new_folder(spark, "run")
+    store = Store(spark, f"{folder}/store")
+    store.write(listed.TABLE, tvdb(spark, d))
+    code = F.concat(F.lit("#"), F.upper(F.substring(F.md5("poster_path"), 1, 6)))
+    none = listing(spark, d).select("kind", "tvdb_id", F.lit(None).cast("string").alias("logo")).where("false")
+    listed.run(store, listing(spark, d).drop("seen"), none, lambda p: p.where("poster_path <> 'i7'").select("pair", *[code.alias(r) for r in ROLES]), listed.to_folder(f"{folder}/out"), most=300)
+    return store.read(listed.TABLE, TVDB_SCHEMA).select("kind", "tvdb_id", "status", "attempts", "palette_version", "dirty", "base")
+
+
+_CODE = "'#' || upper(substr(md5(poster_path || '|' || coalesce(logo_path, '')), 1, 6))"
+
+
+@query(_T + _RANKED.format("(SELECT * FROM titles WHERE adult = 0)") + f""", cache AS (SELECT poster_path || '|' || coalesce(logo_path, '') AS pair, arg_min(coalesce(base_hex, '-'), media_type || lpad(CAST(tmdb_id AS STRING), 12, '0')) AS base FROM titles WHERE status = 'done' AND poster_path IS NOT NULL AND palette_version = 3 GROUP BY 1)
+  SELECT r.media_type, r.tmdb_id, CASE WHEN r.tmdb_id % 10 = 3 THEN 'not_found' WHEN poster_path IS NULL OR poster_path = '/p9.jpg' OR c.base = '-' THEN 'no_poster' ELSE 'done' END AS status,
+  CASE WHEN r.tmdb_id % 10 <> 3 AND poster_path <> '/p9.jpg' THEN nullif(coalesce(c.base, {_CODE}), '-') END AS base_hex
+  FROM ranked r LEFT JOIN cache c ON c.pair = poster_path || '|' || coalesce(logo_path, '') WHERE rank <= 400 AND {_OPEN}""")
+def refresh_outcomes(spark, d):
+    """The queue's outcomes: titles without details aren't found; each pair of poster and logo is coloured once, and not
+    at all if the cache has it."""
+    t = titles(spark, d)
+    details = t.where("tmdb_id % 10 <> 3").select("media_type", "tmdb_id", "title", "adult", "poster_path", "logo_path")
+    code = F.concat(F.lit("#"), F.upper(F.substring(F.md5("pair"), 1, 6)))
+    cache = catalogue.palette_cache(t.where("coalesce(poster_path, '') <> '/p9.jpg'"))
+    found = refresh.outcomes(ranking.work_queue(t, top=400), details, lambda p: p.where("poster_path <> '/p9.jpg'").select("pair", *[code.alias(r) for r in ROLES]), cache)
+    return found.select("media_type", "tmdb_id", "status", "base_hex")
+
+
+@query(_T + " SELECT media_type, tmdb_id, title, CASE WHEN tmdb_id = 42 AND media_type = 'movie' THEN 1 ELSE 0 END AS found FROM titles WHERE media_type = 'movie' AND tmdb_id = 42")
+def title_by_key(spark, d):
+    return search.get(titles(spark, d), "movie", 42).select("media_type", "tmdb_id", "title", F.lit(1).alias("found"))
+
+
+@query(_T + f", {_DIRTY} SELECT count(*) AS remaining FROM tvdb t WHERE dirty = 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.kind = t.kind AND d.tvdb_id = t.tvdb_id)")
+def export_remaining(spark, d):
+    x = tvdb(spark, d)
+    return catalogue.acknowledge(x, catalogue.export_batches(x, 700)).where("dirty = 1").agg(F.count("*").alias("remaining"))
+
+
+@query(_T + " SELECT media_type, tmdb_id, title, CAST(NULL AS VARCHAR) AS accent_hex, status FROM titles")
+def migrated_table(spark, d):
+    """A table from before some columns were added."""
+    store = Store(spark, new_folder(spark, "store"))
+    store.write("titles", titles(spark, d).drop("accent_hex", "logo_path"))
+    return store.read("titles", TITLE_SCHEMA).select("media_type", "tmdb_id", "title", "accent_hex", "status")
+
+
+@query("SELECT c_mktsegment AS key, CAST(max(c_custkey) AS VARCHAR) AS value FROM customer GROUP BY 1")
+def state_values(spark, d):
+    """Each key is set twice; the last value stays."""
+    x = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(F.min("c_custkey").cast("string").alias("lo"), F.max("c_custkey").cast("string").alias("hi"))
+    state = x.select("key", F.col("lo").alias("value"))
+    for r in x.orderBy("key").collect():  # five segments
+        state = catalogue.set_state(state, r.key, r.hi)
+    return state
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -390,7 +484,7 @@ def change_windows(spark, d):
 
 @query("SELECT DISTINCT 'movie' AS media_type, user_id AS tmdb_id FROM events WHERE user_id <> 0")
 def change_ids(spark, d):
-    pages = table(spark, d, "events").groupBy((F.col("event_id") % 50).alias("page")).agg(F.collect_list(F.struct(F.col("user_id").alias("id"))).alias("results"))
+    pages = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("page")).agg(F.collect_list(F.struct(F.col("user_id").alias("id"))).alias("results"))
     return listings.changed_ids(pages, "movie")
 
 
@@ -399,17 +493,26 @@ _LOGO_ROWS = "(SELECT o_custkey AS id, o_orderkey AS place, '/' || CAST(o_orderk
 
 @query(f"SELECT id, path AS logo FROM {_LOGO_ROWS} t WHERE lower(path) LIKE '%.png' QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN lang = 'en' THEN 0 WHEN lang IS NULL THEN 1 ELSE 2 END, vote DESC, width DESC, place) = 1")
 def logo_pick_a(spark, d):
+    x = spark.sql(_LOGO_ROWS.replace("FROM orders", "FROM {orders}")[1:-1], orders=table(spark, d, "orders"))
+    best = F.min(logos.logo_order(F.col("path"), F.col("lang"), F.col("vote").cast("double"), F.col("width"), F.col("place")))
+    return x.groupBy("id").agg(best.alias("b")).where("b IS NOT NULL").select("id", F.col("b.path").alias("logo"))
+
+
+@query(f"SELECT id, path AS logo FROM {_LOGO_ROWS} t WHERE lower(path) LIKE '%.png' AND place // 16 = id QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN lang = 'en' THEN 0 WHEN lang IS NULL THEN 1 ELSE 2 END, vote DESC, width DESC, place) = 1".replace("id, path", "place // 16 AS id, path").replace("place // 16 = id", "true").replace("PARTITION BY id", "PARTITION BY place // 16"))
+def logo_pick_array(spark, d):
+    """The choice within one document's array of logos: 16 orders in a row are a document."""
     x = spark.sql(_LOGO_ROWS.replace("FROM orders", "FROM {orders}")[1:-1], orders=table(spark, d, "orders"))
     item = F.struct("place", F.col("path").alias("file_path"), F.col("lang").alias("iso_639_1"), F.col("vote").cast("double").alias("vote_average"), "width")
-    return x.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("l")).select("id", logos.best_logo(F.col("l")).alias("logo")).where("logo IS NOT NULL")
+    docs = x.groupBy(F.floor(F.col("place") / 16).alias("id")).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    return docs.select("id", logos.best_logo(F.col("l")).alias("logo")).where("logo IS NOT NULL")
 
 
 @query(f"SELECT id, path AS logo FROM {_LOGO_ROWS} t WHERE width IN (1, 3) QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN lang = 'en' THEN 0 WHEN lang IS NULL THEN 1 ELSE 2 END, vote DESC, place) = 1")
 def logo_pick_b(spark, d):
     x = spark.sql(_LOGO_ROWS.replace("FROM orders", "FROM {orders}")[1:-1], orders=table(spark, d, "orders"))
-    item = F.struct("place", F.col("width").alias("type"), F.when(F.col("lang") == "en", "eng").otherwise(F.col("lang")).alias("language"), F.col("vote").cast("double").alias("score"), F.col("path").alias("image"))
-    arts = x.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    return arts.select("id", logos.best_artwork(F.col("a"), F.array(F.lit(1), F.lit(3))).alias("logo")).where("logo IS NOT NULL")
+    language = F.when(F.col("lang") == "en", "eng").otherwise(F.col("lang"))
+    best = F.min(logos.artwork_order(F.col("path"), F.col("width"), F.array(F.lit(1), F.lit(3)), language, F.col("vote").cast("double"), F.col("place")))
+    return x.groupBy("id").agg(best.alias("b")).where("b IS NOT NULL").select("id", F.col("b.image").alias("logo"))
 
 
 @query("SELECT r_name AS \"recordType\", list(n_nationkey ORDER BY n_nationkey)::VARCHAR AS types FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0 GROUP BY 1")
@@ -420,6 +523,79 @@ def logo_types(spark, d):
     return logos.logo_types(types).select("recordType", F.concat(F.lit("["), F.array_join(F.col("types").cast("array<string>"), ", "), F.lit("]")).alias("types"))
 
 
+@query("SELECT 'movie' AS media_type, c_custkey AS tmdb_id, c_name AS title, CAST(c_custkey % 2 AS INT) AS adult, c_acctbal AS popularity FROM customer")
+def export_parse(spark, d):
+    """A daily export that is three days old, written, found by its name and read."""
+    folder = new_folder(spark, "exports")
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("original_title"), F.when(F.col("c_custkey") % 2 == 1, True).alias("adult"), F.col("c_acctbal").alias("popularity"))
+    x.write.option("compression", "gzip").json(f"{folder}/movie_ids_02_26_2024.json.gz")
+    x.limit(1).write.option("compression", "gzip").json(f"{folder}/movie_ids_02_20_2024.json.gz")
+    path = listings.locate_export(spark, folder, "movie", date(2024, 2, 29))
+    return listings.read_export(spark, path, "movie").drop("ordinal")
+
+
+@query("SELECT 'tv' AS media_type, s_suppkey AS tmdb_id, s_name AS title, CAST(s_suppkey % 2 AS INT) AS adult, '/p' AS poster_path, CASE WHEN s_suppkey % 3 = 0 THEN '/c.png' ELSE '/b.PNG' END AS logo_path FROM supplier")
+def title_details(spark, d):
+    folder = new_folder(spark, "details")
+    logo = lambda path, lang, vote: F.struct(F.lit(path).alias("file_path"), F.lit(lang).cast("string").alias("iso_639_1"), F.lit(vote).alias("vote_average"), F.lit(100).alias("width"))
+    some = F.when(F.col("s_suppkey") % 3 == 0, F.array(logo("/a.svg", "en", 9.0), logo("/b.PNG", None, 8.0), logo("/c.png", "en", 1.0))).otherwise(F.array(logo("/b.PNG", None, 8.0), logo("/d.png", "de", 9.0)))
+    x = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("").alias("title"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 2 == 1).alias("adult"), F.lit("/p").alias("poster_path"), F.struct(some.alias("logos")).alias("images"))
+    x.write.json(f"{folder}/tv")
+    return listings.read_details(spark, f"{folder}/tv", "tv", lines=True)
+
+
+@query("SELECT 'series' AS kind, s_suppkey AS tvdb_id, s_name AS title, s_acctbal AS score, CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'https://a.test/i/' || CAST(s_suppkey AS VARCHAR) ELSE 'http://b/x.jpg' END AS image FROM supplier WHERE s_suppkey <> 0")
+def paged_listing(spark, d):
+    """Pages of 50 titles, some without an id; the last has no next one."""
+    folder = new_folder(spark, "listing")
+    x = table(spark, d, "supplier").withColumn("page", F.floor(F.col("s_suppkey") / 50))
+    image = F.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("i/"), F.col("s_suppkey").cast("string"))).when(F.col("s_suppkey") % 3 == 2, "http://b/x.jpg")
+    item = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("score"), image.alias("image"))
+    last = x.agg(F.max("page").alias("last"))
+    pages = x.groupBy("page").agg(F.collect_list(item).alias("data")).join(last, F.col("page") <= F.col("last"))
+    pages = pages.select(F.concat("data", F.array(F.struct(F.lit(None).cast("long").alias("id"), F.lit("?").alias("name"), F.lit(0.0).alias("score"), F.lit("x").alias("image")))).alias("data"), F.struct(F.when(F.col("page") < F.col("last"), "more").alias("next")).alias("links"))
+    pages.write.json(f"{folder}/series")
+    return listings.read_listing(spark, f"{folder}/series", "series", "https://a.test", lines=True)
+
+
+@query("""SELECT id, 'https://a.test/' || CAST(place AS VARCHAR) AS logo FROM (SELECT l_orderkey AS id, l_linenumber AS place, l_quantity AS score FROM lineitem WHERE l_linenumber % 2 = 1) t QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, place) = 1""")
+def artworks_logo(spark, d):
+    """Both shapes of artwork documents, here those of series; artworks in another language aren't offered for them."""
+    folder = new_folder(spark, "artworks")
+    x = table(spark, d, "lineitem")
+    kind = F.when(F.col("l_linenumber") % 2 == 1, 23).otherwise(2)
+    art = F.struct(F.col("l_linenumber").alias("place"), kind.alias("type"), F.lit("eng").alias("language"), F.col("l_quantity").alias("score"), F.col("l_linenumber").cast("string").alias("image"))
+    other = F.struct(F.lit(99).alias("place"), F.lit(23).alias("type"), F.lit("spa").alias("language"), F.lit(999.0).alias("score"), F.lit("spa").alias("image"))
+    docs = x.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(art)).alias("a"))  # an order has a few lines
+    docs = docs.select(F.struct("id", F.transform(F.concat("a", F.array(other)), lambda z: F.struct(z["type"].alias("type"), z.language.alias("language"), z.score.alias("score"), z.image.alias("image"))).alias("artworks")).alias("data"))
+    docs.write.json(f"{folder}/series")
+    docs.limit(1).write.json(f"{folder}/movie")
+    types = spark.createDataFrame([(2, "Poster", None, "series"), (23, "Clear Logo", None, "series"), (25, "ClearLogo", None, "movie")], schemas.ARTWORK_TYPES)
+    arts = listings.read_artworks(spark, f"{folder}/series", f"{folder}/movie", lines=True).where("kind = 'series'")
+    return listings.logos_of(arts, types, "series", "https://a.test").where("logo IS NOT NULL")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 's' || CAST(page_id AS VARCHAR) ELSE 'f' || CAST(page_id AS VARCHAR) END AS content FROM pages WHERE page_id % 6 <> 5""")
+def thumbnail_first(spark, d):
+    """Even pages have a small file, all but some a full one."""
+    x = table(spark, d, "pages").select("page_id")
+    keys = x.select(F.col("page_id").alias("key"), F.concat(F.lit("/x/"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("url"))
+    keys = keys.withColumn("thumbnail", text.thumbnail_url(F.col("url")))
+    name = lambda mark, end: F.struct(F.concat(F.lit("/x/"), F.col("page_id").cast("string"), F.lit(end)).alias("path"), F.concat(F.lit(mark), F.col("page_id").cast("string")).alias("content"))
+    files = x.select(F.explode(F.filter(F.array(F.when(F.col("page_id") % 2 == 0, name("s", "_t.jpg")), F.when(F.col("page_id") % 3 != 2, name("f", ".jpg"))), lambda z: z.isNotNull())).alias("f")).select("f.*")
+    found = listings.thumbnail_or_full(keys, files).where("content IS NOT NULL")
+    return found.select(F.col("key").alias("page_id"), "content")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE 't' END AS title, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE page_id % 4 = 2 END AS flag, CASE WHEN page_id % 2 = 0 THEN 'a|b' ELSE '' END AS parts FROM pages""")
+def text_rules(spark, d):
+    p = F.col("page_id")
+    title = text.title_or_name(F.when(p % 3 == 0, F.when(p % 2 == 0, "")).otherwise("t"), F.col("url"))
+    flag = text.is_true(F.when(p % 4 == 0, " On ").when(p % 4 == 1, "no").when(p % 8 == 2, ""), True)
+    flag = F.when(p % 4 == 3, text.is_true(F.lit(None).cast("string"), False)).otherwise(flag)
+    return table(spark, d, "pages").select("page_id", title.alias("title"), flag.alias("flag"), F.array_join(text.csv_set(F.when(p % 2 == 0, " a,, b,a ").otherwise(" ,")), "|").alias("parts"))
+
+
 _PATH = "CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN url WHEN 3 THEN '/b/' || CAST(page_id AS STRING) || '.jpg' ELSE 'b/' || CAST(page_id AS STRING) END"
 
 

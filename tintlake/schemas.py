@@ -43,3 +43,5 @@ LISTING = struct(_list("data", "id long", "name string", "score double", "image
 ARTWORK_TYPES = struct("id int", "name string", "slug string", "recordType string")
 ARTWORKS = struct("id long", _list("artworks", "type int", "language string", "score double", "image string"))
 MANIFEST = struct("description string", _list("titles", "media_type string", "id long", "name string", "category string", "expect string"))
+ARTWORK_TYPE_DOCUMENT = T.StructType([T.StructField("data", T.ArrayType(ARTWORK_TYPES))])
+ARTWORK_DOCUMENT = T.StructType([T.StructField("data", ARTWORKS)])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import catalogue
+from ..plans import listed
 from ..plans.store import Store
-from ..sources.listings import changed_ids
+from ..sources.listings import changed_ids, export_rows, export_schema
 
 
 def _drain(stream: DataFrame, each, checkpoint: str) -> None:
@@ -22,38 +23,48 @@ def follow_changes(store: Store, folder: str, media_type: str, checkpoint: str)
     pages = store.spark.readStream.schema(schemas.CHANGES).option("multiLine", True).json(folder)
 
     def each(batch: DataFrame, _: int) -> None:
-        store.write("titles", catalogue.requeue(store.read("titles", schemas.TITLES), changed_ids(batch, media_type)))
+        store.change("titles", schemas.TITLES, lambda t: catalogue.requeue(t, changed_ids(batch, media_type)))
 
     _drain(pages, each, checkpoint)
 
 
 def follow_exports(store: Store, folder: str, media_type: str, checkpoint: str) -> None:
-    """Export files that weren't seen yet are seeded."""
-    schema = schemas.MOVIE_EXPORT if media_type == "movie" else schemas.TV_EXPORT
-    title = "original_title" if media_type == "movie" else "original_name"
-    lines = store.spark.readStream.schema(schema).json(folder)
+    """Export files that weren't seen yet are seeded; a malformed line or a missing id fails. Seeding twice is seeding
+    once."""
+    lines = store.spark.readStream.schema(export_schema(media_type)).option("mode", "FAILFAST").json(folder)
 
     def each(batch: DataFrame, _: int) -> None:
-        rows = batch.select(F.lit(media_type).alias("media_type"), F.col("id").alias("tmdb_id"), F.col(title).alias("title"), F.coalesce("adult", F.lit(False)).cast("int").alias("adult"), "popularity").withColumn("ordinal", F.monotonically_increasing_id())
-        store.write("titles", catalogue.seed(store.read("titles", schemas.TITLES), rows))
+        store.change("titles", schemas.TITLES, lambda t: catalogue.seed(t, export_rows(batch, media_type)))
 
     _drain(lines, each, checkpoint)
 
 
 def follow_results(store: Store, folder: str, checkpoint: str) -> None:
-    """Result files that weren't seen yet are saved, one write a batch; of several for a title the last by time counts."""
+    """Result files that weren't seen yet are saved, one write a batch; of several for a title the last by time counts.
+
+    An error adds an attempt, so a batch must not be saved twice: its number is published with its rows, and a batch
+    that is run again after a failure is left out.
+    """
     schema = schemas.TITLES
     results = store.spark.readStream.schema(schema).parquet(folder)
 
-    def each(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy(*catalogue.KEY_A).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in catalogue.KEY_A]), "updated_at").alias("r")).select(*catalogue.KEY_A, "r.*")
-        store.write("titles", catalogue.save(store.read("titles", schema), last))
+    def each(batch: DataFrame, number: int) -> None:
+        if number > store.last_batch("titles", checkpoint):
+            store.change("titles", schema, lambda t: catalogue.save(t, batch.withColumn("ordinal", F.col("updated_at"))), checkpoint, number)
 
     _drain(results, each, checkpoint)
 
 
-def events_by_window(spark: SparkSession, path: str, schema, checkpoint: str, name: str) -> None:
-    """Changes per 14 days and kind of event, from a stream of event files; late events up to a day count."""
-    stream = spark.readStream.schema(schema).parquet(path).withWatermark("ts", "1 day")
-    n = stream.groupBy(F.window("ts", "14 days"), "event_type").agg(F.count("*").alias("n"))
-    n.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def follow_colours(store: Store, folder: str, checkpoint: str, send: listed.Send, most: int = 80_000) -> list[listed.Sent]:
+    """Result files of the second pipeline that weren't seen yet are saved, and what the target lacks is sent after each
+    batch, at least once; what it refuses stays for the next."""
+    schema, out = schemas.TVDB_TITLES, []
+    results = store.spark.readStream.schema(schema).parquet(folder)
+
+    def each(batch: DataFrame, number: int) -> None:
+        if number > store.last_batch(listed.TABLE, checkpoint):
+            store.change(listed.TABLE, schema, lambda t: catalogue.save_b(t, batch.withColumn("ordinal", F.col("updated_at"))), checkpoint, number)
+        out.append(listed.export(store, send, most))
+
+    _drain(results, each, checkpoint)
+    return out
