@@ -79,9 +79,10 @@ def model(n_files: int, df: dict[str, int], buckets: dict[int, int], threshold:
         norm = math.sqrt(math.fsum((n * idf[w]) ** 2 for w, n in bag.items()))
         v = {w: n * idf[w] / norm for w, n in bag.items()}
         templates.append((name, v))
-        # cosine^2 is at most the sum of squares of the shared words; without the anchors that is under threshold^2
+        # cosine^2 is at most the sum of squares of the shared words; without the anchors that is under threshold^2. Rare
+        # words first: a common one that a template repeats would let nearly all texts through
         rest = 1.0
-        for w in sorted(v, key=lambda w: (-v[w], w)):
+        for w in sorted(v, key=lambda w: (-idf[w], w)):
             if rest < threshold**2 - 1e-9:
                 break
             anchors.add(w)
