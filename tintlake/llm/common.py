@@ -53,6 +53,19 @@ def tidy() -> None:
         trim(0)
 
 
+#: Bounds of what goes to a Python worker at once, where the session doesn't say otherwise. Texts are of any length, so
+#: Spark's own bound, 10,000 rows, is none of bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("64m", "8m")}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's batches are bounded from now on."""
+    for key, (default, ours) in BATCH.items():
+        if df.sparkSession.conf.get(key, default).lower() in (default, "67108864", "67108864b"):
+            df.sparkSession.conf.set(key, ours)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, scratch, sieved, tidy
+from .common import cut, fresh, scratch, sieved, small_batches, tidy
 
 BLOCK = 2
 MARKS = string.punctuation + "…“”„«»¿¡‘’–—"
@@ -342,6 +342,7 @@ def searcher(shard: Shard, question: float, answer: float):
 def _hits(docs: DataFrame, benchmark: DataFrame, threshold: float, question: float, answer: float, shard_items: int, text: str, *keep: Column) -> DataFrame:
     """The ``keep`` columns and ``hit`` of each hit, from a table for each shard."""
     found = []
+    small_batches(docs)
     with scratch() as kept:
         for shard in shards(benchmark, threshold, shard_items):
             x = docs.select(*keep, F.explode(searcher(shard, question, answer)(F.col(text))).alias("hit"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, lowest, spread, tidy
+from .common import held_out, lowest, small_batches, spread, tidy
 
 # Unicode script ranges (first, last code point).
 SCRIPTS: dict[str, tuple[tuple[int, int], ...]] = {
@@ -279,6 +279,6 @@ def predict_languages(docs: DataFrame, per_lang: int = 2000, penalty: float = 12
     Each row is predicted by its own text, so repeated ids and rows are kept. Without labelled rows all is 'und';
     an empty table gives an empty result. Other columns aren't read.
     """
-    own = docs.select("doc_id", "text", "lang")
+    own = small_batches(docs).select("doc_id", "text", "lang")
     model = train(own.where(~held_out("doc_id")), per_lang, penalty)
     return own.select("doc_id", held_out("doc_id").alias("held_out"), language_id(own, model).alias("r")).select("doc_id", "held_out", "r.*")

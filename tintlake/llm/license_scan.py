@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small_batches
 from .licenses import TEMPLATES
 
 FILE_NAMES = ("license", "licence", "copying", "unlicense")
@@ -204,7 +204,7 @@ def scan_licenses(files: DataFrame, threshold: float = 0.7, path: str = "path",
     """
     ours = ("path", "license", "score", "line", "inherited_from", "effective")
     named_ = {c: c if c.lower() not in ours else c + "_" for c in keep}
-    own = files.select(F.col(path).alias("path"), F.struct(F.lit(0).alias("0"), *[F.col(c).alias(named_[c]) for c in keep]).alias("keep"), F.col(text).alias("text"))
+    own = small_batches(files).select(F.col(path).alias("path"), F.struct(F.lit(0).alias("0"), *[F.col(c).alias(named_[c]) for c in keep]).alias("keep"), F.col(text).alias("text"))
     m = train(own, "text", threshold, templates)
     here = F.regexp_replace("path", "/?[^/]*$", "")
     name = F.lower(F.element_at(F.split("path", "/"), -1))

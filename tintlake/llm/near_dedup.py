@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut, fresh, scratch, sieved, tidy
+from .common import WORD, cut, fresh, scratch, sieved, small_batches, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
@@ -195,7 +195,7 @@ class _Classes:
     """The classes of a table of documents, and what is found of them on the way."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
-        self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        self.docs = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         s = self.docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch("text").alias("s"))
         self.sketches = cut(s.select("doc_id", "text_hash", "s.*"), "sketches")
         rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, tidy
+from .common import cut, new_folder, small_batches, tidy
 
 # Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -152,14 +152,14 @@ def _packer(capacity: int, window: int, where: str) -> Callable:
                     if len(part[3]) == capacity:
                         rows.append(_row(row_id, [part], capacity))
                         row_id += 1
-                        if len(rows) >= 1024:
+                        if len(rows) >= BLOCK:
                             yield batch()
                     else:
                         held.append(part)
                 number += 1
                 if len(held) >= window:
                     packed()
-                if len(rows) >= 1024:
+                if len(rows) >= BLOCK:
                     yield batch()
             tidy()
         packed()
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, capacity: int = 2048, window: int = 4096, folder: str
     doc_rows. ``window`` bounds the remainders that a task holds. An empty table gives no rows. Other columns aren't
     read. The ids of rows differ with the layout of the input, not with a task's retries.
     """
-    return docs.select(doc_id, text).mapInArrow(_packer(capacity, window, folder or tokenizer_folder()), SCHEMA)
+    return small_batches(docs).select(doc_id, text).mapInArrow(_packer(capacity, window, folder or tokenizer_folder()), SCHEMA)
 
 
 def _streams(capacity: int) -> dict[str, str]:
@@ -224,7 +224,7 @@ def write_files(packed: DataFrame, folder: str) -> DataFrame:
 def pack_files(docs: DataFrame, folder: str, capacity: int = 2048, window: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``write_files`` of what ``pack`` gives, by one worker a task, so that rows don't go through Spark."""
     packer, writer = _packer(capacity, window, tokenizer_folder()), _writer(folder)
-    return cut(docs.select(doc_id, text).mapInArrow(lambda batches: writer(packer(batches)), MANIFEST), "packed-files")
+    return cut(small_batches(docs).select(doc_id, text).mapInArrow(lambda batches: writer(packer(batches)), MANIFEST), "packed-files")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, held_out, lowest, sieved, spread, tidy
+from .common import cut, fresh, held_out, lowest, sieved, small_batches, spread, tidy
 from .quality_rules import measure
 
 _KINDS = {"upper": range(65, 91), "digit": range(48, 58), "mark": b"!", "bar": b"|", "stop": b".,;:?", "symbol": b"#*$%&<>@~^_=+\\{}[]"}
@@ -144,6 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, at: float =
     """Learns from labelled rows that aren't held out. The weights are fitted on the ``per_class`` documents of each
     label whose id hashes lowest, one text of each id, which bounds the rows that come to the driver; the cut comes
     from the strengths of all of them. A repeated id counts with its lowest label. None without both labels."""
+    small_batches(docs)
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = cut(rows.withColumn("h", spread("doc_id")), "labelled")
     # at most 2 * per_class rows

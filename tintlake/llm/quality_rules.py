@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut
+from .common import WORD, cut, small_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -149,7 +149,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
     Empty tables give an empty result. Other columns aren't read.
     """
     spark = docs.sparkSession
-    m = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), measures(F.col(text)).alias("m")).select("doc_id", "stratum", "m.*")
+    m = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), measures(F.col(text)).alias("m")).select("doc_id", "stratum", "m.*")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     m = cut(m.withColumn("base_failed", base), "rules-measured")
     cutoffs = calibrate(m, labels, alpha, delta, "doc_id", "stratum")

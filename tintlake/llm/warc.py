@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, scratch, sieved
+from .common import cut, new_folder, scratch, sieved, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are never replaced by a revisit.
@@ -70,7 +70,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def write(pages: DataFrame, folder: str, file_bytes: int = 1 << 29) -> DataFrame:
     """Writes (page_id, url, html) as archives under ``folder``; the manifest of files that count."""
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
+    p = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = p.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "digest")
     shared = large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("kept").isNotNull())
     # one payload may be that of a third of all pages, so each is dealt out to several tasks
