@@ -773,6 +773,78 @@ def cluster_distance_table(spark, d):
     return pixels.centre_distances(pixels.centres(_labelled(spark, d))).select("poster", "label", "other", F.round("distance", 5).alias("distance"))
 
 
+# ---------------------------------------------------------------- palettes of coarse labels: the choice has SQL
+
+_LABF = ", f AS (SELECT *, " + ", ".join(f"{_F(m, w)} AS f{k}" for k, (m, w) in enumerate(zip(colour.RGB_TO_XYZ, colour.WHITE))) + " FROM lin)"
+_APART = lambda a, b: f"sqrt(pow({a}.l - {b}.l, 2) + pow({a}.a - {b}.a, 2) + pow({a}.b_ - {b}.b_, 2))"
+_V1 = _T + _LBL + _LIN.replace("FROM rgb", "FROM lb") + _LABF + f""", c0 AS (SELECT poster, label, count(*) AS n, avg(116 * f1 - 16) AS l, avg(500 * (f0 - f1)) AS a, avg(200 * (f1 - f2)) AS b_, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM f GROUP BY 1, 2),
+  c AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY poster) AS share, row_number() OVER (PARTITION BY poster ORDER BY n DESC, label) AS nth FROM c0 QUALIFY nth = 1 OR share >= 0.02),
+  two AS (SELECT x.poster, min(x.nth) AS nth FROM c x JOIN c p ON x.poster = p.poster AND p.nth = 1 WHERE {_APART('x', 'p')} >= 15 GROUP BY 1),
+  three AS (SELECT x.poster, min(x.nth) AS nth FROM c x JOIN c p ON x.poster = p.poster AND p.nth = 1 JOIN two t ON t.poster = x.poster JOIN c q ON q.poster = x.poster AND q.nth = t.nth WHERE {_APART('x', 'p')} >= 15 AND {_APART('x', 'q')} >= 15 GROUP BY 1),
+  o AS (SELECT c.*, row_number() OVER (PARTITION BY c.poster ORDER BY CASE WHEN c.nth = 1 THEN 0 WHEN c.nth = two.nth THEN 1 WHEN c.nth = three.nth THEN 2 ELSE 3 END, c.nth) AS place, count(*) OVER (PARTITION BY c.poster) AS places FROM c LEFT JOIN two USING (poster) LEFT JOIN three USING (poster)),
+  w AS (SELECT *, printf('#%02X%02X%02X', CAST(round_even(r, 0) AS INT), CAST(round_even(g, 0) AS INT), CAST(round_even(b, 0) AS INT)) AS hex, round(share, 4) AS ratio FROM o)
+  SELECT poster, """ + ", ".join(f"max({k}) FILTER (place = least({i}, places)) AS {n}_{k}" for i, n in enumerate(SLOTS, 1) for k in ("hex", "ratio")) + " FROM w GROUP BY poster"
+
+
+@query(_V1)
+def area_palette_of_labels(spark, d):
+    """The first version's choice, clusters being coarse labels."""
+    x = _labelled(spark, d)
+    return palettes.palette_v1(x.withColumns(dict(zip(pixels.LAB, colour.cielab(F.col("r"), F.col("g"), F.col("b"))))))
+
+
+_D = lambda x: f"{x}::DOUBLE"
+_DOT = lambda m, v: " + ".join(f"{_D(c)} * {x}" for c, x in zip(m, v))
+_BACK = ", ".join(f"pow({_DOT(m, ('ll', 'rla', 'rlb'))}, 3) AS {k}3" for k, m in zip("lms", colour.LAB_TO_LMS))
+_LINEAR = ", ".join(f"least(greatest({_DOT(m, ('l3', 'm3', 's3'))}, 0), 1) AS {k}_lin" for k, m in zip("rgb", colour.LMS_TO_RGB))
+_BYTES = ", ".join(f"least(greatest(255 * CASE WHEN {k}_lin <= 0.0031308 THEN 12.92::DOUBLE * {k}_lin ELSE 1.055::DOUBLE * pow({k}_lin, 1 / 2.4::DOUBLE) - 0.055::DOUBLE END, 0), 255) AS {k}" for k in "rgb")
+_PARTS_SQL = f"""1 - {_RAMP('chroma', '0.025::DOUBLE', '0.06::DOUBLE')} AS grey, 1 - {_RAMP('ll', '0.20::DOUBLE', '0.34::DOUBLE')} AS dark, {_RAMP('ll', '0.88::DOUBLE', '0.96::DOUBLE')} AS light,
+  CASE WHEN hue BETWEEN 30 AND 100 THEN 1 ELSE 0 END * (1 - {_RAMP('chroma', '0.05::DOUBLE', '0.10::DOUBLE')}) * {_RAMP('chroma', '0.025::DOUBLE', '0.06::DOUBLE')} AS brown"""
+_GAP = lambda a, b: f"sqrt(pow({a}.ll - {b}.ll, 2) + pow({a}.rla - {b}.rla, 2) + pow({a}.rlb - {b}.rlb, 2))"
+_ALIKE = lambda a, b: f"CASE WHEN least({a}.chroma, {b}.chroma) < 0.05 THEN 0 ELSE 1 - {_RAMP(f'least(abs({a}.hue - {b}.hue) % 360, 360 - abs({a}.hue - {b}.hue) % 360)', '15.0::DOUBLE', '45.0::DOUBLE')} END"
+_TIER = lambda g: f"CASE WHEN {g} >= 0.12 THEN 0 WHEN {g} >= 0.12::DOUBLE * 0.6::DOUBLE THEN 1 WHEN {g} >= 0.12::DOUBLE * 0.3::DOUBLE THEN 2 ELSE 3 END"
+_V2 = _T + _LOK + _NB + _SIZE + f""", g0 AS (SELECT poster, label, count(*) AS n, avg(okl) AS ll, avg(oka) AS la, avg(okb) AS lb, avg(sqrt(oka * oka + okb * okb)) AS mc, sum(sqrt(oka * oka + okb * okb)) AS sc FROM ok GROUP BY 1, 2),
+  g1 AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY poster) AS coverage, sum(sc) OVER (PARTITION BY poster) / sum(n) OVER (PARTITION BY poster) AS colourful, la * CASE WHEN sqrt(la * la + lb * lb) > 1e-6 THEN mc / sqrt(la * la + lb * lb) ELSE 1 END AS rla, lb * CASE WHEN sqrt(la * la + lb * lb) > 1e-6 THEN mc / sqrt(la * la + lb * lb) ELSE 1 END AS rlb FROM g0),
+  sal AS (SELECT poster, label, sum({_CW}) / sum(sum({_CW})) OVER (PARTITION BY poster) AS salient FROM lb JOIN sz USING (poster) GROUP BY poster, label),
+  con AS (SELECT e.poster, e.l1 AS label, avg(sqrt(pow(c.ll - o.ll, 2) + pow(c.la - o.la, 2) + pow(c.lb - o.lb, 2))) AS contrast FROM (SELECT * FROM both_ WHERE l1 <> l2) e JOIN g0 c ON c.poster = e.poster AND c.label = e.l1 JOIN g0 o ON o.poster = e.poster AND o.label = e.l2 GROUP BY 1, 2),
+  dis AS (SELECT x.poster, x.label, sum(o.coverage * sqrt(pow(x.ll - o.ll, 2) + pow(x.rla - o.la, 2) + pow(x.rlb - o.lb, 2))) / sum(o.coverage) AS dist FROM g1 x JOIN g1 o ON x.poster = o.poster AND x.label <> o.label GROUP BY 1, 2),
+  g2 AS (SELECT g1.*, salient, least(coalesce(contrast, 0) / 0.4, 1)::DOUBLE AS contrast, least(coalesce(dist, 0) / 0.4, 1)::DOUBLE AS distinctiveness, sqrt(rla * rla + rlb * rlb) AS chroma, ((degrees(atan2(rlb, rla)) % 360) + 360) % 360 AS hue, {_BACK} FROM g1 JOIN sal USING (poster, label) LEFT JOIN con USING (poster, label) LEFT JOIN dis USING (poster, label)),
+  g3 AS (SELECT *, {_LINEAR} FROM g2), g4 AS (SELECT *, {_BYTES} FROM g3),
+  g5 AS (SELECT *, printf('#%02X%02X%02X', CAST(round_even(r, 0) AS INT), CAST(round_even(g, 0) AS INT), CAST(round_even(b, 0) AS INT)) AS hex, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END * {_RAMP('ll', '0.12::DOUBLE', '0.30::DOUBLE')} AS saturation, {_PARTS_SQL} FROM g4),
+  g6 AS (SELECT *, {_RAMP('colourful', '0.010::DOUBLE', '0.040::DOUBLE')} AS strength, greatest(grey, dark, light, brown) AS neutrality, (1 - 0.7::DOUBLE * grey) * (1 - 0.5::DOUBLE * dark) * (1 - 0.5::DOUBLE * light) * (1 - 0.3::DOUBLE * brown) AS raw FROM g5
+    QUALIFY row_number() OVER (PARTITION BY poster ORDER BY coverage DESC, hex) = 1 OR coverage >= 0.015 OR (chroma >= 0.09 AND coverage >= 0.004)),
+  k AS (SELECT *, 1 - strength * (1 - raw) AS nf, sqrt(salient / max(salient) OVER (PARTITION BY poster)) AS cov, least(chroma / 0.20, 1)::DOUBLE AS vivid FROM g6),
+  p1 AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY poster ORDER BY (((0.25::DOUBLE + 0.45::DOUBLE * (1 - strength)) * cov + strength * (0.25::DOUBLE * saturation + 0.20::DOUBLE * vivid) + 0.15::DOUBLE * contrast + 0.15::DOUBLE * distinctiveness) * nf
+    + 0.45::DOUBLE * neutrality * {_RAMP('coverage', '0.30::DOUBLE', '0.65::DOUBLE')} * (1 - {_RAMP('colourful', '0.020::DOUBLE', '0.050::DOUBLE')})) * {_RAMP('coverage', '0.008::DOUBLE', '0.035::DOUBLE')} DESC, coverage DESC, hex DESC) = 1),
+  p2 AS (SELECT k.* FROM k JOIN p1 USING (poster) WHERE k.label <> p1.label QUALIFY row_number() OVER (PARTITION BY k.poster ORDER BY {_TIER(_GAP('k', 'p1'))}, (0.50::DOUBLE * k.cov + 0.20::DOUBLE * least({_GAP('k', 'p1')} / 0.5, 1) + 0.15::DOUBLE * k.saturation + 0.15::DOUBLE * k.vivid) * (1 - 0.5::DOUBLE * (1 - k.nf)) * (1 - 0.40::DOUBLE * ({_ALIKE('k', 'p1')})) DESC, k.coverage DESC, k.hex DESC) = 1),
+  q2 AS (SELECT * FROM p2 UNION ALL SELECT * FROM p1 WHERE poster NOT IN (SELECT poster FROM p2)),
+  p3 AS (SELECT k.* FROM k JOIN p1 USING (poster) JOIN q2 USING (poster) WHERE k.label <> p1.label AND k.label <> q2.label QUALIFY row_number() OVER (PARTITION BY k.poster ORDER BY {_TIER(f"least({_GAP('k', 'p1')}, {_GAP('k', 'q2')})")},
+    (0.30::DOUBLE * (least({_GAP('k', 'p1')} / 0.5, 1) + least({_GAP('k', 'q2')} / 0.5, 1)) + 0.20::DOUBLE * k.saturation + 0.20::DOUBLE * k.cov) * (1 - 0.40::DOUBLE * greatest({_ALIKE('k', 'p1')}, {_ALIKE('k', 'q2')})) DESC, k.coverage DESC, k.hex DESC) = 1),
+  q3 AS (SELECT * FROM p3 UNION ALL SELECT * FROM q2 WHERE poster NOT IN (SELECT poster FROM p3))"""
+
+
+@query(_V2 + " SELECT p1.poster, p1.hex AS primary_hex, q2.hex AS secondary_hex, q3.hex AS tertiary_hex, round(p1.coverage, 4) AS primary_ratio, round(q2.coverage, 4) AS secondary_ratio, round(q3.coverage, 4) AS tertiary_ratio FROM p1 JOIN q2 USING (poster) JOIN q3 USING (poster)")
+def role_palette_of_labels(spark, d):
+    """The second version's choice, clusters being coarse labels."""
+    return _v2(palettes.palette_v2(_gridded(spark, d)))
+
+
+_HEXLAB = "hx AS (SELECT poster, nth, " + ", ".join(f"CAST('0x' || substr(hex, {i}, 2) AS INT) AS {c}" for i, c in ((2, "r"), (4, "g"), (6, "b"))) + " FROM (SELECT poster, 1 AS nth, hex FROM p1 UNION ALL SELECT poster, 2, hex FROM q2 UNION ALL SELECT poster, 3, hex FROM q3) t)"
+_HEXOK = (_LIN + _LMS + _OK).replace("lin AS", "hlin AS").replace("FROM rgb", "FROM hx").replace("lms AS", "hlms AS").replace("FROM lin", "FROM hlin").replace(", ok AS", ", hok AS").replace("FROM lms", "FROM hlms")
+_LIGHT = "sum(greatest(round(coverage, 4), 1e-6::DOUBLE) * okl) / sum(greatest(round(coverage, 4), 1e-6::DOUBLE))"
+
+
+@query(_V2 + ", " + _HEXLAB + _HEXOK + f""", near AS (SELECT a.poster, min(sqrt(pow(a.okl - b.okl, 2) + pow(a.oka - b.oka, 2) + pow(a.okb - b.okb, 2))) AS d FROM hok a JOIN hok b ON a.poster = b.poster AND a.nth < b.nth GROUP BY 1),
+  cv AS (SELECT poster, 1 AS nth, coverage FROM p1 UNION ALL SELECT poster, 2, coverage FROM q2 UNION ALL SELECT poster, 3, coverage FROM q3),
+  li AS (SELECT poster, {_LIGHT} AS l FROM hok JOIN cv USING (poster, nth) GROUP BY 1), me AS (SELECT poster, avg(okl) AS l FROM ok GROUP BY 1)
+  SELECT p1.poster, concat_ws(',', CASE WHEN near.d < 0.08 THEN 'similar' END, CASE WHEN p1.neutrality > 0.6 AND EXISTS (SELECT 1 FROM k WHERE k.poster = p1.poster AND k.label <> p1.label AND k.chroma >= 0.12 AND k.coverage >= 0.05) THEN 'neutral_over_accent' END,
+    CASE WHEN p1.chroma >= 0.12 AND p1.coverage < 0.05 THEN 'speck' END, CASE WHEN abs(me.l - li.l) > 0.22 THEN 'lightness_drift' END) AS flags FROM p1 JOIN near USING (poster) JOIN li USING (poster) JOIN me USING (poster)""")
+def review_flags_of_labels(spark, d):
+    """What looks wrong about the second version's choice of coarse labels."""
+    x = _gridded(spark, d)
+    return palettes.review_flags(palettes.palette_v2(x), x).select("poster", F.array_join("flags", ",").alias("flags"))
+
+
 # ---------------------------------------------------------------- palettes: clustering has no SQL
 
 
