@@ -18,25 +18,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh
+from .common import WORD, cut, fresh, sieved
 
 _KEY = ("doc", "text_hash")
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, text_hash, line, id, words): the lines that have a word. A document is its id and its text."""
-    d = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "body"))
-    # two seeds make 128 bits
-    line_id = F.struct(F.xxhash64(F.lit(1), "body").alias("a"), F.xxhash64(F.lit(2), "body").alias("b"))
-    d = d.select(*_KEY, "line", line_id.alias("id"), F.regexp_count("body", F.lit(WORD)).cast("long").alias("words"))
-    return d.where("words > 0")
+def _once(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, text_hash, body): rows that repeat a document whole, id and text, are one. Only rows that may be such
+    repeats, by a bitmap of the repeated keys, are shuffled."""
+    d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("body"))
+    key = F.xxhash64(*_KEY)
+    repeated = d.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1").select(key.alias("k"))
+    x = sieved(d, key, cut(repeated, "line-repeats"), "maybe")
+    return x.where("NOT maybe").drop("maybe").unionByName(x.where("maybe").drop("maybe").dropDuplicates([*_KEY]))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The lines that occur twice or more, with their place ``at`` among the lines with words and the ids as ranks."""
-    place = F.row_number().over(Window.partitionBy(*_KEY).orderBy("line"))
-    # rows that repeat a document whole are one document
-    lines = cut(_lines(docs, doc_id, text).dropDuplicates([*_KEY, "line"]).withColumn("at", place), "lines")
+    lines = F.transform(F.split("body", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("words")))
+    d = _once(docs, doc_id, text).select(*_KEY, F.posexplode(F.filter(lines, lambda z: z.words > 0)).alias("at", "l"))
+    # two seeds make 128 bits
+    line_id = F.struct(F.xxhash64(F.lit(1), "l.x").alias("a"), F.xxhash64(F.lit(2), "l.x").alias("b"))
+    lines = cut(d.select(*_KEY, "l.line", "at", line_id.alias("id"), "l.words"), "lines")
     often = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     return lines.join(ranked(often, ["id"]), "id").select(*_KEY, "line", "at", "words", "rank")
 
