@@ -234,7 +234,7 @@ class Numbers(dict):
     def __missing__(self, word: str) -> int:
         bare = word.strip(MARKS)
         n = self.term.get(bare, -1) if bare else -2
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = n
         return n

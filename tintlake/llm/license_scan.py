@@ -154,7 +154,7 @@ class _Bare(dict):
     """(word without marks, bucket) by word as it stands in a text."""
 
     def __missing__(self, word: str) -> tuple[str, int]:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         bare = word.strip(MARKS)
         found = self[word] = (bare, bucket(bare))

@@ -62,7 +62,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

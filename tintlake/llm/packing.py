@@ -132,14 +132,20 @@ def _packer(capacity: int, window: int, where: str) -> Callable:
         held: list[tuple[int | None, int, int, np.ndarray]] = []
         rows: list[tuple] = []
 
-        def packed():
-            nonlocal held, row_id
+        def add(members: list[tuple[int | None, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            nonlocal row_id
+            rows.append(_row(row_id, members, capacity))
+            row_id += 1
+            if len(rows) >= BLOCK:
+                yield batch()
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal held
             for members in best_fit_decreasing([len(x) for *_, x in held], capacity):
-                rows.append(_row(row_id, [held[i] for i in members], capacity))
-                row_id += 1
+                yield from add([held[i] for i in members])
             held = []
 
-        def batch():
+        def batch() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)], list(_NAMES))
             rows.clear()
             return out
@@ -148,21 +154,16 @@ def _packer(capacity: int, window: int, where: str) -> Callable:
             for d, t in zip(given.column(0).to_pylist(), given.column(1)):
                 ids = np.append(tokenize(t.as_py() or "", where), np.uint16(SEPARATOR))
                 for piece, at in enumerate(range(0, len(ids), capacity)):
-                    part = (d, number, piece, ids[at : at + capacity])
+                    part = (d, number, piece, ids[at : at + capacity].copy())  # a view would keep the whole document
                     if len(part[3]) == capacity:
-                        rows.append(_row(row_id, [part], capacity))
-                        row_id += 1
-                        if len(rows) >= BLOCK:
-                            yield batch()
+                        yield from add([part])
                     else:
                         held.append(part)
                 number += 1
                 if len(held) >= window:
-                    packed()
-                if len(rows) >= BLOCK:
-                    yield batch()
+                    yield from packed()
             tidy()
-        packed()
+        yield from packed()
         yield batch()
 
     return run
