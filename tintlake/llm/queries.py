@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, warc
+from . import decontamination, filter_audit, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, warc
 from .common import table
 
 
@@ -51,11 +51,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_decontamination, op4_warc, op5_token_packing, op6_mixing, op7_quality_rules, op8_near_dedup, op9_license_scan, op10_line_dedup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_decontamination, op4_warc, op5_token_packing, op6_mixing, op7_quality_rules, op8_near_dedup, op9_license_scan, op10_line_dedup, op11_filter_audit)}
 
 ORACLES = {
     "op4_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.oracle(),
+    "op11_filter_audit": filter_audit.ORACLE,
     "op6_mixing": mixing.oracle(),
     "op7_quality_rules": quality_rules.oracle(),
     "op8_near_dedup": near_dedup.ORACLE,
