@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import CLASH, DOCS, LABELS, odd_rows, text
 
-from tintlake.llm import filter_audit
+from tintlake.llm import filter_audit, hierarchical_packing
+from tintlake.llm.common import table
+from tintlake.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +90,80 @@ def test_term_matrix_is_the_counts_of_each_document(spark):
     assert got == {i: dict(Counter((t or "").split())) for i, t, _ in rows}
     sums = {r.doc_id: (r.n_words, r.n_distinct) for r in filter_audit.row_sums(matrix).collect()}
     assert sums[41] == (4, 2) and sums[40] == (0, 0)
+
+
+# ---------------------------------------------------------------- 12
+
+
+def plain_ids(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+
+
+def check_packing(rows, found, capacity=4096):
+    """All of the contract: pieces, ids and gapless sequences; the number of sequences and of ids."""
+    want = Counter()
+    for (i, _), ids in zip(rows, plain_ids([t for _, t in rows])):
+        for k, at in enumerate(range(0, len(ids), capacity)):
+            part = ids[at : at + capacity]
+            want[i, k, at, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+    by = defaultdict(list)
+    for r in found:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len({(r.doc_row, r.piece) for r in found}) == len(found)
+    return len(by), sum(r.length for r in found)
+
+
+def test_sequences_hold_all_pieces_and_few_are_needed(spark, odd, sf, monkeypatch):
+    docs = table(spark, sf, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    n, ids = check_packing(rows, QUERIES["op12_best_fit_packing"](spark, sf).collect())
+    least = -(-ids // 4096)
+    assert n <= 1.02 * least + 1
+    spread = hierarchical_packing.pieces(hierarchical_packing.pack_sequences(docs.repartition(40), fan_in=3)).collect()
+    assert check_packing(rows, spread)[0] <= 1.2 * least  # five documents a leaf
+    monkeypatch.setattr(hierarchical_packing, "WINDOW", 20_000)
+    small = hierarchical_packing.pieces(hierarchical_packing.pack_sequences(docs.repartition(2), capacity=512)).collect()
+    assert check_packing(rows, small, 512)[0] <= 1.05 * -(-ids // 512)
+    whole = [(d, t) for d, t, *_ in odd_rows()]
+    check_packing(whole, hierarchical_packing.pieces(hierarchical_packing.pack_sequences(odd)).collect())
+    assert hierarchical_packing.pack_sequences(odd.where("false")).isEmpty()
+
+
+def test_ids_are_those_of_the_whole_text():
+    import pyarrow as pa
+
+    texts = ["a <|endoftext|> b<|startoftext|>", "é Å ́x ΑΣ ΣΑΣ.", "  a　b\x85c", " don't\tWE'LL\r\n12 3日本語\x0b𝒳 ", "", "\n", "x" * 5000, "ﬁ ǅ İstanbul"] * 2
+    encode = hierarchical_packing.Encoder(hierarchical_packing.vocabulary())
+    for _ in range(2):
+        assert [[*x.tolist(), 1] for x in encode(pa.array(texts))] == plain_ids(texts)
+
+
+def test_tree_merges_what_fits_and_passes_few(spark):
+    """No two open bins of a node fit together, and bins that can't be merged aren't carried to the root."""
+    r = random.Random(5)
+    left = [(node, node * 100 + k, r.choice([2049, 2500, 3000, 3900]) if k else r.randint(1, 2048)) for node in range(50) for k in range(20)]
+    places = hierarchical_packing.merge_tree(spark.createDataFrame(left, "node long, bin long, length int"), fan_in=4).collect()
+    size = {b: n for _, b, n in left}
+    assert sorted(p.bin for p in places) == sorted(size)
+    by = defaultdict(list)
+    for p in places:
+        by[p.sequence_id].append((p.at, size[p.bin]))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    small = [sum(n for _, n in parts) for parts in by.values()]
+    assert sum(2 * n <= 4096 for n in small) <= 1 and len(by) <= 20 * 50 - 45
