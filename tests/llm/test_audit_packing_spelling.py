@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import CLASH, DOCS, LABELS, odd_rows, text
 
-from tintlake.llm import filter_audit, hierarchical_packing
+from tintlake.llm import filter_audit, hierarchical_packing, spelling
 from tintlake.llm.common import table
 from tintlake.llm.queries import QUERIES
 
@@ -167,3 +167,82 @@ def test_tree_merges_what_fits_and_passes_few(spark):
         assert at <= 4096
     small = [sum(n for _, n in parts) for parts in by.values()]
     assert sum(2 * n <= 4096 for n in small) <= 1 and len(by) <= 20 * 50 - 45
+
+
+# ---------------------------------------------------------------- 13
+
+
+def one_error(a, b):
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+
+def plain_variants(rows):
+    n = Counter()
+    for i, t in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            n[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
+    n = {w: k for w, k in n.items() if k >= 3 and len(w) >= 5}
+    out, form = {}, {}
+    for w in n:
+        near = sorted((v for v in n if one_error(v, w)), key=lambda v: (-n[v], v))
+        form[w] = near[0] if near and n[near[0]] >= 2 * n[w] else None
+        out[w] = len(near)
+    found = {}
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        found[w] = (form[w], root, n[w], out[w], n[form[w]] if form[w] else None)
+    return found
+
+
+def grouped(docs, **kw):
+    rows = spelling.variants(docs, **kw).collect()
+    assert len({r.word for r in rows}) == len(rows)
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+
+
+def test_variants_match_all_pairs(spark, odd):
+    r = random.Random(9)
+    base = ["".join(r.choices("abé", k=r.randint(5, 7))) for _ in range(60)] + ["aaaaa", "aaaaaa", "aaaaaaa", "abababab", "straße", "STRASSE", "Élan", "élans", "über×÷", "q" * 3000]
+    rows = []
+    for i in range(150):
+        words = [w if r.random() < 0.7 else w[:k] + r.choice(["", "a", "b", "éa"]) + w[k + 1 :] for w in r.choices(base, [1 + k % 9 for k in range(len(base))], k=40) for k in [r.randint(0, len(w))]]
+        rows.append((r.choice([None, i, i % 5]), r.choice([" ", "-", "1", "\n"]).join(words)))
+    docs = spark.createDataFrame([*rows, (1, None), (2, ""), (3, "12 #")], "doc_id long, text string")
+    want = plain_variants(rows)
+    assert sum(v[0] is not None for v in want.values()) > 20 and len({v[1] for v in want.values()}) > 5
+    assert grouped(docs.repartition(4)) == want
+    assert grouped(docs, size=7) == want
+    assert grouped(odd) == plain_variants([(d, t) for d, t, *_ in odd_rows()])
+    assert spelling.variants(odd.where("false")).isEmpty()
+
+
+def test_index_finds_each_pair_once():
+    r = random.Random(4)
+    for letters, most in (("ab", 9), ("az", 6), ("aàÿ", 7)):
+        words = sorted({"".join(r.choices(letters, k=r.randint(2, most))) for _ in range(300)})
+        index = spelling.Index(words[::2])
+        found = [(words[i], index.words[j]) for right in (True, False) for i, j in zip(*index.near(words, right))]
+        assert Counter(found) == Counter((a, b) for a in words for b in words[::2] if one_error(a, b))
+
+
+def test_links_are_the_same_in_any_shards(spark):
+    r = random.Random(6)
+    words = sorted({"".join(r.choices("abc", k=r.randint(5, 8))) for _ in range(400)} | {"a" * 40, "a" * 41, "a" * 39 + "b"})
+    table_ = spark.createDataFrame([(w, 3) for w in words], "word string, n long")
+    want = sorted((a, b) for a in words for b in words if one_error(a, b))
+    for size in (10, 60, 1000):
+        assert sorted((x.word, x.near) for x in spelling.near_words(table_, size).collect()) == want
+
+
+def test_roots_of_a_long_way(spark):
+    ways = [(f"w{i}", f"w{i + 1}") for i in range(62)] + [("x", "w30"), ("y", "z")]
+    found = {r.word: r.root for r in spelling.roots(spark.createDataFrame(ways, "word string, form string")).collect()}
+    assert found == {**{f"w{i}": "w62" for i in range(62)}, "x": "w62", "y": "z"}

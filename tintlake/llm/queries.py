@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, hierarchical_packing, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, warc
+from . import decontamination, filter_audit, hierarchical_packing, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, spelling, warc
 from .common import table
 
 
@@ -59,7 +59,11 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchical_packing.pieces(hierarchical_packing.pack_sequences(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_decontamination, op4_warc, op5_token_packing, op6_mixing, op7_quality_rules, op8_near_dedup, op9_license_scan, op10_line_dedup, op11_filter_audit, op12_best_fit_packing)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_decontamination, op4_warc, op5_token_packing, op6_mixing, op7_quality_rules, op8_near_dedup, op9_license_scan, op10_line_dedup, op11_filter_audit, op12_best_fit_packing, op13_spelling_variants)}
 
 ORACLES = {
     "op4_warc": warc.ORACLE,
