@@ -69,6 +69,36 @@ def test_refresh(spark, feeds, tmp_path):
     assert refresh.prune(store, 1) > 0
 
 
+def test_errors_are_tried_again(spark, feeds, tmp_path):
+    """A poster that can't be used is an error of its titles: five attempts, then no more; it is never taken for none."""
+    store, folder = Store(spark, f"file://{tmp_path}/store"), f"file://{feeds}"
+    refresh.seed(store, folder, DAY)
+    plain = plain_colours([])
+    broken = lambda pairs: plain(pairs).withColumn("error", F.when(F.col("pair").startswith("/ash"), F.lit("e" * 600)))
+    assert refresh.process(store, details(spark), broken) == {"done": 3, "no_poster": 1, "not_found": 2, "error": 1}
+    for attempts in range(2, 6):
+        assert refresh.process(store, details(spark), broken) == {"error": 1}
+        r = store.read("titles", TITLES).where("tmdb_id = 11").first()
+        assert (r.status, r.attempts, len(r.error), r.title, r.base_hex, r.palette_version) == ("error", attempts, 500, "Ash", None, None)
+    assert refresh.process(store, details(spark), broken) == {}
+    other = Store(spark, f"file://{tmp_path}/b")
+    listed.seed(other, listed_rows(spark))
+    none = spark.createDataFrame([], "kind string, tvdb_id long, logo string")
+    fail = lambda p: p.where("poster_path <> '/gone.jpg'").select("pair", *[F.lit("#010203").alias(r) for r in ROLES], F.when(F.col("poster_path") == "/reed.jpg", "no image").alias("error"))
+    assert listed.process(other, none, fail) == {"done": 1, "error": 1, "no_poster": 2}
+    got = {r.tvdb_id: r for r in other.read(listed.TABLE, TVDB_TITLES).collect()}
+    assert (got[310].status, got[310].attempts, got[310].dirty, got[310].base) == ("error", 1, 0, None) and got[311].dirty == 1
+    assert listed.process(other, none, fail) == {"error": 1}
+
+
+def test_a_title_listed_twice_counts_as_its_last_row(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/b")
+    rows = [("movie", 5, f"t{k}", float(k), f"/{k}.jpg", k) for k in (3, 1, 4, 2)]
+    assert listed.seed(store, spark.createDataFrame(rows, "kind string, tvdb_id long, title string, score double, image string, ordinal long"))["movie"] == {"listed": 1, "gone": 0}
+    r = store.read(listed.TABLE, TVDB_TITLES).first()
+    assert (r.title, r.score, r.image) == ("t4", 4.0, "/4.jpg")
+
+
 def test_time_budget_and_limit(spark, feeds, tmp_path):
     store, folder = Store(spark, f"file://{tmp_path}/store"), f"file://{feeds}"
     refresh.seed(store, folder, DAY)

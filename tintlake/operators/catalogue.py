@@ -127,13 +127,14 @@ def next_generation(table: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 
 def seed_b(table: DataFrame, listing: DataFrame, at: Column | None = None) -> DataFrame:
-    """A complete listing (kind, tvdb_id, title, score, image, seen) into the second pipeline's table.
+    """A complete listing (kind, tvdb_id, title, score, image, seen[, ordinal]) into the second pipeline's table; of a
+    title that is listed again the last row by ``ordinal`` counts.
 
     A changed image clears the version and attempts, and makes all but done titles pending, as does being listed
     again after not_found. Every rule reads the row as it was.
     """
     at = now() if at is None else at
-    x = _sides(table, listing.dropDuplicates(KEY_B), KEY_B)
+    x = _sides(table, last_of_each(listing, KEY_B), KEY_B)
     fresh, got = F.col("o").isNull(), F.col("n").isNotNull()
     moved = got & ~fresh & ~F.col("o.image").eqNullSafe(F.col("n.image"))
     out = {f.name: F.col(f"o.{f.name}") for f in TVDB_TITLES.fields} | {k: F.col(k) for k in KEY_B}

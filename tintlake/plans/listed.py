@@ -14,7 +14,7 @@ from ..functions.text import pair_key
 from ..operators import catalogue, ranking, search
 from ..schemas import KINDS, ROLES, TVDB_TITLES
 from .cut import materialise, scratch
-from .refresh import Colours
+from .refresh import Colours, with_error
 from .store import Store
 
 TABLE = "tvdb_titles"
@@ -30,12 +30,19 @@ class Sent:
 
 
 def seed(store: Store, listing: DataFrame) -> dict[str, dict[str, int]]:
-    """A complete listing (kind, tvdb_id, title, score, image) of one kind or both: what it has is upserted, what it
-    lacks of its kinds is not_found. Counts by kind: listed rows, and titles that are gone."""
+    """A complete listing (kind, tvdb_id, title, score, image[, ordinal]) of one kind or both: what it has is upserted,
+    what it lacks of its kinds is not_found; of a title that is listed again the last row counts. Counts by kind: titles
+    listed, and titles that are gone."""
+    with scratch():
+        return _seed(store, listing)
+
+
+def _seed(store: Store, listing: DataFrame) -> dict[str, dict[str, int]]:
     version, _ = store.current(TABLE)
     before = store.read(TABLE, TVDB_TITLES)
     generation = catalogue.next_generation(before, KINDS).select("kind", F.col("generation").alias("seen"))
-    listing = listing.join(generation, "kind").dropDuplicates(["kind", "tvdb_id"])
+    # read once: counts, upsert and sweep speak of the same rows
+    listing = materialise(catalogue.last_of_each(listing, catalogue.KEY_B).drop("ordinal").join(generation, "kind"), "listing")
     counts = {r.kind: {"listed": r.n, "gone": 0} for r in listing.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     seeded = catalogue.seed_b(before, listing)
     missing = lambda t: {r.kind: r["count"] for r in t.where("status = 'not_found'").groupBy("kind").count().collect()}
@@ -49,13 +56,14 @@ def seed(store: Store, listing: DataFrame) -> dict[str, dict[str, int]]:
 
 def outcomes(queue: DataFrame, logos: DataFrame, colours: Colours) -> DataFrame:
     """Results of a queue (kind, tvdb_id, image): a title without an image, or whose image's file is gone, has no
-    poster. Each pair of poster and logo is coloured once. logos: (kind, tvdb_id, logo)."""
+    poster. Each pair of poster and logo is coloured once; one that can't be is an error of its titles, which are tried
+    again and not sent. logos: (kind, tvdb_id, logo)."""
     x = queue.select("kind", "tvdb_id", F.nullif("image", F.lit("")).alias("image")).join(logos.select("kind", "tvdb_id", "logo"), ["kind", "tvdb_id"], "left")
     x = x.withColumn("pair", pair_key(F.col("image"), F.col("logo")))
     found = colours(x.where("pair IS NOT NULL").select("pair", F.col("image").alias("poster_path"), F.col("logo").alias("logo_path")).distinct())
-    x = x.join(found.select("pair", *ROLES), "pair", "left")
-    done = F.col("base").isNotNull()
-    return x.select("kind", "tvdb_id", F.when(done, F.col("logo")).alias("logo"), F.when(done, "done").otherwise("no_poster").alias("status"), *ROLES)
+    x = x.join(with_error(found), "pair", "left")
+    done, failed = F.col("base").isNotNull(), F.col("error").isNotNull()
+    return x.select("kind", "tvdb_id", F.when(done, F.col("logo")).alias("logo"), F.when(failed, "error").when(done, "done").otherwise("no_poster").alias("status"), "error", *ROLES)
 
 
 def process(store: Store, logos: DataFrame, colours: Colours, limit: int = 0, max_minutes: float = 0, step: int = 10_000) -> dict[str, int]:

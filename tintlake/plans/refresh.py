@@ -15,7 +15,8 @@ from ..schemas import MEDIA, ROLES, STATE, TITLES
 from ..sources import listings
 from .store import Store
 
-#: (pair, poster_path, logo_path) -> (pair, six roles); pairs without a poster file are left out.
+#: (pair, poster_path, logo_path) -> (pair, six roles[, error]); pairs without a poster file are left out, those whose
+#: file can't be used have an error.
 Colours = Callable[[DataFrame], DataFrame]
 
 
@@ -60,18 +61,27 @@ def sync(store: Store, folder: str, today: date) -> dict[str, int]:
     return counts
 
 
+def with_error(found: DataFrame) -> DataFrame:
+    """What ``Colours`` gave, with an error column in any case; who has an error has no colours."""
+    error = F.col("error") if "error" in found.columns else F.lit(None).cast("string")
+    return found.select("pair", error.alias("error"), *[F.when(error.isNull(), F.col(r)).alias(r) for r in ROLES])
+
+
 def outcomes(queue: DataFrame, details: DataFrame, colours: Colours, cache: DataFrame) -> DataFrame:
-    """Results of a queue: each distinct pair of poster and logo is coloured once, and those in the cache not at all."""
+    """Results of a queue: each distinct pair of poster and logo is coloured once, and those in the cache not at all.
+    A pair that can't be coloured is an error of its titles, which are tried again."""
     found = details.withColumn("_found", F.lit(True))
     x = queue.select("media_type", "tmdb_id").join(found, ["media_type", "tmdb_id"], "left").withColumn("pair", pair_key(F.col("poster_path"), F.col("logo_path")))
     todo = x.where("pair IS NOT NULL").select("pair", "poster_path", "logo_path").distinct().join(cache, "pair", "left_anti")
-    new = colours(todo)
-    known = new.select("pair", *[F.col(r).alias(f"{r}_hex") for r in ROLES]).unionByName(cache)
+    new = with_error(colours(todo))
+    known = new.select("pair", "error", *[F.col(r).alias(f"{r}_hex") for r in ROLES]).unionByName(cache.withColumn("error", F.lit(None).cast("string")))
     x = x.join(known, "pair", "left")
-    status = F.when(F.col("_found").isNull(), "not_found").when(F.col("pair").isNull() | F.col("base_hex").isNull(), "no_poster").otherwise("done")
+    failed = F.col("_found").isNotNull() & F.col("error").isNotNull()
+    status = F.when(F.col("_found").isNull(), "not_found").when(failed, "error").when(F.col("pair").isNull() | F.col("base_hex").isNull(), "no_poster").otherwise("done")
     triple = {"primary": ("identity1_hex", 0.275), "secondary": ("base_hex", 0.45), "tertiary": ("accent_hex", 0.055)}
     swatches = [c for s, (h, w) in triple.items() for c in (F.col(h).alias(f"{s}_hex"), F.when(F.col(h).isNotNull(), F.lit(w)).alias(f"{s}_ratio"))]
-    return x.select("media_type", "tmdb_id", "title", "adult", "poster_path", "logo_path", status.alias("status"), *[f"{r}_hex" for r in ROLES], *swatches)
+    details_of = [F.when(~failed, F.col(c)).alias(c) for c in ("title", "adult", "poster_path", "logo_path")]  # an error tells nothing else
+    return x.select("media_type", "tmdb_id", *details_of, status.alias("status"), F.when(failed, F.col("error")).alias("error"), *[f"{r}_hex" for r in ROLES], *swatches)
 
 
 def process(store: Store, details: DataFrame, colours: Colours, top: int = 0, limit: int = 0, include_adult: bool = False, include_errors: bool = True, max_minutes: float = 0, step: int = 10_000) -> dict[str, int]:

@@ -38,7 +38,7 @@ def _titles_sql() -> str:
     )
     return f"""
 SELECT media_type, id AS tmdb_id, title, CAST(CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS INT) AS adult, popularity,
-  CASE WHEN id % 5 = 0 THEN NULL ELSE '/p' || CAST(id % 97 AS STRING) || '.jpg' END AS poster_path,
+  CASE WHEN id % 6 = 0 THEN NULL ELSE '/p' || CAST(id % 19 AS STRING) || '.jpg' END AS poster_path,
   CASE WHEN id % 3 = 0 THEN NULL ELSE '/l' || CAST(id % 7 AS STRING) || '.png' END AS logo_path, {colours},
   {_STATUS.format('id % 5')} AS status, CAST(NULL AS STRING) AS error, CAST(id % 7 AS INT) AS attempts,
   CAST(CASE WHEN id % 4 = 0 THEN NULL ELSE id % 4 END AS INT) AS palette_version,
@@ -409,18 +409,19 @@ _OPEN_B = "(status IN ('pending', 'error') AND attempts < 5 OR status = 'done' A
     CASE WHEN o.tvdb_id IS NULL OR {_MOVED} THEN 0 ELSE o.attempts END AS attempts, CASE WHEN {_MOVED} THEN NULL ELSE o.palette_version END AS palette_version, coalesce(o.dirty, 0) AS dirty, o.base AS base, n.tvdb_id IS NULL AS unlisted
     FROM tvdb o FULL JOIN listing n ON o.kind = n.kind AND o.tvdb_id = n.tvdb_id),
   b AS (SELECT * REPLACE (CASE WHEN unlisted AND status = 'done' THEN 1 ELSE dirty END AS dirty, CASE WHEN unlisted THEN 'not_found' ELSE status END AS status) FROM a),
-  c AS (SELECT *, {_OPEN_B} AS open, {_OPEN_B} AND image IS NOT NULL AND image <> 'i7' AS coloured FROM b),
-  e AS (SELECT kind, tvdb_id, score, CASE WHEN open THEN CASE WHEN coloured THEN 'done' ELSE 'no_poster' END ELSE status END AS status, CASE WHEN open THEN 0 ELSE attempts END AS attempts, CASE WHEN open THEN CASE WHEN coloured THEN 3 END ELSE palette_version END AS palette_version,
-    CASE WHEN open THEN 1 ELSE dirty END AS dirty, CASE WHEN open THEN CASE WHEN coloured THEN '#' || upper(substr(md5(image), 1, 6)) END ELSE base END AS base FROM c)
+  c AS (SELECT *, {_OPEN_B} AS open, {_OPEN_B} AND image IS NOT NULL AND image NOT IN ('i5', 'i7') AS coloured, {_OPEN_B} AND image = 'i5' AS failed FROM b),
+  e AS (SELECT kind, tvdb_id, score, CASE WHEN failed THEN 'error' WHEN open THEN CASE WHEN coloured THEN 'done' ELSE 'no_poster' END ELSE status END AS status, CASE WHEN failed THEN attempts + 1 WHEN open THEN 0 ELSE attempts END AS attempts, CASE WHEN open THEN CASE WHEN coloured THEN 3 END ELSE palette_version END AS palette_version,
+    CASE WHEN open AND failed IS NOT TRUE THEN 1 ELSE dirty END AS dirty, CASE WHEN open THEN CASE WHEN coloured THEN '#' || upper(substr(md5(image), 1, 6)) END ELSE base END AS base FROM c)
   SELECT kind, tvdb_id, status, attempts, palette_version, CASE WHEN row_number() OVER (PARTITION BY dirty ORDER BY score DESC NULLS LAST, kind, tvdb_id) <= 300 THEN 0 ELSE dirty END AS dirty, base FROM e""")
 def tvdb_refresh(spark, d):
-    """A whole run of the second pipeline: listing, sweep, colours and a budgeted export."""
+    """A whole run of the second pipeline: listing, sweep, colours and a budgeted export. Image i7 is gone, i5 is broken."""
     folder = new_folder(spark, "run")
     store = Store(spark, f"{folder}/store")
     store.write(listed.TABLE, tvdb(spark, d))
     code = F.concat(F.lit("#"), F.upper(F.substring(F.md5("poster_path"), 1, 6)))
     none = listing(spark, d).select("kind", "tvdb_id", F.lit(None).cast("string").alias("logo")).where("false")
-    listed.run(store, listing(spark, d).drop("seen"), none, lambda p: p.where("poster_path <> 'i7'").select("pair", *[code.alias(r) for r in ROLES]), listed.to_folder(f"{folder}/out"), most=300)
+    failed = F.when(F.col("poster_path") == "i5", "it can't be decoded").alias("error")
+    listed.run(store, listing(spark, d).drop("seen"), none, lambda p: p.where("poster_path <> 'i7'").select("pair", *[code.alias(r) for r in ROLES], failed), listed.to_folder(f"{folder}/out"), most=300)
     return store.read(listed.TABLE, TVDB_SCHEMA).select("kind", "tvdb_id", "status", "attempts", "palette_version", "dirty", "base")
 
 
@@ -428,18 +429,23 @@ _CODE = "'#' || upper(substr(md5(poster_path || '|' || coalesce(logo_path, '')),
 
 
 @query(_T + _RANKED.format("(SELECT * FROM titles WHERE adult = 0)") + f""", cache AS (SELECT poster_path || '|' || coalesce(logo_path, '') AS pair, arg_min(coalesce(base_hex, '-'), media_type || lpad(CAST(tmdb_id AS STRING), 12, '0')) AS base FROM titles WHERE status = 'done' AND poster_path IS NOT NULL AND palette_version = 3 GROUP BY 1)
-  SELECT r.media_type, r.tmdb_id, CASE WHEN r.tmdb_id % 10 = 3 THEN 'not_found' WHEN poster_path IS NULL OR poster_path = '/p9.jpg' OR c.base = '-' THEN 'no_poster' ELSE 'done' END AS status,
-  CASE WHEN r.tmdb_id % 10 <> 3 AND poster_path <> '/p9.jpg' THEN nullif(coalesce(c.base, {_CODE}), '-') END AS base_hex
-  FROM ranked r LEFT JOIN cache c ON c.pair = poster_path || '|' || coalesce(logo_path, '') WHERE rank <= 400 AND {_OPEN}""")
+  SELECT r.media_type, r.tmdb_id, CASE WHEN r.tmdb_id % 10 = 3 THEN 'not_found' WHEN c.base IS NULL AND poster_path = '/p11.jpg' THEN 'error' WHEN poster_path IS NULL OR poster_path = '/p9.jpg' OR c.base = '-' THEN 'no_poster' ELSE 'done' END AS status,
+  CASE WHEN r.tmdb_id % 10 <> 3 AND c.base IS NULL AND poster_path = '/p11.jpg' THEN 'broken' END AS error, r.tmdb_id % 10 <> 3 AND c.pair IS NOT NULL AS cached,
+  CASE WHEN r.tmdb_id % 10 <> 3 AND poster_path <> '/p9.jpg' AND (c.base IS NOT NULL OR poster_path <> '/p11.jpg') THEN nullif(coalesce(c.base, {_CODE}), '-') END AS base_hex
+  FROM ranked r LEFT JOIN cache c ON c.pair = poster_path || '|' || coalesce(logo_path, '') AND poster_path <> '/p9.jpg' WHERE rank <= 400 AND {_OPEN}""")
 def refresh_outcomes(spark, d):
-    """The queue's outcomes: titles without details aren't found; each pair of poster and logo is coloured once, and not
-    at all if the cache has it."""
+    """The queue's outcomes: titles without details aren't found, a poster that can't be decoded is an error; each pair of
+    poster and logo is coloured once, and not at all if the cache has it."""
     t = titles(spark, d)
     details = t.where("tmdb_id % 10 <> 3").select("media_type", "tmdb_id", "title", "adult", "poster_path", "logo_path")
     code = F.concat(F.lit("#"), F.upper(F.substring(F.md5("pair"), 1, 6)))
     cache = catalogue.palette_cache(t.where("coalesce(poster_path, '') <> '/p9.jpg'"))
-    found = refresh.outcomes(ranking.work_queue(t, top=400), details, lambda p: p.where("poster_path <> '/p9.jpg'").select("pair", *[code.alias(r) for r in ROLES]), cache)
-    return found.select("media_type", "tmdb_id", "status", "base_hex")
+    failed = F.when(F.col("poster_path") == "/p11.jpg", "broken").alias("error")
+    found = refresh.outcomes(ranking.work_queue(t, top=400), details, lambda p: p.where("poster_path <> '/p9.jpg'").select("pair", *[code.alias(r) for r in ROLES], failed), cache)
+    known = cache.select("pair", F.lit(True).alias("cached"))
+    pair = text.pair_key(F.col("d.poster_path"), F.col("d.logo_path"))
+    marked = found.alias("f").join(details.alias("d"), ["media_type", "tmdb_id"], "left").join(known, pair == F.col("pair"), "left")
+    return marked.select("media_type", "tmdb_id", "f.status", "f.error", F.coalesce("cached", F.lit(False)).alias("cached"), "f.base_hex")
 
 
 @query(_T + " SELECT media_type, tmdb_id, title, CASE WHEN tmdb_id = 42 AND media_type = 'movie' THEN 1 ELSE 0 END AS found FROM titles WHERE media_type = 'movie' AND tmdb_id = 42")
