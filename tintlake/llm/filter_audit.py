@@ -2,8 +2,8 @@
 
 Each task splits its texts into words, numbers the words that it sees and keeps a sparse document-term matrix as a shard
 in compressed rows: where each document's row begins, the words' numbers, and how often they occur. Shards' vocabularies
-are then merged into one dictionary with dense numbers, and each shard's columns are renumbered by a join of
-vocabularies, so that only distinct words of shards are shuffled, never words of documents. Sums of rows are words,
+are then dealt out by word and sorted, which numbers the words of all shards, and each shard's columns are renumbered;
+so only distinct words of shards are shuffled, once, never words of documents. Sums of rows are words,
 numbers of entries are distinct words; with the flags that the text itself gives, and the first document of each text,
 every document has the set of filters that it fails. All 120 orders follow from the at most 32 counts of a part.
 """
@@ -16,7 +16,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, scratch, small_batches, tidy
@@ -26,13 +26,26 @@ ORDERS = ["".join(p) for p in permutations(FILTERS)]
 #: A shard is closed after the batch of texts that takes it to so many words.
 SHARD_WORDS = 1 << 21
 _ROW = "doc_id: long, part: string, text_hash: binary, fails: string"
-#: Offsets (int32), columns and counts (int32) of a matrix in compressed rows, little-endian.
-SHARD = f"shard long, documents array<struct<{_ROW}>>, offsets binary, columns binary, counts binary, vocabulary array<string>"
-#: The same with columns numbered by the dictionary (int64).
+#: Words of a bucket of the dictionary, about.
+BUCKET = 1 << 16
+#: Offsets, columns and counts (int32) of a matrix in compressed rows, each as ``_packed``.
+SHARD = f"shard long, documents array<struct<{_ROW}>>, offsets binary, columns binary, counts binary, n_vocabulary int, vocabulary array<string>"
+#: The matrix: offsets and counts (int32), columns as the dictionary numbers them (int64), little-endian.
 MATRIX = f"shard long, documents array<struct<{_ROW}>>, offsets binary, columns binary, counts binary"
 _ROWS = pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("text_hash", pa.binary()), ("fails", pa.string())]))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Differences of int32 numbers, compressed: columns grow within a row, and new words have numbers in a row."""
+    raw = np.diff(x, prepend=0).astype("<i4").tobytes()
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpacked(x: pa.Buffer) -> np.ndarray:
+    size = int.from_bytes(x[:4].to_pybytes(), "little")
+    return np.cumsum(np.frombuffer(pa.Codec("zstd").decompress(x[4:], size), "<i4"), dtype=np.int32)
+
+
 def _flags(texts: pa.Array) -> list[str]:
     """Of each text the failures that its characters decide: C, over 3 % of its code points are A-Z; D, a symbol."""
     many = pc.greater(pc.multiply(pc.count_substring_regex(texts, "[A-Z]"), 100), pc.multiply(pc.utf8_length(texts), 3))
@@ -66,10 +79,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(documents)), np.concatenate(sizes))
         entry, n = np.unique(row * v + coded.indices.to_numpy(), return_counts=True)
         offsets = np.append(0, np.cumsum(np.bincount(entry // v, minlength=len(documents))))
-        whole = lambda x: pa.array([x.astype("<i4").tobytes()], pa.binary())
+        whole = lambda x: pa.array([_packed(x)], pa.binary())
         lists = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
         out = pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int64()), pa.array([documents], _ROWS), whole(offsets), whole(entry % v), whole(n), lists], ["shard", "documents", "offsets", "columns", "counts", "vocabulary"]
+            [pa.array([shard], pa.int64()), pa.array([documents], _ROWS), whole(offsets), whole(entry % v), whole(n), pa.array([len(coded.dictionary)], pa.int32()), lists],
+            ["shard", "documents", "offsets", "columns", "counts", "n_vocabulary", "vocabulary"],
         )
         shard += 1
         for x in (documents, words, sizes):
@@ -92,36 +106,38 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        columns = []
-        for local, ids in zip(b.column(3), b.column(5)):
-            at = np.frombuffer(local.as_buffer(), "<i4")
-            ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int64)
-            if len(at) and int(at.max()) >= len(ids):
+        out = []
+        for offsets, local, counts, at, ids in zip(*(b.column(i) for i in range(2, 7))):
+            offsets, local, counts = (_unpacked(x.as_buffer()) for x in (offsets, local, counts))
+            number = np.full(int(local.max(initial=-1)) + 1, -1, np.int64)
+            if at.is_valid:
+                number[at.values.to_numpy()] = ids.values.to_numpy()
+            if (number < 0).any():
                 raise ValueError("a word of a shard isn't in the dictionary")
-            columns.append(ids[at].astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(columns, pa.binary()), b.column(4)], ["shard", "documents", "offsets", "columns", "counts"])
+            out.append([offsets.tobytes(), number[local].astype("<i8").tobytes(), counts.tobytes()])
+        blobs = [pa.array([x[i] for x in out], pa.binary()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *blobs], ["shard", "documents", "offsets", "columns", "counts"])
         tidy()
 
 
 def term_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """The dictionary (word, n_shards, id: dense from 0) and the shards (MATRIX) of the sparse document-term matrix.
+    """The dictionary (word, id, n_shards) and the shards (MATRIX) of the sparse document-term matrix.
 
     Words are maximal runs of anything but ASCII white space, as they are. Null texts are empty and give empty rows;
-    each row of ``docs`` has a row, whatever its id. Numbers differ between runs, the matrix but for its columns'
-    numbers doesn't.
+    each row of ``docs`` has a row, whatever its id. An id is a word's bucket and its place among the bucket's words in
+    their order, so it depends on the words and the number of buckets alone.
     """
     rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(part).cast("string").alias("part"), F.col(text).cast("string").alias("text"))
     shards = cut(rows.mapInArrow(_shards, SHARD), "audit-shards")
+    buckets = (shards.agg(F.sum("n_vocabulary").alias("n")).first().n or 0) // BUCKET + 1
     words = shards.select("shard", F.posexplode("vocabulary").alias("at", "word"))
-    found = words.groupBy("word").agg(F.count("*").alias("n_shards")).withColumn("m", F.monotonically_increasing_id())
-    # written before it is numbered: a task that runs again must not number words anew
-    found = cut(found.select("word", "n_shards", F.shiftright("m", 33).alias("block"), F.col("m").bitwiseAND((1 << 33) - 1).alias("nth")), "audit-words")
-    sizes = found.groupBy("block").agg(F.count("*").alias("size"))
-    starts = sizes.select("block", F.expr("sum(size) OVER (ORDER BY block) - size AS start"))  # a row per partition of the last table
-    dictionary = found.join(F.broadcast(starts), "block").select("word", "n_shards", (F.col("start") + F.col("nth")).alias("id"))
-    ids = words.join(dictionary.select("word", "id"), "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("ids"))
-    ids = ids.select(F.col("shard").alias("s"), F.col("ids.id").alias("ids"))  # at most a shard's vocabulary each
-    coded = shards.drop("vocabulary").join(ids, F.col("shard") == F.col("s"), "left").select("shard", "documents", "offsets", "columns", "counts", "ids")
+    words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    place = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("long")
+    numbered = words.select("shard", "at", "word", (F.shiftleft("bucket", 32) + place).alias("id"))
+    dictionary = numbered.groupBy("word", "id").agg(F.count("*").alias("n_shards"))
+    # at most a shard's vocabulary each; both lists are filled row by row, so they match
+    ids = numbered.groupBy("shard").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("ids")).withColumnRenamed("shard", "s")
+    coded = shards.join(ids, F.col("shard") == F.col("s"), "left").select("shard", "documents", "offsets", "columns", "counts", "at", "ids")
     return dictionary, coded.mapInArrow(_renumbered, MATRIX)
 
 
