@@ -13,6 +13,8 @@ pass ``fan_in`` + 1 bins at most and no merge is lost by it. Texts and ids never
 from __future__ import annotations
 
 import functools
+import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +34,13 @@ FAN_IN = 16
 NEARLY = 1 / 128
 #: A task packs what it holds when it has so many bytes of ids; bins that it left then are items of the next time.
 WINDOW = 32 << 20
-#: Chunks between white space whose ids a worker remembers.
-REMEMBERED = 1 << 18
+#: Pieces of words, and chunks between white space, whose ids a worker remembers: so many new ones, and as many old ones.
+REMEMBERED = 1 << 19
+
+# What the tokenizer does with printable ASCII and Latin-1 letters, said anew for speed: fixed values of its file.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 _SEGMENT = "doc_id: long, doc_row: long, piece: int, start: long, length: long"
 #: input_ids: little-endian unsigned, id_bytes each; the segments follow one another in it.
@@ -51,27 +58,65 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones themselves, the others in order from
+    U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space and never looks across it: chunks between ASCII white space are
-    tokenised once and looked up, so a text's ids are the tokenizer's own."""
+    """Ids of texts by a tokenizer that drops white space and never looks across it.
+
+    Chunks between ASCII white space are tokenised once and looked up. Those of printable ASCII and Latin-1 letters are
+    cut into pieces here, and only a new piece goes to the tokenizer's model; all others go through the whole tokenizer.
+    Either way a text's ids are the tokenizer's own.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                ids = array(self.code, [x.id for x in self.model.tokenize(shown)]).tobytes()
+            self.pieces[piece] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        word = _WORD.fullmatch(chunk)  # most chunks are a word, or one with a mark after it
+        if word:
+            own, mark = word.groups()
+            return self._piece(own.lower()) + self._piece(mark) if mark else self._piece(own.lower())
+        if not _PLAIN.fullmatch(chunk) or "<|" in chunk:  # that may begin a special token
+            return array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._piece, _PIECES.findall(chunk.lower())))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, self.kind).tobytes()
-        each = [self.known[c] for c in chunks]
+            self.known, self.old = {}, self.known
+        if len(self.pieces) > REMEMBERED:
+            self.pieces, self.old_pieces = {}, self.pieces
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        each = list(map(self.known.get, chunks))
+        for i, ids in enumerate(each):
+            if ids is None:
+                c = chunks[i]
+                each[i] = self.known[c] = self.old.get(c) or self._chunk(c)
         size = np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
         pool, first = np.frombuffer(b"".join(each), self.kind), np.cumsum(size) - size
         codes = coded.indices.to_numpy()
