@@ -361,6 +361,67 @@ def test_warc_of_other_writers(spark, tmp_path):
         warc.parse(bad)
 
 
+def plain_reader(data):
+    """Types and ids of the records of a whole archive, one after another."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    out = []
+    while data.strip():
+        head, _, rest = data.partition(b"\r\n\r\n")
+        n = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        out.append((re.search(rb"WARC-Type: (\w+)", head)[1].decode(), re.search(rb"Record-ID: (\S+)", head)[1].decode(), rest[:n]))
+        data = rest[n + 4 :]
+    return sorted(out)
+
+
+def test_archives_of_many_records_a_member_and_without_compression(spark, tmp_path):
+    """One member with all records, members of two, plain files with what looks like a record inside, at any split."""
+    inner = b"WARC/1.0\r\nWARC-Type: fake\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    bodies = [b"x" * k + inner * (k % 2) + bytes(range(k % 256)) for k in range(0, 3000, 97)] + [b"", b"y" * 3_000_000]
+    records = [gzip.decompress(foreign("resource", b)) for b in bodies]
+    files = {"whole.warc.gz": gzip.compress(b"".join(records)), "twos.warc.gz": b"".join(gzip.compress(b"".join(records[i : i + 2])) for i in range(0, len(records), 2)), "plain.warc": b"".join(records), "short.warc": b"".join(records).rstrip(b"\r\n")}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    want = plain_reader(files["whole.warc.gz"])
+    for split in (40_000, 8 << 20):
+        rows = warc.read_folder(spark, f"file://{tmp_path}", split, damaged="raise").collect()
+        for name in files:
+            own = [r for r in rows if r.file.endswith(name)]
+            assert sorted((r.record_type, r.record_id, bytes(r.payload)) for r in own) == want, (name, split)
+            assert len({(r.offset, r.place) for r in own}) == len(want)
+
+
+def test_damaged_archives_lose_nothing_silently(spark, tmp_path):
+    """A wrong check sum, a broken stream, a cut file, a record longer than its member: each is told of, what is whole is
+    read, and what begins without a WARC header is no record."""
+    three = [foreign("resource", f"{k}".encode() * 900) for k in range(3)]
+    wrong = bytearray(three[1])
+    wrong[-6] ^= 0xFF
+    broken = bytearray(gzip.compress(gzip.decompress(three[1]), 0))
+    broken[-40] ^= 0xFF
+    long_ = gzip.compress(gzip.decompress(three[1]).replace(b"Content-Length: 900", b"Content-Length: 950"))
+    plain = b"".join(map(gzip.decompress, three))
+    files = {
+        "sum.warc.gz": three[0] + bytes(wrong) + three[2], "stream.warc.gz": three[0] + bytes(broken) + three[2], "long.warc.gz": three[0] + long_ + three[2], "cut.warc.gz": three[0] + three[2] + three[1][:-20],
+        "other.warc.gz": three[0] + gzip.compress(b"no record") + three[2], "cut.warc": plain[:-500], "junk.warc": b"junk" + plain,
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    for split in (400, 1 << 20):
+        rows = warc.read_folder(spark, f"file://{tmp_path}", split).collect()
+        got = {name: [r for r in rows if r.file.endswith("/" + name)] for name in files}
+        count = {name: (sum(r.error is None for r in x), sum(r.error is not None for r in x)) for name, x in got.items()}
+        assert count == {n: (2, 0) if n.startswith("other") else (0, 1) if n.startswith("junk") else (2, 1) for n in files}, count
+        assert all(r.record_type is None and r.payload is None for r in rows if r.error)
+    for name in files:
+        uri = spark.createDataFrame([(f"file://{tmp_path}/{name}", len(files[name]))], "file string, bytes long")
+        if name.startswith("other"):
+            assert warc.read(uri).count() == 2
+        else:
+            with pytest.raises(Exception, match="at [0-9]+, record"):
+                warc.read(uri).collect()
+
+
 # ---------------------------------------------------------------- 5
 
 

@@ -6,8 +6,11 @@ where they are read, and only the others are shuffled. Each task writes files of
 through ``pyarrow.fs`` under names that no other attempt has, and its rows in the manifest, which Spark commits with
 the task, say which files count; so a task that is lost or run twice leaves no record twice.
 
-Reading: a task scans a byte range of a file for the gzip magic, takes a candidate only if it decodes to a WARC header
-and its check sum holds, and owns the records that start inside its range, however far they reach beyond.
+Reading: a task scans a byte range of a file for the gzip magic, takes a candidate only if it decodes to a WARC header,
+and owns the members that start inside its range, however far they reach beyond. A member may hold any number of
+records; it is decoded piece by piece, so one record at a time is in memory. A member that begins as a record and then
+doesn't decode, has a wrong check sum or is cut off is told of, in a row or by an error, never passed over. Files that
+aren't compressed are cut where their records' lengths say that one ends.
 """
 
 from __future__ import annotations
@@ -33,9 +36,11 @@ CHUNK = 1 << 20
 #: Parts of each payload's pages in the join that finds copies.
 SALTS = 8
 MANIFEST = "file string, bytes long, records long"
-RECORD = "file string, offset long, record_type string, record_id string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-_FIELDS = ("file", "offset", "record_type", "record_id", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload")
-_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+#: offset and place: of the member, and of the record in it. error: why what stands there is no whole record; then all
+#: else is null.
+RECORD = "file string, offset long, place int, error string, record_type string, record_id string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+_FIELDS = ("file", "offset", "place", "error", "record_type", "record_id", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload")
+_KINDS = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
 
 
 def _open(uri: str):
@@ -114,26 +119,85 @@ def write(pages: DataFrame, folder: str, file_bytes: int = 1 << 29) -> DataFrame
     return cut(rows.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
-def decode(stream, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at ``at`` and its length, if it is a whole WARC record; else None."""
-    d, out, read = zlib.decompressobj(31), [], 0
+#: Records of a member or file: place, the record's bytes, and what is wrong with it.
+Found = tuple[int, bytes, str | None]
+
+
+class _Records:
+    """Cuts a stream of decoded bytes into records by their lengths."""
+
+    def __init__(self):
+        self.held, self.need, self.place = bytearray(), None, 0
+
+    def _size(self) -> int | None:
+        """The size of the first record with the line ends that follow it, once its header is here; -1 if it tells none,
+        or is no record's."""
+        end = self.held.find(b"\r\n\r\n")
+        if end < 0:
+            return None
+        length = _headers(bytes(self.held[:end])).get("content-length", "") if self.held.startswith(b"WARC/1.") else ""
+        return end + 4 + int(length) + 4 if length.isdigit() else -1
+
+    def add(self, data: bytes) -> Iterator[Found]:
+        self.held += data
+        while True:
+            if self.need is None:
+                self.need = self._size()
+            if self.need is None or self.need < 0 or len(self.held) < self.need:
+                return
+            yield self._take(self.need, None)
+
+    def _take(self, size: int, error: str | None) -> Found:
+        out = (self.place, bytes(self.held[:size]), error)
+        del self.held[:size]
+        self.need, self.place = None, self.place + 1
+        return out
+
+    def end(self, error: str | None = None) -> Iterator[Found]:
+        """What is left at the end: the last record, which may have no length or no line ends after it."""
+        left = len(self.held)
+        if error is None and not bytes(self.held).strip():
+            return
+        if error is None and self.need is not None and self.need >= 0 and left < self.need - 4:
+            error = f"the record is cut off: {left} of {self.need - 4} bytes"
+        if error is None and (self.need is None or not self.held.startswith(b"WARC/1.")):
+            error = "what stands here is no record"
+        yield self._take(left, error)
+
+
+def member(stream, at: int) -> Iterator[Found | int]:
+    """The records of the gzip member at ``at``, then its length; only 0 if it doesn't begin as a record."""
+    d, records, read, begun = zlib.decompressobj(31), _Records(), 0, False
     stream.seek(at)
     try:
         while not d.eof:
-            chunk = stream.read(CHUNK if out else 4096)
+            chunk = stream.read(CHUNK if begun else 4096)
             if not chunk:
-                return None
+                break
             read += len(chunk)
-            out.append(d.decompress(chunk))
-            if len(out) == 1 and not out[0].startswith(b"WARC/1."):
-                return None
-    except zlib.error:
-        return None
-    return b"".join(out), read - len(d.unused_data)
-
-
-def members(stream, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of the members that start in [start, end)."""
+            if not begun:
+                head = d.decompress(chunk, 64)  # a little first: an error in what follows must not hide how it began
+                if not head.startswith(b"WARC/1."):
+                    yield 0
+                    return
+                begun = True
+                yield from records.add(head)
+                chunk = d.unconsumed_tail
+            while chunk and not d.eof:
+                yield from records.add(d.decompress(chunk, 4 * CHUNK))
+                chunk = d.unconsumed_tail
+    except zlib.error as e:
+        if begun:
+            yield from records.end(f"the member doesn't decode: {e}")
+        yield 1 if begun else 0  # how long it is isn't known; what follows is searched
+        return
+    if begun:
+        yield from records.end(None if d.eof else "the member is cut off")
+    yield read - len(d.unused_data) if begun else 0
+
+
+def members(stream, start: int, end: int) -> Iterator[tuple[int, int, bytes, str | None]]:
+    """(offset, place, record, error) of the members that start in [start, end)."""
     at = start
     while at < end:
         stream.seek(at)
@@ -145,12 +209,50 @@ def members(stream, start: int, end: int) -> Iterator[tuple[int, bytes]]:
                 return
             continue
         at += hit
-        found = decode(stream, at)
-        if found is None:
-            at += 1
-        else:
-            yield at, found[0]
-            at += found[1]
+        length = 0
+        for found in member(stream, at):
+            if isinstance(found, int):
+                length = found
+            else:
+                yield at, *found
+        at += max(1, length)
+
+
+def plain_records(stream, start: int, end: int) -> Iterator[tuple[int, int, bytes, str | None]]:
+    """The same of a range of a file without compression that begins with a record; place is 0."""
+    stream.seek(start)
+    records, at = _Records(), start
+    while at < end:
+        chunk = stream.read(min(CHUNK, end - at))
+        if not chunk:
+            break
+        for _, data, error in records.add(chunk):
+            yield start, 0, data, error
+            start += len(data)
+        at += len(chunk)
+    for _, data, error in records.end():
+        yield start, 0, data, error
+
+
+def plain_ranges(stream, size: int, split_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``split_bytes`` of whole records, found by reading headers alone and going on by their lengths."""
+    start = at = 0
+    while at < size:
+        stream.seek(at)
+        head, more = b"", b"-"
+        while b"\r\n\r\n" not in head and more:
+            more = stream.read(4096)
+            head += more
+        found = head.find(b"\r\n\r\n")
+        length = _headers(head[: max(found, 0)]).get("content-length", "")
+        if not head.startswith(b"WARC/1.") or not length.isdigit():
+            break  # the rest is one range, whose reader tells what is wrong
+        at += found + 4 + int(length) + 4
+        if at - start >= split_bytes:
+            yield start, min(at, size)
+            start = at
+    if start < size:
+        yield start, size
 
 
 def _headers(data: bytes) -> dict[str, str]:
@@ -216,11 +318,45 @@ def parse(data: bytes) -> dict:
     }
 
 
-def read(manifest: DataFrame, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
-    """The records of the manifest's files, RECORD; without payloads that column is null."""
+def _ranges(split_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                files, path = _open(file)
+                with files.open_input_file(path) as stream:
+                    found = list(plain_ranges(stream, size, split_bytes))
+                columns = [pa.array([file] * len(found), pa.string()), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "start", "end"])
+
+    return run
+
+
+def read(manifest: DataFrame, split_bytes: int = 8 << 20, payloads: bool = True, damaged: str = "raise") -> DataFrame:
+    """The records of the manifest's files, RECORD; without payloads that column is null.
+
+    Files are gzip members, or plain records if their names end in .warc. What begins as a record but isn't whole, by its
+    length, its check sum or its digest, raises, or with ``damaged="keep"`` is a row with an error.
+    """
+    if damaged not in ("raise", "keep"):
+        raise ValueError(f"damaged is raise or keep, not {damaged}")
+    plain = F.lower("file").endswith(".warc")
     total = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes)).alias("n")).first().n or 1
-    splits = manifest.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    splits = manifest.where(~plain & (F.col("bytes") > 0)).select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     splits = splits.select("file", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end"))
+    whole = manifest.where(plain & (F.col("bytes") > 0)).select("file", "bytes")
+    if not whole.isEmpty():
+        splits = splits.unionAll(whole.mapInArrow(_ranges(split_bytes), "file string, start long, end long"))
+
+    def row(file: str, offset: int, place: int, data: bytes, error: str | None) -> dict:
+        out = {"file": file, "offset": offset, "place": place, "error": error}
+        if error is None:
+            try:
+                return dict.fromkeys(_FIELDS) | out | parse(data) | ({} if payloads else {"payload": None})
+            except ValueError as e:
+                error = out["error"] = str(e)
+        if damaged == "raise":
+            raise ValueError(f"{file} at {offset}, record {place}: {error}")
+        return dict.fromkeys(_FIELDS) | out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +364,9 @@ def read(manifest: DataFrame, split_bytes: int = 8 << 20, payloads: bool = True)
                 files, path = _open(file)
                 rows, size = [], 0
                 with files.open_input_file(path) as stream:
-                    for offset, data in members(stream, start, end):
-                        rows.append({"file": file, "offset": offset, **parse(data)} | ({} if payloads else {"payload": None}))
-                        size += len(data)
+                    for found in (plain_records if file.lower().endswith(".warc") else members)(stream, start, end):
+                        rows.append(row(file, *found))
+                        size += len(found[2])
                         if size > 16 << 20:
                             yield _batch(rows)
                             rows, size = [], 0
@@ -240,14 +376,15 @@ def read(manifest: DataFrame, split_bytes: int = 8 << 20, payloads: bool = True)
     return splits.repartition(int(min(total, 50_000)), "file", "start").mapInArrow(run, RECORD)
 
 
-def read_folder(spark: SparkSession, folder: str, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
-    """The records of all gzip archives below a folder, whoever wrote them, RECORD; splits come from the files' sizes.
+def read_folder(spark: SparkSession, folder: str, split_bytes: int = 8 << 20, payloads: bool = True, damaged: str = "keep") -> DataFrame:
+    """The records of all archives below a folder, *.warc.gz and *.warc, whoever wrote them, RECORD; splits come from the
+    files' sizes. What isn't whole is a row with an error, or raises with ``damaged="raise"``.
 
     page_id and refers_to are null for records that aren't of our writer; record_id is as it stands.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", True).load(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc.gz,warc}").option("recursiveFileLookup", True).load(folder)
     uri = F.regexp_replace("path", "^file:/+", "file:///")
-    return read(found.select(uri.alias("file"), F.col("length").alias("bytes")), split_bytes, payloads)
+    return read(found.select(uri.alias("file"), F.col("length").alias("bytes")), split_bytes, payloads, damaged)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -260,7 +397,8 @@ def round_trip(pages: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
 
     A null html is an empty payload. A null url has no target header, a null page id an id without a number; such a
     page revisits the largest page id of its payload, if there is one. Rows that repeat a page id and its payload are
-    alike: all response or all revisit. An empty table writes and gives nothing. Other columns aren't read.
+    alike: all response or all revisit. An empty table writes and gives nothing. Other columns aren't read. An archive
+    that doesn't read back whole raises.
     """
     spark: SparkSession = pages.sparkSession
     found = read(write(pages, new_folder(spark, "warc")), split_bytes, payloads=False)
