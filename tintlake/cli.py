@@ -13,7 +13,7 @@ from .operators import clusters, pixels, roles, search
 from .plans import listed, refresh
 from .plans.store import Store
 from .schemas import KINDS, ROLES, TITLES
-from .sources import listings
+from .sources import feeds, listings
 
 
 def colours_from(spark: SparkSession, folder: str) -> refresh.Colours:
@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _tvdb(spark: SparkSession, store: Store, a: argparse.Namespace) -> dict:
-    listing = lambda: listings.read_listing(spark, f"{a.listings}/series", "series", a.base).unionByName(listings.read_listing(spark, f"{a.listings}/movie", "movie", a.base))
+    listing = lambda: feeds.read_pages(spark, f"{a.listings}/series", "series", a.base).unionByName(feeds.read_pages(spark, f"{a.listings}/movie", "movie", a.base))
 
     def logos() -> DataFrame:
         arts, types = listings.read_artworks(spark, f"{a.listings}/artworks/series", f"{a.listings}/artworks/movie"), listings.read_artwork_types(spark, f"{a.listings}/artwork-types.json")

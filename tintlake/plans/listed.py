@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import pair_key
 from ..operators import catalogue, ranking, search
 from ..schemas import KINDS, ROLES, TVDB_TITLES
-from .cut import materialise, scratch
+from ..sources import feeds
+from .counters import counted
+from .cut import materialise, new_folder, scratch
 from .refresh import Colours, with_error
 from .store import Store
 
 TABLE = "tvdb_titles"
-#: Takes the JSON of a batch; an exception means that it wasn't accepted.
-Send = Callable[[str, str], None]
+Send = feeds.Send
 
 
 @dataclass
@@ -75,10 +74,10 @@ def process(store: Store, logos: DataFrame, colours: Colours, limit: int = 0, ma
         most = min(x for x in (left or step, step) if x) if max_minutes else left
         version, _ = store.current(TABLE)
         queue = ranking.work_queue_b(store.read(TABLE, TVDB_TITLES), most)
-        store.write("tvdb_results", outcomes(queue, logos, colours))  # once: counts and table come from what was written
-        done = store.spark.read.parquet(store.current("tvdb_results")[1])
-        now = {r.status: r.n for r in done.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        store.write(TABLE, catalogue.save_b(store.read(TABLE, TVDB_TITLES), done), version)
+        found, counts_of = counted(outcomes(queue, logos, colours))
+        store.write("tvdb_results", found)  # once: the counts come with the write, the table from what was written
+        now = counts_of()
+        store.write(TABLE, catalogue.save_b(store.read(TABLE, TVDB_TITLES), store.spark.read.parquet(store.current("tvdb_results")[1])), version)
         for k, n in now.items():
             counts[k] = counts.get(k, 0) + n
         left -= sum(now.values()) if limit else 0
@@ -102,23 +101,35 @@ def export(store: Store, send: Send, most: int = 80_000, size: int = 500) -> Sen
                 refused = str(e)[:500]
                 break
             accepted += 1
-        sent = batches.where(F.col("batch") < accepted)
-        n = sent.count()
+        return _acknowledged(store, table, version, batches.where(F.col("batch") < accepted), refused)
+
+
+def _acknowledged(store: Store, table: DataFrame, version: int, sent: DataFrame, refused: str | None) -> Sent:
+    """Publishes what arrived, if anything did."""
+    n = sent.count()
+    if n:
         store.write(TABLE, catalogue.acknowledge(table, sent), version)
-    remaining = store.read(TABLE, TVDB_TITLES).where("dirty = 1").count()
-    return Sent(n, remaining, refused)
+    return Sent(n, store.read(TABLE, TVDB_TITLES).where("dirty = 1").count(), refused)
 
 
-def to_folder(folder: str) -> Send:
-    """Each batch as a file named by the version that it comes from, so one that is sent twice is there once."""
+def export_from_tasks(store: Store, most: int = 80_000, size: int = 500, tasks: int = 16, **how: str) -> Sent:
+    """As ``export``, but batches go to the target from up to ``tasks`` tasks at once and never through the driver, which
+    hears only which of them arrived. A refusal stops the task that met it, not the others; what arrived is
+    acknowledged, the rest stays dirty. ``how``: options of ``feeds.ExportTarget``, with the sender."""
+    version, _ = store.current(TABLE)
+    table = store.read(TABLE, TVDB_TITLES)
+    with scratch():
+        batches = materialise(catalogue.export_batches(table, most, size), "export")
+        rows = catalogue.payloads(batches).repartitionByRange(tasks, "batch").sortWithinPartitions("batch")
+        arrived = feeds.send_batches(rows, new_folder(store.spark, "export-acknowledged"), job=f"{version}", **how).select("batch")
+        sent = batches.join(F.broadcast(arrived), "batch", "left_semi")  # at most most / size numbers
+        left = batches.select("batch").distinct().count() - arrived.count()
+        return _acknowledged(store, table, version, sent, f"{left} batches did not arrive" if left else None)
 
-    def send(name: str, items: str) -> None:
-        files, path = fs.FileSystem.from_uri(folder)
-        files.create_dir(path, recursive=True)
-        with files.open_output_stream(f"{path}/{name}.json") as f:
-            f.write(items.encode())
 
-    return send
+def to_folder(folder: str) -> Send:
+    """Each batch as a file named by the version that it comes from, so one that is sent twice is there once."""
+    return feeds.folder_target({"folder": folder})
 
 
 def run(store: Store, listing: DataFrame, logos: DataFrame, colours: Colours, send: Send, limit: int = 0, max_minutes: float = 0, most: int = 80_000) -> dict:

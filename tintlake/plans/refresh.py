@@ -13,6 +13,7 @@ from ..functions.text import pair_key
 from ..operators import catalogue, ranking, search
 from ..schemas import MEDIA, ROLES, STATE, TITLES
 from ..sources import listings
+from .counters import counted
 from .store import Store
 
 #: (pair, poster_path, logo_path) -> (pair, six roles[, error]); pairs without a poster file are left out, those whose
@@ -94,10 +95,10 @@ def process(store: Store, details: DataFrame, colours: Colours, top: int = 0, li
         version, _ = store.current("titles")
         titles = store.read("titles", TITLES)
         queue = ranking.work_queue(titles, top, most, include_errors, include_adult)
-        store.write("results", outcomes(queue, details, colours, catalogue.palette_cache(titles)))  # once: the counts and the table come from what was written
-        done = store.spark.read.parquet(store.current("results")[1])
-        now = {r.status: r.n for r in done.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        store.write("titles", catalogue.save(titles, done), version)
+        found, counts_of = counted(outcomes(queue, details, colours, catalogue.palette_cache(titles)))
+        store.write("results", found)  # once: the counts come with the write, the table from what was written
+        now = counts_of()
+        store.write("titles", catalogue.save(titles, store.spark.read.parquet(store.current("results")[1])), version)
         for k, n in now.items():
             counts[k] = counts.get(k, 0) + n
         left -= sum(now.values()) if limit else 0

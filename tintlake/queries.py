@@ -937,3 +937,6 @@ def role_weights(spark, d):
 def legacy_triple(spark, d):
     x = titles(spark, d).select("media_type", "tmdb_id", *[F.col(f"{r}_hex").alias(r) for r in ROLES])
     return palettes.legacy_triple(x).select("media_type", "tmdb_id", *[f"{s}_{k}" for k in ("hex", "ratio") for s in SLOTS])
+
+
+from . import feed_queries  # noqa: E402, F401  they register themselves
