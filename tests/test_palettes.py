@@ -159,7 +159,7 @@ def test_flat_and_grey_posters(spark):
     assert all(len({grey[f"{s}_hex"][i : i + 2] for i in (1, 3, 5)}) == 1 for s in ("primary", "secondary", "tertiary"))
 
 
-# ---------------------------------------------------------------- third version, against a plain one
+# ---------------------------------------------------------------- third version: properties of its results
 
 
 def oklab_of(rgb):
@@ -168,158 +168,135 @@ def oklab_of(rgb):
     return [sum(m * x for m, x in zip(row, lms)) for row in colour.LMS_TO_LAB]
 
 
-def representative(points):
-    mean = np.mean(points, axis=0)
-    own = math.hypot(mean[1], mean[2])
-    if own > 1e-6:
-        mean[1:] *= np.hypot(points[:, 1], points[:, 2]).mean() / own
-    return mean
-
-
-class Plain:
-    def __init__(self, lab, source, **more):
-        self.lab, self.source = np.array(lab, float), source
-        self.__dict__.update(more)
-
-    chroma = property(lambda self: math.hypot(self.lab[1], self.lab[2]))
-    hue = property(lambda self: math.degrees(math.atan2(self.lab[2], self.lab[1])) % 360)
-
-    def close(self, others, scale, hues=True):
-        for o in others:
-            d, gap = np.linalg.norm(self.lab - o.lab), abs(self.hue - o.hue) % 360
-            if d < 0.10 * scale or hues and min(self.chroma, o.chroma) >= 0.05 and d < 0.18 * scale and min(gap, 360 - gap) < 20:
-                return True
-        return False
-
-
-def plain_roles(rows, logo=()):
-    """The six roles of one poster's labelled pixels, step by step; rows as LABELLED."""
-    h, w = rows[0].h, rows[0].w
-    grid = np.full((h, w), -1)
+def matrix_of_limits(colours, hues=True):
+    """[i, j]: which of the three limits, from strict to lax, is the first that keeps colours i and j apart; 3 for none."""
+    lab = np.array([[c["ll"], c["la"], c["lb"]] for c in colours])
+    d = np.linalg.norm(lab[:, None] - lab[None], axis=2)
+    chroma, hue = np.hypot(lab[:, 1], lab[:, 2]), np.degrees(np.arctan2(lab[:, 2], lab[:, 1]))
+    turn = np.abs((hue[:, None] - hue[None] + 180) % 360 - 180)
+    kin = hues & (np.minimum.outer(chroma, chroma) >= 0.05) & (turn < 20)
+    fails = [(d < 0.10 * s) | (kin & (d < 0.18 * s)) for s in (1.0, 0.6, 0.35)]
+    return np.sum(fails, axis=0)  # a colour that is too close by a lax limit is so by the stricter ones
+
+
+def check_ladder(clusters_, ladder):
+    """No cluster that was left could have taken a slot: none is apart by a stricter limit, or as much and better."""
+    large = [c for c in clusters_ if c["share"] >= 0.01] or clusters_
+    at = {c["hex"]: i for i, c in enumerate(large)}
+    limits, taken = matrix_of_limits(large), [at[h] for h in ladder]
+    assert len(set(taken)) == len(taken) <= 8
+    blends = (0.92, 0.9, 0.8, 0.72, 0.62, 0.6, 0.6, 0.6)
+    for slot in range(min(8, len(large))):
+        before = taken[:slot]
+        worst = limits[:, before].max(axis=1, initial=0)
+        rest = [i for i in range(len(large)) if i not in before]
+        if slot >= len(taken):
+            assert slot >= 5 and all(worst[i] == 3 for i in rest)
+            break
+        rank = lambda i: (-worst[i], round(blends[slot] * large[i]["dominance"] + (1 - blends[slot]) * large[i]["vividness"], 12), large[i]["share"], large[i]["hex"])  # noqa: B023, E731
+        assert rank(taken[slot]) == max(map(rank, rest))
+
+
+def check_roles(clusters_, ladder, logo, colours, sources):
+    """Each role's colour is the best admissible one, given those of the roles before it."""
+    by_share = sorted(clusters_, key=lambda c: (-c["share"], c["label"]))
+    rungs = [next(c for c in by_share if c["hex"] == h) for h in ladder]
+    offered = rungs + by_share + logo
+    limits, plain = matrix_of_limits(offered + colours), matrix_of_limits(offered + colours, hues=False)
+    first_cluster, first_logo, first_pick = len(rungs), len(rungs) + len(by_share), len(offered)
+    same = lambda p, q: p["hex"] == q["hex"] and abs(p["ll"] - q["ll"]) < 1e-9
+    used, shown = set(), set()
+    assert sources[0] == "base"
+    for k, (name, pick, source) in enumerate(zip(ROLES[1:], colours[1:], sources[1:]), 1):
+        before = slice(first_pick, first_pick + k)
+        worst, apart = limits[:, before].max(axis=1), plain[:, before].max(axis=1) == 0
+        marks = [j for j in range(len(logo)) if j not in shown and apart[first_logo + j]]
+        free = [i for i in range(len(rungs)) if i not in used and worst[i] < 3]
+        if source == "logo":
+            assert name.startswith("identity") and same(pick, logo[marks[0]])
+            shown.add(marks[0])
+            continue
+        assert not (name.startswith("identity") and marks), "a colour of the logo was passed over"
+        if source == "derived":
+            lighter = pick["ll"] - colours[0]["ll"]
+            assert not free and all(worst[first_cluster + i] == 3 for i in range(len(by_share)))
+            assert (lighter > 0) == (colours[0]["ll"] < 0.5) and (pick["la"], pick["lb"]) == (colours[0]["la"], colours[0]["lb"])
+            assert abs(abs(lighter) - (0.18 + 0.06 * k)) < 1e-9 or pick["ll"] in (0.02, 0.98)
+            continue
+        assert source == "artwork"
+        if not free:
+            assert same(pick, by_share[min(i for i in range(len(by_share)) if worst[first_cluster + i] < 3)])
+            continue
+        own = next(i for i in free if same(pick, rungs[i]))
+        used.add(own)
+        strict = [i for i in free if worst[i] == 0]
+        if name == "accent" and strict:
+            lively = {i: 0.65 * rungs[i]["dominance"] + 0.35 * (0.6 * min(rungs[i]["chroma"] / 0.2, 1) + 0.4 * rungs[i]["distinct"]) for i in strict[:2]}
+            assert lively[own] == max(lively.values())
+        else:
+            dull = {i: name != "highlight1" and name != "highlight2" and rungs[i]["chroma"] < 0.035 for i in free}
+            assert (worst[own], dull[own], own) == min((worst[i], dull[i], i) for i in free)
+
+
+def check_features(rows, clusters_):
+    """Shares sum to one; dominance and vividness are what their parts, counted on the grid of labels, say."""
+    grid = np.full((rows[0].h, rows[0].w), -1)
     for r in rows:
         grid[r.y, r.x] = r.label
-    lab = {(r.y, r.x): np.array([r.ll, r.la, r.lb]) for r in rows}
-    by = {}
-    for r in rows:
-        if r.label >= 0:
-            by.setdefault(r.label, []).append((r.y, r.x))
-    total = sum(map(len, by.values()))
-    found = {k: Plain(representative(np.array([lab[p] for p in at])), "artwork", share=len(at) / total, label=k, at=at) for k, at in by.items()}
-    for k, c in found.items():
-        cells = sum(np.mean(grid[a * h // 6 : (a + 1) * h // 6, b * w // 4 : (b + 1) * w // 4] == k) >= 0.08 for a in range(6) for b in range(4) if (a + 1) * h // 6 > a * h // 6 and (b + 1) * w // 4 > b * w // 4)
-        pairs, rims = 0, []
-        for y, x in c.at:
-            for a, b in ((y, x + 1), (y + 1, x)):
-                pairs += a < h and b < w and grid[a, b] == k
-            for a, b in ((y, x + 1), (y + 1, x), (y, x - 1), (y - 1, x)):
-                if 0 <= a < h and 0 <= b < w and grid[a, b] >= 0 and grid[a, b] != k:
-                    rims.append(np.linalg.norm(c.lab - found[int(grid[a, b])].lab))
-        left, largest = set(c.at), 0
-        while left:
-            todo, n = [left.pop()], 0
-            while todo:
-                y, x = todo.pop()
-                n += 1
-                for p in ((y, x + 1), (y + 1, x), (y, x - 1), (y - 1, x)):
-                    if p in left:
-                        left.remove(p)
-                        todo.append(p)
-            largest = max(largest, n)
-        others = [o for o in found.values() if o is not c]
-        weight = sum(o.share for o in others)
-        c.distinct = min(sum(o.share * np.linalg.norm(o.lab - c.lab) for o in others) / weight / 0.4, 1) if others else 0.0
-        c.dominance = 0.55 * math.sqrt(c.share / max(o.share for o in found.values())) + 0.25 * cells / 24 + 0.10 * pairs / (2 * len(c.at)) + 0.10 * largest / len(c.at)
-        c.vivid = 0.6 * min(c.chroma / 0.2, 1) + 0.4 * (min(np.mean(rims) / 0.4, 1) if rims else 0)
-    pool, ladder = [c for c in found.values() if c.share >= 0.01] or list(found.values()), []
-    for weight in (0.92, 0.9, 0.8, 0.72, 0.62, 0.6, 0.6, 0.6):
-        rest = [c for c in pool if c not in ladder]
-        ok = next((x for s in (1, 0.6, 0.35) if (x := [c for c in rest if not c.close(ladder, s)])), rest if len(ladder) < 5 else [])
-        if ok:
-            ladder.append(max(ok, key=lambda c: (weight * c.dominance + (1 - weight) * c.vivid, c.share)))
-    top, corner = max(2, round(h * 0.18)), max(2, round(w * 0.35))
-    band = [(p, k) for k, at in by.items() for p in at if p[0] < top]
-    leads = []
-    for side in (lambda x: x < corner, lambda x: x >= w - corner):
-        n = {k: sum(side(p[1]) for p, j in band if j == k) for k in sorted(by)}
-        leads.append(max(n, key=n.get) if any(n.values()) else None)
-    heavy = {k: sum(2 if p[1] < corner or p[1] >= w - corner else 1 for p, j in band if j == k) for k in sorted(by)}
-    if not band:
-        best = max(found.values(), key=lambda c: (c.share, -c.label))
-        chosen, at = {best.label}, best.at
-    else:
-        a, b = leads
-        chosen = {a, b} if a is not None and b is not None and np.linalg.norm(found[a].lab - found[b].lab) < 0.12 else {max(heavy, key=heavy.get)}
-        at = [p for p, k in band if k in chosen]
-    base = Plain(representative(np.array([lab[p] for p in at])), "base")
-    assigned, used, queue = [base], [], [Plain(x, "logo") for x in logo]
-    extra = sorted(found.values(), key=lambda c: (-c.share, c.label))
-
-    def artwork(hues_first, scale):
-        free = [c for c in ladder if c not in used]
-        for c in sorted(free, key=lambda c: hues_first and c.chroma < 0.035):
-            if not c.close(assigned, scale):
-                used.append(c)
-                return c
-        return None
-
-    def otherwise(hues_first):
-        for scale in (0.6, 0.35):
-            if c := artwork(hues_first, scale):
-                return c
-        for c in extra:
-            if not c.close(assigned, 0.35):
-                return c
-        step = 0.18 + 0.06 * len(assigned)
-        return Plain([min(max(base.lab[0] + (step if base.lab[0] < 0.5 else -step), 0.02), 0.98), *base.lab[1:]], "derived")
-
-    for role in ROLES[1:]:
-        pick = None
-        if role.startswith("identity"):
-            while queue and pick is None:
-                q = queue.pop(0)
-                pick = None if q.close(assigned, 1, hues=False) else q
-        if role == "accent":
-            free = [c for c in ladder if c not in used and not c.close(assigned, 1)][:2]
-            if free:
-                pick = max(free, key=lambda c: 0.65 * c.dominance + 0.35 * (0.6 * min(c.chroma / 0.2, 1) + 0.4 * c.distinct))
-            assigned.append(pick or otherwise(True))
-            continue
-        assigned.append(pick or artwork(role.startswith("identity"), 1) or otherwise(role.startswith("identity")))
-    return assigned, ladder
-
-
-def test_roles_match_a_plain_version(spark):
+    assert sum(c["share"] for c in clusters_) == pytest.approx(1)
+    n, most = (grid >= 0).sum(), max(c["share"] for c in clusters_)
+    ys, xs = np.indices(grid.shape)
+    cell = (((ys + 1) * 6 - 1) // grid.shape[0]) * 4 + ((xs + 1) * 4 - 1) // grid.shape[1]
+    for c in clusters_:
+        own = grid == c["label"]
+        assert c["share"] == own.sum() / n
+        here, all_ = np.bincount(cell[own], minlength=24), np.bincount(cell.ravel(), minlength=24)
+        spatial = ((here >= 0.08 * all_) & (all_ > 0)).sum() / 24
+        inner = (own[:, 1:] & own[:, :-1]).sum() + (own[1:] & own[:-1]).sum()
+        steady = 0.55 * math.sqrt(c["share"] / most) + 0.25 * spatial + 0.10 * inner / (2 * own.sum())
+        assert 0 < (c["dominance"] - steady) / 0.10 <= 1 + 1e-9  # the rest is the largest region's share
+        assert 0.6 * min(c["chroma"] / 0.2, 1) - 1e-9 <= c["vividness"] <= 0.6 * min(c["chroma"] / 0.2, 1) + 0.4 + 1e-9
+
+
+def test_roles_are_the_best_admissible_ones(spark):
     r, frames = random.Random(21), []
     for key in range(1, 15):
         palette_ = [tuple(r.randrange(256) for _ in range(3)) for _ in range(r.choice((1, 2, 3, 6, 9)))]
         if key % 4 == 0:
             palette_ = [tuple(min(255, c + d) for c in palette_[0]) for d in (0, 25, 50)]
         h, w, blocks = r.randint(12, 40), r.randint(9, 25), [(r.randrange(40), r.randrange(25), r.randrange(3, 18), r.choice(palette_)) for _ in range(40)]
-        rows = []
         for y in range(h):
             for x in range(w):
                 c = next((c for a, b, n, c in blocks if a <= y < a + n and b <= x < b + n), palette_[0])
-                rows.append((key, y, x, *[max(0, min(255, v + r.randint(-2, 2))) for v in c]))
-        frames += rows
+                frames.append((key, y, x, *[max(0, min(255, v + r.randint(-2, 2))) for v in c]))
     x = clusters.cluster(spark.createDataFrame(frames, "poster long, y int, x int, r int, g int, b int"), clusters.V3)
-    logos = {k: [oklab_of(c) for c in ((210, 30, 60), (30, 160, 90))[: k % 3]] for k in range(1, 15)}
+    as_colour = lambda lab, source: {"hex": "#", **dict(zip(("ll", "la", "lb"), lab)), "chroma": math.hypot(lab[1], lab[2]), "hue": math.degrees(math.atan2(lab[2], lab[1])) % 360, "source": source}
+    logos = {k: [as_colour(oklab_of(c), "logo") for c in ((210, 30, 60), (30, 160, 90))[: k % 3]] for k in range(1, 15)}
     own = "poster long, logo array<struct<hex: string, ll: double, la: double, lb: double, chroma: double, hue: double, source: string>>"
-    rows = [(k, [("#", *lab, math.hypot(lab[1], lab[2]), math.degrees(math.atan2(lab[2], lab[1])) % 360, "logo") for lab in labs]) for k, labs in logos.items() if labs]
-    got = {p.poster: p for p in roles.palette_v3(x, spark.createDataFrame(rows, own)).collect()}
-    by = {}
+    found = roles.palette_v3(x, spark.createDataFrame([(k, [tuple(c.values()) for c in v]) for k, v in logos.items() if v], own), detail=True).collect()
+    rows, described = {}, {}
     for row in x.collect():
-        by.setdefault(row.poster, []).append(row)
-    sources = set()
-    for key, rows in by.items():
-        assigned, ladder = plain_roles(rows, logos[key])
-        assert got[key].sources == [c.source for c in assigned] and len(got[key].ladder) == len(ladder), key
-        for role, c in zip(ROLES, assigned):
-            if c.source != "logo":
-                code = [int(got[key][role][i : i + 2], 16) for i in (1, 3, 5)]
-                if c.source != "derived" and min(code) > 0 and max(code) < 255:  # in the gamut the colour is what it says
-                    assert np.linalg.norm(np.array(oklab_of(code)) - c.lab) < 0.01, (key, role)
-        sources |= set(got[key].sources)
-    assert sources == {"base", "logo", "artwork", "derived"}
+        rows.setdefault(row.poster, []).append(row)
+    for c in roles.described(x).collect():
+        described.setdefault(c.poster, []).append(c.asDict())
+    for p in found:
+        check_features(rows[p.poster], described[p.poster])
+        check_ladder(described[p.poster], p.ladder)
+        check_roles(described[p.poster], p.ladder, logos[p.poster], [c.asDict() for c in p.colours], p.sources)
+    assert len(found) == 14 and {s for p in found for s in p.sources} == {"base", "logo", "artwork", "derived"}
+
+
+def test_base_of_known_posters(spark):
+    """Both corners of one colour, related corners, unrelated ones with and without the heavier in a corner."""
+    def rows(key, top):
+        return [(key, y, x, *(top(x) if y < 6 else MOSS)) for y in range(30) for x in range(20)]
+
+    deep, pale = (40, 60, 130), (60, 80, 150)  # near each other
+    posters = {1: lambda x: SKY if x < 7 or x >= 13 else PLUM, 2: lambda x: deep if x < 10 else pale, 3: lambda x: SKY if x < 12 else ORANGE, 4: lambda x: SKY if x < 4 else CREAM if x < 16 else ORANGE}
+    frame = spark.createDataFrame([r for k, f in posters.items() for r in rows(k, f)], "poster long, y int, x int, r int, g int, b int")
+    got = {p.poster: p.base for p in roles.palette_v3(clusters.cluster(frame, clusters.V3)).collect()}
+    assert near(got[1], SKY) and near(got[3], SKY) and near(got[4], CREAM)
+    assert all(min(a, b) - 3 <= int(got[2][i : i + 2], 16) <= max(a, b) + 3 for i, a, b in zip((1, 3, 5), deep, pale)) and not near(got[2], deep, 4) and not near(got[2], pale, 4)
 
 
 def test_six_roles(spark):

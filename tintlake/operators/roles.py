@@ -189,9 +189,11 @@ def _assigned(base: Column, logo: Column, ladder: Column, extra: Column) -> Colu
     return F.aggregate(F.array(*[F.lit(k) for k in ("identity", "identity", "highlight", "highlight", "accent")]), start, role).colours
 
 
-def palette_v3(labelled: DataFrame, logos: DataFrame | None = None) -> DataFrame:
+def palette_v3(labelled: DataFrame, logos: DataFrame | None = None, detail: bool = False) -> DataFrame:
     """(poster, the six roles, sources, ladder, logo_colours) of clustered artworks, with the colours of their logos
-    (poster, logo) where there are any. sources: base, logo, artwork or derived, by role."""
+    (poster, logo) where there are any. sources: base, logo, artwork or derived, by role. ``detail``: also ``colours``,
+    the roles as structs, and ``logo``, what is known of the logo: its source (none, or unlocated where its own colours
+    were looked for in the poster) and its colours."""
     clusters = materialise(described(labelled), "clusters-described")
     c = F.struct("label", "hex", *LAB, "chroma", "hue", "share", "dominance", "vividness", "distinct")
     g = clusters.groupBy("poster").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "label", c.alias("c")))).alias("x")).select("poster", F.col("x.c").alias("c"))  # 16 at most
@@ -202,4 +204,6 @@ def palette_v3(labelled: DataFrame, logos: DataFrame | None = None) -> DataFrame
     g = materialise(g.withColumn("ladder", _ladder(F.col("c"))), "ladders")
     g = g.withColumn("roles", _assigned(F.col("base"), F.col("logo"), F.col("ladder"), F.col("c")))
     out = [F.col("roles")[i].hex.alias(r) for i, r in enumerate(ROLES)]
-    return g.select("poster", *out, F.col("roles.source").alias("sources"), F.col("ladder.hex").alias("ladder"), F.col("logo.hex").alias("logo_colours"))
+    about = F.struct(F.when(F.size("logo") > 0, "unlocated").otherwise("none").alias("source"), F.col("logo.hex").alias("colours"))
+    more = [F.col("roles").alias("colours"), about.alias("logo")] if detail else []
+    return g.select("poster", *out, F.col("roles.source").alias("sources"), F.col("ladder.hex").alias("ladder"), F.col("logo.hex").alias("logo_colours"), *more)
