@@ -204,11 +204,40 @@ def test_pairs_rank():
     s = m.strengths(x)
     edges = np.linspace(s.min(), s.max() + 1e-9, 1000)
     n = [np.histogram(s[y == k], edges)[0] for k in (1, 0)]
-    m = replace(m, cut=float(edges[quality_classifier.best_cut(*n)]))
+    m = replace(m, cut=float(edges[quality_classifier.quantile_bin(n[0] + n[1], quality_classifier.best_level(*n))]))
     s = m.scores(x)
     assert (s[y == 1][:, None] > s[y == 0][None]).mean() > 0.97 and ((s >= 0.3) == y).mean() > 0.93
 
 
+def test_weights_minimise_the_pairs_loss():
+    """The gradient of the ridged logistic loss over the same pairs, summed plainly, is nothing."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4))
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(int)
+    m = quality_classifier.fit(x, y, n_pairs=700, rounds=60)
+    pick = np.random.default_rng(0)
+    better, worse = pick.choice(np.flatnonzero(y == 1), 700), pick.choice(np.flatnonzero(y == 0), 700)
+    z = ((x - x.mean(axis=0)) / x.std(axis=0)).clip(-6, 6)
+    gradient = 1e-3 * m.weights
+    for i, j in zip(better, worse):
+        d = z[i] - z[j]
+        gradient = gradient - d / (1 + math.exp(float(d @ m.weights))) / 700
+    assert np.abs(gradient).max() < 1e-5
+
+
+def test_cut_is_a_quantile_of_strengths():
+    """Equal strengths at the cut stay together; in a gap the cut is its middle; nothing labelled is level 0."""
+    good, bad = np.array([0, 0, 1, 0, 0, 0, 5, 9]), np.array([7, 0, 3, 0, 0, 0, 0, 0])
+    level = quality_classifier.best_level(good, bad)
+    assert level == 11 / 25 and quality_classifier.quantile_bin(good + bad, level) == 4
+    tied = quality_classifier.best_level(np.array([0, 4, 0]), np.array([0, 3, 0]))
+    assert tied in (0.0, 1.0) and quality_classifier.quantile_bin(np.array([0, 7, 0]), tied) in (0, 1, 2, 3)
+    for k in range(1, 10):
+        n = np.random.default_rng(k).integers(0, 5, 50)
+        assert quality_classifier.quantile_bin(n, 0.0) >= 0 and n[: quality_classifier.quantile_bin(n, k / 10)].sum() == pytest.approx(n.sum() * k / 10, abs=4)
+    assert quality_classifier.best_level(np.zeros(4, int), np.zeros(4, int)) == 0.0
+
+
 # ---------------------------------------------------------------- 3
 
 

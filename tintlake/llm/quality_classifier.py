@@ -1,9 +1,9 @@
 """Operator 2: a quality score learnt from preference pairs (Bradley-Terry), thresholded at a score quantile.
 
 A document's strength is linear in its features. A pair of a document labelled 1 and one labelled 0 is a preference;
-the logistic loss of the pair's strength difference is minimised. The cut is the quantile of strengths, among all
-labelled documents that may be learnt from, that classifies them best, taken from a histogram; and the score is the
-logistic function placed so that the cut scores ``at``.
+the logistic loss of the pair's strength difference is minimised. The cut is a quantile of the strengths of all labelled
+documents that may be learnt from; its level is the one that classifies them best, and both come from one histogram. The
+score is the logistic function placed so that the cut scores ``at``.
 """
 
 from __future__ import annotations
@@ -72,6 +72,7 @@ class Ranker:
     weights: np.ndarray
     cut: float
     at: float
+    level: float = 0.0  # the share of labelled strengths below the cut
 
     def strengths(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights
@@ -111,14 +112,22 @@ def fit(x: np.ndarray, y: np.ndarray, at: float = 0.3, n_pairs: int = 40_000, ri
     return Ranker(mean, scale, w, 0.0, at)
 
 
-def best_cut(below: np.ndarray, wrong: np.ndarray) -> int:
-    """The bin at whose lower end cutting is least wrong, the middle one of several in a row. below, wrong: documents
-    of label 1 and 0 by bin."""
-    errors = np.concatenate([[0], np.cumsum(below)]) + wrong.sum() - np.concatenate([[0], np.cumsum(wrong)])
-    first = last = int(errors.argmin())
-    while last + 1 < len(errors) and errors[last + 1] == errors[first]:
-        last += 1
-    return (first + last) // 2
+def best_level(good: np.ndarray, bad: np.ndarray) -> float:
+    """The quantile level, of all strengths, at which cutting is least wrong; of equal ones the middle. good, bad:
+    documents of label 1 and 0 by bin of strength."""
+    below = lambda n: np.append(0, np.cumsum(n))
+    errors = below(good) + bad.sum() - below(bad)
+    least = np.flatnonzero(errors == errors.min())
+    least = least[: 1 + int((np.diff(least) != 1).argmax())] if (np.diff(least) != 1).any() else least  # the first in a row
+    return float(below(good + bad)[least[len(least) // 2]] / max(1, (good + bad).sum()))
+
+
+def quantile_bin(n: np.ndarray, level: float) -> int:
+    """The bin at whose lower end ``level`` of all lie below; where bins are empty there, the middle of the gap. Strengths
+    of one bin are never parted."""
+    below = np.append(0, np.cumsum(n))
+    at = np.flatnonzero(below == below[np.abs(below - level * n.sum()).argmin()])
+    return int(at[0] + at[-1]) // 2
 
 
 def _each(f: Callable[[np.ndarray], np.ndarray]):
@@ -157,15 +166,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, at: float =
 
 
 def cut_at(ranker: Ranker, docs: DataFrame, rows: DataFrame, bins: int = 1 << 16) -> Ranker:
-    """``ranker`` with the cut that classifies the documents of all ``rows`` (doc_id, quality, h) best. Texts aren't
-    shuffled: a sieve of ids keeps unlabelled ones from being scored, and what is joined is (id, bin)."""
+    """``ranker`` with the quantile of the strengths of all ``rows``' documents (doc_id, quality, h) that classifies them
+    best. Texts aren't shuffled: a sieve of ids keeps unlabelled ones from being scored, and what is joined is (id, bin)."""
     some = sieved(docs.select("doc_id", "text"), spread("doc_id"), rows.select("h"), "maybe").where("maybe")
     place = F.least(F.lit(bins - 1), F.floor((_each(ranker.strengths)("text") / ranker.most + 1) * (bins / 2)))
     scored = some.select("doc_id", place.alias("bin")).distinct().join(rows, "doc_id")
     n = np.zeros((2, bins), np.int64)
     for r in scored.groupBy("quality", "bin").count().collect():  # two rows a bin at most
         n[r.quality, r.bin] = r["count"]
-    return replace(ranker, cut=(best_cut(n[1], n[0]) / (bins / 2) - 1) * ranker.most)
+    level = best_level(n[1], n[0])
+    return replace(ranker, cut=(quantile_bin(n.sum(axis=0), level) / (bins / 2) - 1) * ranker.most, level=level)
 
 
 def score(text: str | Column, ranker: Ranker | None, at: float = 0.3) -> Column:
@@ -185,6 +195,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 4000, at:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = 4000, at: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with the same columns."""
+    """The rows of ``docs`` that the classifier, learnt from them, doesn't reject, with the same columns.
+
+    Each row is judged by its own whole text, however long; null and empty texts are alike and go, once they score below
+    ``at``. Rows that repeat an id, or have none, are judged each by itself; only labels go by id. Without both labels
+    all rows stay. An empty table stays empty; columns that clash with the score's name stay as they are.
+    """
     ranker, name = train(docs, labels, per_class, at), fresh(docs, "score")
     return docs.withColumn(name, score("text", ranker, at)).where(F.col(name) >= at).select(*docs.columns)
