@@ -13,7 +13,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh
+from .common import WORD, cut, fresh, scratch
 
 #: Hash bits, and the bits that each histogram adds.
 HASH_BITS, LEVEL_BITS = 36, 12
@@ -96,8 +96,9 @@ def mix_sizes(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: floa
     source. Other columns aren't read.
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), place(F.col(doc_id)).alias("place"))
-    sized = cut(sized, "mix-sized")
-    b = budgets(sized, weights, share, most).withColumnRenamed("source", "s")
+    with scratch() as keep:
+        sized = keep(cut(sized, "mix-sized"))
+        b = keep(budgets(sized, weights, share, most)).withColumnRenamed("source", "s")
     joined = sized.join(b, sized.source.eqNullSafe(b.s))  # Spark broadcasts b, one row a source, if it is small by its own size check
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("size"))).cast("long").alias("taken"))
 
@@ -109,7 +110,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     """
     names = {c: fresh(docs, c) for c in ("size", "place", "s", "source_size", "target", "passes", "below", "copy")}
     own = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"), place(F.col(doc_id)).alias("place"))
-    b = budgets(cut(own, "mix-sized"), weights, share, most)
+    with scratch() as keep:
+        b = keep(budgets(cut(own, "mix-sized"), weights, share, most))
     b = b.select(F.col("source").alias(names["s"]), F.col("passes").alias(names["passes"]), F.col("below").alias(names["below"]))
     joined = docs.join(b, docs[source].eqNullSafe(b[names["s"]]))
     once_more = F.when(place(F.col(doc_id)) < F.col(names["below"]), 1).otherwise(0)
