@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh, sieved
+from .common import WORD, cut, fresh, scratch, sieved
 
 _KEY = ("doc", "text_hash")
 
@@ -118,7 +118,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", te
     Rows that repeat a document whole, id and text, are one document and get one result. Other columns are kept;
     clashing ones named n_lines or n_deleted are kept too, and ours get an underscore. An empty table stays empty.
     """
-    gone = deleted_lines(docs, min_words, doc_id, text).groupBy(*_KEY).agg(F.collect_set("line").alias("gone"))
+    with scratch() as keep:
+        gone = keep(cut(deleted_lines(docs, min_words, doc_id, text).groupBy(*_KEY).agg(F.collect_set("line").alias("gone")), "line-gone"))
     names = {c: fresh(docs, c) for c in ("d", "h", "gone", "n_lines", "n_deleted")}
     gone = gone.select(F.col("doc").alias(names["d"]), F.col("text_hash").alias(names["h"]), F.col("gone").alias(names["gone"]))
     x = docs.join(gone, F.col(doc_id).eqNullSafe(F.col(names["d"])) & (F.xxhash64(F.col(text)) == F.col(names["h"])), "left")
