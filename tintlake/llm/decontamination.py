@@ -368,7 +368,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", thr
     """The rows of ``docs`` that hold no benchmark item, with the same columns.
 
     Whether a text holds one depends on the text alone, so texts are looked up by two 64-bit hashes; rows that surely
-    aren't among those with hits are passed on without a shuffle.
+    aren't among those with hits are passed on without a shuffle. Null and empty texts hold nothing and stay; long ones
+    are searched whole; rows that repeat an id or a text, or have no id, stay or go each by their text. An empty table
+    stays empty, and an empty benchmark removes nothing; columns that clash with ours stay as they are.
     """
     key = F.struct(F.xxhash64(F.lit(1), F.col(text)).alias("a"), F.xxhash64(F.lit(2), F.col(text)).alias("b"))
     hits = _hits(docs, benchmark, threshold, question, answer, shard_items, text, key.alias("held")).select("held").distinct()
