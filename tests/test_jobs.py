@@ -265,10 +265,45 @@ def test_command_line(spark, feeds, tmp_path, capsys):
     with pytest.raises(SystemExit):
         cli.main(["store", "tvdb"])
     (lists / "series" / "1.json").unlink()
-    with pytest.raises(ValueError, match="goes on"):
+    with pytest.raises(Exception, match="goes on"):
         run("b", "tvdb", "seed", *second)
 
 
+def test_images_are_found_by_name_before_they_are_decoded(spark, tmp_path, monkeypatch):
+    """Of 200 files two are read; a small size that is broken gives way to the other; what has none that works is an error."""
+    flat = np.zeros((12, 8, 3)) + (150, 190, 220)
+    for k in range(200):
+        png(tmp_path / f"p{k}.png", flat)
+    for name in ("p1_t.png", "p2.png"):
+        (tmp_path / name).write_bytes(b"no image")
+    read, whole = [], listings.images_named
+
+    def images_named(*a, **how):
+        for x in whole(*a, **how):
+            read.extend(f.rsplit("/", 1)[1] for f in x.inputFiles())
+            yield x
+
+    monkeypatch.setattr(listings, "images_named", images_named)
+    pairs = spark.createDataFrame([(f"/{p}.png|{m}", f"/{p}.png", m or None) for p, m in (("p1", ""), ("p2", ""), ("p7", "/p9.png"), ("p7", ""), ("none", ""))], "pair string, poster_path string, logo_path string")
+    got = {r.pair: r for r in cli.colours_from(spark, f"file://{tmp_path}")(pairs).collect()}
+    assert set(got) == {"/p1.png|", "/p2.png|", "/p7.png|/p9.png", "/p7.png|"}
+    assert all(got[k].base == "#96BEDC" and got[k].error is None for k in ("/p1.png|", "/p7.png|", "/p7.png|/p9.png")) and got["/p2.png|"].base is None and "decoded" in got["/p2.png|"].error
+    assert sorted(read) == ["p1.png", "p1_t.png", "p2.png", "p7.png", "p9.png"]
+    read.clear()
+    cli.colours_from(spark, f"file://{tmp_path}")(pairs.where("pair = '/p7.png|' OR pair = '/p1.png|'").replace("/p1.png", "/p3.png", ["poster_path"])).collect()
+    assert sorted(read) == ["p3.png", "p7.png"]
+    assert cli.colours_from(spark, f"file://{tmp_path}")(pairs.where("pair = '/none.png|'")).isEmpty()
+    plan = cli._sampled(spark, listings.image_paths(spark, f"file://{tmp_path}").where("file = 'p7.png'")).columns
+    assert plan == ["file", "ok", "y", "x", "r", "g", "b"]
+
+
+def test_parts_of_images_cover_all_names(spark, tmp_path):
+    for k in range(9):
+        png(tmp_path / f"p{k}.png", np.zeros((2, 2, 3)))
+    parts = [sorted(r.file for r in x.collect()) for x in listings.images_named(spark, listings.image_paths(spark, f"file://{tmp_path}"), most=2)]
+    assert len(parts) > 1 and sorted(f for p in parts for f in p) == [f"p{k}.png" for k in range(9)]
+
+
 def test_manifest_and_parts(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"description": "d", "titles": [{"media_type": "tv", "id": 71, "name": "Grove", "category": "dark"}]}))
     r = listings.read_manifest(spark, f"file://{tmp_path}/m.json").first()

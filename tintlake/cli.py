@@ -9,28 +9,62 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import thumbnail_url
 from .operators import clusters, pixels, roles, search
 from .plans import listed, refresh
+from .plans.cut import materialise
 from .plans.store import Store
 from .schemas import KINDS, ROLES, TITLES
 from .sources import feeds, listings
 
 
+def _sampled(spark: SparkSession, paths: DataFrame, **size) -> DataFrame:
+    """(file, ok, y, x, r, g, b[, alpha]) of images at (path, file): decoded and sampled in one task each, so no image is
+    shuffled. An image that can't be decoded has one row that isn't ok."""
+    out = None
+    for images in listings.images_named(spark, paths):
+        own = images.withColumn("poster", F.xxhash64("file"))
+        names = own.select("poster", "file", (F.col("image.width") > 0).alias("ok"))
+        # the samples, a few thousand rows each, meet the names of their files
+        part = materialise(names.join(pixels.from_images(own.select("poster", "image"), **size), "poster", "left").drop("poster"), "samples")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def colours_from(spark: SparkSession, folder: str) -> refresh.Colours:
     """Colours of pairs from a folder of poster and logo files, named as the last part of their paths; of a poster's
-    two sizes the small one, with _t before its ending, comes first. A missing logo doesn't matter."""
+    two sizes the small one, with _t before its ending, comes first, and the other if it can't be decoded. A poster whose
+    files can't be decoded is an error; a missing logo doesn't matter.
+
+    Files are looked up by name, and those that are wanted are decoded once.
+    """
 
     def colours(pairs: DataFrame) -> DataFrame:
         name = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
-        files = listings.read_images(spark, folder).select(name("path").alias("file"), "image").where("image.width > 0")
-        wanted = pairs.select("pair", name("poster_path").alias("file"), name("logo_path").alias("logo"), F.xxhash64("pair").alias("poster"))
-        small = files.select(F.regexp_replace("file", r"_t(\.[^.]*)$", "$1").alias("file"), F.col("image").alias("small")).where(F.col("small.origin").rlike(r"_t\.[^.]*$"))
-        found = wanted.join(files, "file", "left").join(small, "file", "left").select("pair", "poster", "logo", F.coalesce("small", "image").alias("image")).where("image IS NOT NULL")
-        marks = wanted.join(files.withColumnRenamed("file", "logo"), "logo").select("poster", "image")
-        art = pixels.from_images(found.select("poster", "image"), 80, 120)
-        logos = roles.logo_colours(clusters.cluster(roles.solid(pixels.from_images(marks, 300, 300, clear=True)), clusters.LOGO), art)
+        files = materialise(listings.image_paths(spark, folder).groupBy("file").agg(F.min("path").alias("path")), "image-names")
+        wanted = pairs.select("pair", F.xxhash64("pair").alias("poster"), name("poster_path").alias("full"), name("logo_path").alias("mark"))
+        sizes = F.array(F.struct(F.lit(0).alias("nth"), thumbnail_url(F.col("full")).alias("file")), F.struct(F.lit(1).alias("nth"), F.col("full").alias("file")))
+        there = materialise(wanted.select("pair", "poster", "mark", F.explode(sizes).alias("s")).select("pair", "poster", "mark", "s.*").join(files, "file"), "images-there")
+        art, left = None, there
+        for _ in range(2):  # the sizes of a poster
+            now = left.groupBy("pair", "poster").agg(F.min(F.struct("nth", "file", "path")).alias("f")).select("pair", "poster", "f.file", "f.path")
+            sample = _sampled(spark, now.select("file", "path"), width=80, height=120)
+            if sample is None:
+                break
+            part = now.select("poster", "file").join(sample.where("ok"), "file").select("poster", "y", "x", "r", "g", "b")
+            art = part if art is None else art.unionAll(part)
+            bad = sample.where("NOT ok").select("file")
+            left = left.join(now.join(bad, "file", "left_semi").select("pair"), "pair", "left_semi").join(bad, "file", "left_anti")
+        if art is None:
+            return there.select("pair", *[F.lit(None).cast("string").alias(c) for c in (*ROLES, "error")])
+        marks = _sampled(spark, files.join(there.select(F.col("mark").alias("file")).distinct(), "file", "left_semi"), width=300, height=300, clear=True)
+        logos = None
+        if marks is not None:
+            own = there.select("mark", "poster").distinct().join(marks.where("ok"), F.col("mark") == F.col("file"))
+            logos = roles.logo_colours(clusters.cluster(roles.solid(own.select("poster", "y", "x", "r", "g", "b", "alpha")), clusters.LOGO), art)
         six = roles.palette_v3(clusters.cluster(art, clusters.V3), logos)
-        return found.select("pair", "poster").join(six, "poster").select("pair", *ROLES)
+        failed = F.when(F.col("base").isNull(), "the poster can't be decoded").alias("error")
+        return there.select("pair", "poster").distinct().join(six, "poster", "left").select("pair", *ROLES, failed)
 
     return colours
 

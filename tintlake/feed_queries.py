@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from .plans import listed, refresh
 from .plans.cut import new_folder
+from .plans.served import Served
 from .plans.store import Store
-from .queries import _DIRTY, _OPEN, _RANKED, _RES, _T, ROLES, TITLES, TITLE_SCHEMA, TVDB_SCHEMA, _sql, query, table, titles, tvdb
-from .operators import catalogue
+from .queries import _DIRTY, _OPEN, _PARTS, _RANKED, _RES, _T, ROLES, TITLE_SCHEMA, TITLES, TVDB_SCHEMA, _sql, part_titles, query, table, titles, tvdb
+from .operators import catalogue, postings
 from .sources import feeds
 from .streaming import jobs
 
@@ -143,3 +144,48 @@ def run_counters(spark, d):
     failed = F.when(F.col("poster_path") == "/p11.jpg", "broken").alias("error")
     found = refresh.process(store, details, lambda p: p.where("poster_path <> '/p9.jpg'").select("pair", *[F.lit("#010203").alias(r) for r in ROLES], failed))
     return spark.createDataFrame(sorted(found.items()), "status string, n long")
+
+
+# ---------------------------------------------------------------- reads that prune
+
+
+def _search_sql(q: str, limit: int, more: str = "") -> str:
+    return f"(SELECT '{q}' AS q, tmdb_id, title FROM part_titles WHERE title ILIKE '%{q}%'{more} ORDER BY lower(title) = '{q}' DESC, starts_with(lower(title), '{q}') DESC, popularity DESC NULLS LAST, tmdb_id LIMIT {limit})"
+
+
+_SEARCHES = (("bolt", 50, None), ("red", 100, "done"), ("re", 30, None))
+
+
+@query(f"WITH {_PARTS} " + " UNION ALL ".join(_search_sql(q, n, f" AND status = '{s}'" if s else "") for q, n, s in _SEARCHES))
+def search_indexed(spark, d):
+    """Three searches through postings; the last is too short for a trigram."""
+    folder = new_folder(spark, "postings")
+    x = part_titles(spark, d)
+    postings.build(x, folder)
+    found = [postings.search_indexed(spark, folder, x, q.upper(), n, status=s).select(F.lit(q).alias("q"), "tmdb_id", "title") for q, n, s in _SEARCHES]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+def _served(spark, d):
+    served = Served(spark, f"{new_folder(spark, 'served')}/titles", span=100)
+    served.publish(titles(spark, d))
+    return served
+
+
+@query(_T + """ (SELECT 'key' AS read, media_type, tmdb_id, title FROM titles WHERE media_type = 'tv' AND tmdb_id = 7)
+  UNION ALL (SELECT 'page', media_type, tmdb_id, title FROM titles WHERE media_type = 'movie' AND status = 'done' AND tmdb_id > 100 AND updated_at >= '2026-01-10' ORDER BY tmdb_id LIMIT 100)""")
+def served_reads(spark, d):
+    """A title by its key and a page of titles after a key, from directories of 100 ids."""
+    served = _served(spark, d)
+    one, page = served.get("tv", 7), served.page("movie", 100, 100, "2026-01-10")
+    return one.select(F.lit("key").alias("read"), "media_type", "tmdb_id", "title").unionAll(page.select(F.lit("page"), "media_type", "tmdb_id", "title"))
+
+
+@query(_T + ", res AS (SELECT * FROM (" + _RES.format(titles="SELECT * FROM titles") + """) r WHERE tmdb_id % 1000 < 300) SELECT coalesce(o.media_type, n.media_type) AS media_type, coalesce(o.tmdb_id, n.tmdb_id) AS tmdb_id,
+  CASE WHEN n.tmdb_id IS NOT NULL THEN n.status ELSE o.status END AS status, CASE WHEN n.tmdb_id IS NULL THEN o.attempts WHEN n.status = 'error' THEN coalesce(o.attempts, 0) + 1 ELSE 0 END AS attempts FROM titles o FULL JOIN res n ON o.media_type = n.media_type AND o.tmdb_id = n.tmdb_id""")
+def save_results_served(spark, d):
+    """Results of some spans of ids, saved into the directories that they fall into."""
+    served = _served(spark, d)
+    results = _sql(spark, d, _RES.format(titles=TITLES), "customer", "supplier").where("tmdb_id % 1000 < 300")
+    served.change(results, catalogue.save)
+    return served.read().select("media_type", "tmdb_id", "status", "attempts")

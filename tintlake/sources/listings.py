@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import date, timedelta
 
 from pyspark.errors import AnalysisException
@@ -124,6 +125,24 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return x.select(F.col("image.origin").alias("path"), "image")
 
 
+def image_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file) of a folder's images by name; nothing of their content is read."""
+    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,webp}").load(folder).select("path")
+    return x.select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
+def images_named(spark: SparkSession, paths: DataFrame, most: int = 20_000) -> Iterator[DataFrame]:
+    """(file, image) of the images at (path, file) and no others, in parts of about ``most``: the names of a part are all
+    that comes to the driver. What can't be decoded has width -1. Files with one name are one, the first by path."""
+    paths = paths.groupBy("file").agg(F.min("path").alias("path"))
+    parts = -(-paths.count() // most)
+    for part in range(parts):
+        own = [r.path for r in paths.where(F.pmod(F.xxhash64("file"), F.lit(parts)) == part).select("path").collect()]
+        if own:
+            x = spark.read.format("image").option("dropInvalid", False).load(own)
+            yield x.select(F.element_at(F.split("image.origin", "/"), -1).alias("file"), "image")
+
+
 def thumbnail_or_full(keys: DataFrame, files: DataFrame) -> DataFrame:
     """(key, content): the thumbnail's bytes, else the full image's. keys: (key, url, thumbnail); files: (path, content)."""
     t = files.select(F.col("path").alias("thumbnail"), F.col("content").alias("small"))
