@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tintlake.functions import colour
-from tintlake.operators import clusters, palettes, pixels, roles
+from tintlake.operators import clusters, palettes, pixels, roles, tables
 from tintlake.schemas import ROLES
 
 SKY, ORANGE, NAVY, PLUM, CREAM, MOSS = (148, 188, 222), (231, 108, 34), (22, 34, 74), (96, 38, 110), (238, 226, 196), (78, 112, 58)
@@ -286,6 +286,25 @@ def test_roles_are_the_best_admissible_ones(spark):
     assert len(found) == 14 and {s for p in found for s in p.sources} == {"base", "logo", "artwork", "derived"}
 
 
+def test_ladder_by_sql_is_that_of_the_columns(spark):
+    """The table function gives the ladder of the DataFrame form, with the default rules and others, and takes no unknown one."""
+    art = [(SKY, 0.35), (NAVY, 0.22), (ORANGE, 0.16), (CREAM, 0.12), (PLUM, 0.09), (MOSS, 0.06)]
+    shades = [(tuple(min(255, c + 14 * k) for c in NAVY), 0.1) for k in range(10)]
+    x = poster(spark, art, 20, 40).unionByName(poster(spark, shades, 20, 40).withColumn("poster", F.col("poster") + 1)).unionByName(poster(spark, art[:2], 20, 40).withColumn("poster", F.col("poster") + 2))
+    x = clusters.cluster(x, clusters.V3)
+    for rules in ("{}", '{"slots": [1.0, 0.3, 0.3, 0.3], "gap": 0.25, "filled": 2}'):
+        want = {p.poster: p.ladder for p in roles.palette_v3(x, how=roles.Rules.from_json(rules)).collect()}
+        rows = tables.ladder_rows(roles.described(x), rules).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: (r.poster, r.slot)):
+            got.setdefault(r.poster, []).append(r.hex)
+            assert len(got[r.poster]) == r.slot and 0 <= r.level <= 3
+        assert got == want and len(want) == 3
+    assert roles.Rules.from_json(spark.sql("SELECT role_rules() AS r").first().r) == roles.RULES
+    with pytest.raises(Exception, match="no slotz"):
+        tables.ladder_rows(roles.described(x), '{"slotz": 1}').collect()
+
+
 def test_base_of_known_posters(spark):
     """Both corners of one colour, related corners, unrelated ones with and without the heavier in a corner."""
     def rows(key, top):

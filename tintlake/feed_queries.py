@@ -10,8 +10,8 @@ from .plans import listed, refresh
 from .plans.cut import new_folder
 from .plans.served import Served
 from .plans.store import Store
-from .queries import _DIRTY, _OPEN, _PARTS, _RANKED, _RES, _T, ROLES, TITLE_SCHEMA, TITLES, TVDB_SCHEMA, _sql, part_titles, query, table, titles, tvdb
-from .operators import catalogue, postings
+from .queries import _DIRTY, _OPEN, _PARTS, _RANKED, _RES, _T, ROLES, TITLE_SCHEMA, TITLES, TVDB_SCHEMA, _gridded, _sql, part_titles, query, table, titles, tvdb
+from .operators import catalogue, postings, roles, tables
 from .sources import feeds
 from .streaming import jobs
 
@@ -189,3 +189,12 @@ def save_results_served(spark, d):
     results = _sql(spark, d, _RES.format(titles=TITLES), "customer", "supplier").where("tmdb_id % 1000 < 300")
     served.change(results, catalogue.save)
     return served.read().select("media_type", "tmdb_id", "status", "attempts")
+
+
+# ---------------------------------------------------------------- functions for SQL
+
+
+@query()
+def ladder_rows(spark, d):
+    """The rungs of posters' ladders by the table function, clusters being coarse labels of one region each."""
+    return tables.ladder_rows(roles.described(_gridded(spark, d).withColumn("region", F.lit(0))))

@@ -6,6 +6,9 @@ slots of the ladder and the roles are folds over such short arrays, expressions
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +20,52 @@ from .pixels import LAB
 
 # How much of generated artwork each role takes, at least and at most.
 ROLE_WEIGHTS = {"base": (0.40, 0.50), "identity1": (0.25, 0.30), "identity2": (0.10, 0.20), "highlight1": (0.10, 0.20), "highlight2": (0.10, 0.20), "accent": (0.03, 0.08)}
-# What dominance and vividness are made of; the weight of dominance by slot of the ladder; the least share
-# of a ladder colour; the slots that are filled even with colours too close.
+# What dominance and vividness are made of.
 DOMINANCE = {"share": 0.55, "spatial": 0.25, "coherence": 0.10, "region": 0.10}
 VIVIDNESS = {"chroma": 0.6, "contrast": 0.4}
 FULL = {"chroma": 0.20, "contrast": 0.40, "distinct": 0.40}
-SLOTS = (0.92, 0.9, 0.8, 0.72, 0.62, 0.6, 0.6, 0.6)
-LEAST_SHARE, FILLED = 0.01, 5
-# Two colours are too close below GAP, or below HUE_GAP with both of some chroma and hues within HUE
-# degrees; limits are relaxed by RELAXED. Below NEUTRAL chroma a colour has no hue of its own.
-GAP, HUE_GAP, HUE, HUE_CHROMA, RELAXED, NEUTRAL = 0.10, 0.18, 20.0, 0.05, (1.0, 0.6, 0.35), 0.035
-# The top band, its corners, how close corners are related; the accent's candidates and its weights.
-BAND, CORNER, RELATED, ACCENTS, ACCENT_VIVID = 0.18, 0.35, 0.12, 2, 0.35
+# The top band, its corners, how close corners are related.
+BAND, CORNER, RELATED = 0.18, 0.35, 0.12
 # What a logo's cluster needs to be one of its colours.
 LOGO = {"share": 0.06, "chroma": 0.035, "dark": 0.30, "slope": 0.25, "spread": 0.12, "light": (0.45, 0.92), "metal_share": 0.25, "solid": 200, "pixels": 20, "samples": 4000, "near": 0.10, "present": 0.004}
 
 
+# The defaults.
+@dataclass(frozen=True)
+class Rules:
+    """How the ladder and the roles are chosen.
+
+    ``slots``: the weight of dominance by slot of the ladder; ``least_share`` of a ladder colour; ``filled``: slots that
+    are filled even with colours too close. Two colours are too close below ``gap``, or below ``hue_gap`` with both of
+    ``hue_chroma`` and hues within ``hue`` degrees; limits are relaxed by ``relaxed``. Below ``neutral`` chroma a colour
+    has no hue of its own. ``accents``: candidates of the accent, ``accent_vivid``: what their liveliness weighs.
+    """
+
+    slots: tuple[float, ...] = (0.92, 0.9, 0.8, 0.72, 0.62, 0.6, 0.6, 0.6)
+    least_share: float = 0.01
+    filled: int = 5
+    gap: float = 0.10
+    hue_gap: float = 0.18
+    hue: float = 20.0
+    hue_chroma: float = 0.05
+    relaxed: tuple[float, float, float] = (1.0, 0.6, 0.35)
+    neutral: float = 0.035
+    accents: int = 2
+    accent_vivid: float = 0.35
+
+    @staticmethod
+    def from_json(text: str | None) -> Rules:
+        """Rules that differ from the defaults in what a JSON object says."""
+        given = json.loads(text or "{}")
+        unknown = set(given) - {f.name for f in fields(Rules)}
+        if unknown:
+            raise ValueError(f"rules have no {', '.join(sorted(unknown))}")
+        return Rules(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+RULES = Rules()
+
+
 def _full(x: Column, most: float) -> Column:
     return F.least(x / most, F.lit(1.0))
 
@@ -65,35 +98,34 @@ def described(labelled: DataFrame) -> DataFrame:
     return g.select("poster", "label", "n", "hex", *LAB, "chroma", "hue", "share", dominance.alias("dominance"), vividness.alias("vividness"), _full(F.col("distinct"), FULL["distinct"]).alias("distinct"))
 
 
-def _level(p: Column, q: Column, hue_rule: bool = True) -> Column:
+def _level(p: Column, q: Column, how: Rules = RULES) -> Column:
     """The first of the relaxed limits by which two colours aren't too close; 3 if none."""
-    both = F.least(p.chroma, q.chroma) >= HUE_CHROMA
-    kin = both & (colour.hue_gap(p.hue, q.hue) < HUE) if hue_rule else F.lit(False)
+    kin = (F.least(p.chroma, q.chroma) >= how.hue_chroma) & (colour.hue_gap(p.hue, q.hue) < how.hue)
     measured = F.array(F.struct(colour.distance([p[c] for c in LAB], [q[c] for c in LAB]).alias("d"), kin.alias("kin")))
-    near = lambda z, s: (z.d < GAP * s) | (z.kin & (z.d < HUE_GAP * s))
-    return F.get(F.transform(measured, lambda z: F.when(~near(z, RELAXED[0]), 0).when(~near(z, RELAXED[1]), 1).when(~near(z, RELAXED[2]), 2).otherwise(3)), 0)
+    near = lambda z, s: (z.d < how.gap * s) | (z.kin & (z.d < how.hue_gap * s))
+    return F.get(F.transform(measured, lambda z: F.when(~near(z, how.relaxed[0]), 0).when(~near(z, how.relaxed[1]), 1).when(~near(z, how.relaxed[2]), 2).otherwise(3)), 0)
 
 
-def _worst(p: Column, others: Column, hue_rule: bool = True) -> Column:
-    return F.coalesce(F.array_max(F.transform(others, lambda q: _level(p, q, hue_rule))), F.lit(0))
+def _worst(p: Column, others: Column, how: Rules = RULES) -> Column:
+    return F.coalesce(F.array_max(F.transform(others, lambda q: _level(p, q, how))), F.lit(0))
 
 
-def _ladder(c: Column) -> Column:
+def _ladder(c: Column, how: Rules) -> Column:
     """The colours of ``c`` that make the ladder, in order of its slots.
 
     Each slot takes the best by a blend of dominance and vividness, then share and hex, of those that keep away from
     the ones before by the strictest limit that any meets; colours too close by all limits fill the first slots only.
     """
-    pool = F.when(F.exists(c, lambda y: y.share >= LEAST_SHARE), F.filter(c, lambda y: y.share >= LEAST_SHARE)).otherwise(c)
+    pool = F.when(F.exists(c, lambda y: y.share >= how.least_share), F.filter(c, lambda y: y.share >= how.least_share)).otherwise(c)
 
     def slot(acc: Column, w: Column) -> Column:
         left = F.filter(pool, lambda y: ~F.exists(acc, lambda p: p.label == y.label))
-        ranked = F.transform(left, lambda y: F.struct((-_worst(y, acc)).alias("l"), (w * y.dominance + (1 - w) * y.vividness).alias("s"), y.share.alias("share"), y.hex.alias("hex"), y.alias("y")))
+        ranked = F.transform(left, lambda y: F.struct((-_worst(y, acc, how)).alias("l"), (w * y.dominance + (1 - w) * y.vividness).alias("s"), y.share.alias("share"), y.hex.alias("hex"), y.alias("y")))
         best = F.array(F.array_max(ranked))
-        taken = F.filter(best, lambda b: b.isNotNull() & ((b.l > -3) | (F.size(acc) < FILLED)))
+        taken = F.filter(best, lambda b: b.isNotNull() & ((b.l > -3) | (F.size(acc) < how.filled)))
         return F.concat(acc, F.transform(taken, lambda b: b.y))
 
-    return F.aggregate(F.array(*[F.lit(w) for w in SLOTS]), F.filter(c, lambda y: F.lit(False)), slot)
+    return F.aggregate(F.array(*[F.lit(w) for w in how.slots]), F.filter(c, lambda y: F.lit(False)), slot)
 
 
 def bases(labelled: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -154,7 +186,7 @@ def solid(logo_pixels: DataFrame) -> DataFrame:
     return x.where(F.col("nth") % F.ceil(F.col("all") / LOGO["samples"]) == 0).select("poster", "y", "x", "r", "g", "b")
 
 
-def _assigned(base: Column, logo: Column, ladder: Column, extra: Column) -> Column:
+def _assigned(base: Column, logo: Column, ladder: Column, extra: Column, how: Rules) -> Column:
     """The base and five more colours, each apart from those before it as far as there are any.
 
     Identities take the logo's colours first, then the ladder's, those with a hue first; highlights the ladder's in
@@ -166,16 +198,16 @@ def _assigned(base: Column, logo: Column, ladder: Column, extra: Column) -> Colu
     def role(acc: Column, kind: Column) -> Column:
         so_far = acc.colours
         # the first of the logo's queue that isn't close to what there is; those before it are spent
-        fits = F.filter(F.transform(acc.queue, lambda q, i: F.struct(i.alias("i"), q.alias("q"))), lambda z: (kind == "identity") & ~F.exists(so_far, lambda p: colour.distance([p[c] for c in LAB], [z.q[c] for c in LAB]) < GAP))
+        fits = F.filter(F.transform(acc.queue, lambda q, i: F.struct(i.alias("i"), q.alias("q"))), lambda z: (kind == "identity") & ~F.exists(so_far, lambda p: colour.distance([p[c] for c in LAB], [z.q[c] for c in LAB]) < how.gap))
         spent = F.when(kind != "identity", 0).when(F.size(fits) > 0, F.get(fits, 0).i + 1).otherwise(F.size(acc.queue))
-        free = F.filter(F.transform(ladder, lambda y, i: F.struct(_worst(y, so_far).alias("level"), i.alias("i"), y.alias("y"))), lambda z: (z.level < 3) & ~F.array_contains(acc.used, z.i))
-        dull = lambda z: ((kind != "highlight") & (z.y.chroma < NEUTRAL)).cast("int")
+        free = F.filter(F.transform(ladder, lambda y, i: F.struct(_worst(y, so_far, how).alias("level"), i.alias("i"), y.alias("y"))), lambda z: (z.level < 3) & ~F.array_contains(acc.used, z.i))
+        dull = lambda z: ((kind != "highlight") & (z.y.chroma < how.neutral)).cast("int")
         ordered = F.array_sort(F.transform(free, lambda z: F.struct(z.level.alias("level"), dull(z).alias("dull"), z.i.alias("i"), z.y.alias("y"))))
-        strict = F.slice(F.filter(free, lambda z: z.level == 0), 1, ACCENTS)
-        lively = F.transform(strict, lambda z: F.struct(((1 - ACCENT_VIVID) * z.y.dominance + ACCENT_VIVID * (0.6 * _full(z.y.chroma, FULL["chroma"]) + 0.4 * z.y.distinct)).alias("s"), (-z.i).alias("n"), z.i.alias("i"), z.y.alias("y")))
+        strict = F.slice(F.filter(free, lambda z: z.level == 0), 1, how.accents)
+        lively = F.transform(strict, lambda z: F.struct(((1 - how.accent_vivid) * z.y.dominance + how.accent_vivid * (0.6 * _full(z.y.chroma, FULL["chroma"]) + 0.4 * z.y.distinct)).alias("s"), (-z.i).alias("n"), z.i.alias("i"), z.y.alias("y")))
         best = F.array_max(lively)
         rung = F.when((kind == "accent") & best.isNotNull(), F.struct(best.i.alias("i"), best.y.alias("y"))).otherwise(F.get(F.transform(F.slice(ordered, 1, 1), lambda z: F.struct(z.i.alias("i"), z.y.alias("y"))), 0))
-        spare = F.get(F.filter(extra, lambda y: _worst(y, so_far) < 3), 0)
+        spare = F.get(F.filter(extra, lambda y: _worst(y, so_far, how) < 3), 0)
         b, step = F.get(so_far, 0), 0.18 + 0.06 * F.size(so_far)
         light = colour.clip(b.ll + F.when(b.ll < 0.5, step).otherwise(-step), 0.02, 0.98)
         tint = F.struct(colour.to_hex(*colour.oklab_to_rgb(light, b.la, b.lb)).alias("hex"), light.alias("ll"), b.la.alias("la"), b.lb.alias("lb"), b.chroma.alias("chroma"), b.hue.alias("hue"), F.lit("derived").alias("source"))
@@ -189,7 +221,7 @@ def _assigned(base: Column, logo: Column, ladder: Column, extra: Column) -> Colu
     return F.aggregate(F.array(*[F.lit(k) for k in ("identity", "identity", "highlight", "highlight", "accent")]), start, role).colours
 
 
-def palette_v3(labelled: DataFrame, logos: DataFrame | None = None, detail: bool = False) -> DataFrame:
+def palette_v3(labelled: DataFrame, logos: DataFrame | None = None, detail: bool = False, how: Rules = RULES) -> DataFrame:
     """(poster, the six roles, sources, ladder, logo_colours) of clustered artworks, with the colours of their logos
     (poster, logo) where there are any. sources: base, logo, artwork or derived, by role. ``detail``: also ``colours``,
     the roles as structs, and ``logo``, what is known of the logo: its source (none, or unlocated where its own colours
@@ -201,8 +233,8 @@ def palette_v3(labelled: DataFrame, logos: DataFrame | None = None, detail: bool
     own = f"array<struct<hex: string, {', '.join(f'{x}: double' for x in (*LAB, 'chroma', 'hue'))}, source: string>>"
     g = g.join(logos, "poster", "left") if logos is not None else g.withColumn("logo", F.lit(None).cast(own))
     g = g.withColumn("logo", F.coalesce(F.col("logo").cast(own), F.array().cast(own)))
-    g = materialise(g.withColumn("ladder", _ladder(F.col("c"))), "ladders")
-    g = g.withColumn("roles", _assigned(F.col("base"), F.col("logo"), F.col("ladder"), F.col("c")))
+    g = materialise(g.withColumn("ladder", _ladder(F.col("c"), how)), "ladders")
+    g = g.withColumn("roles", _assigned(F.col("base"), F.col("logo"), F.col("ladder"), F.col("c"), how))
     out = [F.col("roles")[i].hex.alias(r) for i, r in enumerate(ROLES)]
     about = F.struct(F.when(F.size("logo") > 0, "unlocated").otherwise("none").alias("source"), F.col("logo.hex").alias("colours"))
     more = [F.col("roles").alias("colours"), about.alias("logo")] if detail else []
