@@ -297,6 +297,24 @@ def test_images_are_found_by_name_before_they_are_decoded(spark, tmp_path, monke
     assert plan == ["file", "ok", "y", "x", "r", "g", "b"]
 
 
+def test_report_of_a_folder(spark, tmp_path, capsys):
+    """All versions of each poster that can be decoded, the candidates of the second, and the summary."""
+    two = np.zeros((120, 80, 3))
+    two[:70], two[70:] = (150, 190, 220), (230, 110, 30)
+    (tmp_path / "in").mkdir()
+    png(tmp_path / "in" / "two.png", two)
+    png(tmp_path / "in" / "flat.png", np.zeros((120, 80, 3)) + (150, 190, 220))
+    (tmp_path / "in" / "bad.png").write_bytes(b"no image")
+    assert cli.main([f"file://{tmp_path}/out", "report", "--posters", f"file://{tmp_path}/in"]) == 0
+    summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert summary["posters"] == 2 and summary["mean_ms"] > 0 and set(summary) == {"posters", "changed_primary", "flagged", "mean_ms"}
+    rows = {r.file: r for r in spark.read.parquet(f"file://{tmp_path}/out/report").collect()}
+    assert rows["flat.png"].v1_primary_hex == rows["flat.png"].v2_primary_hex == rows["flat.png"].base == "#96BEDC" and "similar" in rows["flat.png"].flags
+    assert {rows["two.png"].v2_primary_hex, rows["two.png"].v2_secondary_hex} == {"#96BEDC", "#E66E1E"} and rows["two.png"].logo.source == "none"
+    found = spark.read.parquet(f"file://{tmp_path}/out/report-candidates").groupBy("poster").agg(F.count("*").alias("n"), F.collect_set("role").alias("r")).collect()
+    assert sorted((r.n, sorted(r.r)) for r in found) == [(1, ["primary"]), (2, ["primary", "secondary"])]
+
+
 def test_parts_of_images_cover_all_names(spark, tmp_path):
     for k in range(9):
         png(tmp_path / f"p{k}.png", np.zeros((2, 2, 3)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import thumbnail_url
 from .operators import clusters, pixels, roles, search
-from .plans import listed, refresh
+from .plans import listed, refresh, report
 from .plans.cut import materialise
 from .plans.store import Store
 from .schemas import KINDS, ROLES, TITLES
@@ -72,7 +72,7 @@ def colours_from(spark: SparkSession, folder: str) -> refresh.Colours:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tintlake")
     p.add_argument("store")
-    p.add_argument("command", choices=["seed", "sync", "process", "run", "prune", "stats", "tvdb"])
+    p.add_argument("command", choices=["seed", "sync", "process", "run", "prune", "stats", "report", "tvdb"])
     p.add_argument("action", nargs="?", choices=["seed", "process", "export", "run", "stats"], help="of tvdb")
     p.add_argument("--exports", default="exports")
     p.add_argument("--details", default="details")
@@ -107,6 +107,10 @@ def main(argv: list[str] | None = None) -> int:
         out = {"deleted": refresh.prune(store, a.size, a.include_adult)}
     elif a.command == "stats":
         out = {r.media_type: r.counts for r in search.stats(store.read("titles", TITLES)).collect()}
+    elif a.command == "report":
+        rows, candidates, out = report.report(spark, a.posters)
+        rows.write.parquet(f"{a.store}/report")
+        candidates.write.parquet(f"{a.store}/report-candidates")
     else:
         out = _tvdb(spark, store, a)
     print(json.dumps(out, sort_keys=True))

@@ -10,8 +10,8 @@ from .plans import listed, refresh
 from .plans.cut import new_folder
 from .plans.served import Served
 from .plans.store import Store
-from .queries import _DIRTY, _OPEN, _PARTS, _RANKED, _RES, _T, ROLES, TITLE_SCHEMA, TITLES, TVDB_SCHEMA, _gridded, _sql, part_titles, query, table, titles, tvdb
-from .operators import catalogue, postings, roles, tables
+from .queries import _DIRTY, _OPEN, _PARTS, _RANKED, _RES, _T, _V2, ROLES, TITLE_SCHEMA, TITLES, TVDB_SCHEMA, _gridded, _sql, part_titles, query, table, titles, tvdb
+from .operators import catalogue, palettes, postings, roles, tables
 from .sources import feeds
 from .streaming import jobs
 
@@ -198,3 +198,18 @@ def save_results_served(spark, d):
 def ladder_rows(spark, d):
     """The rungs of posters' ladders by the table function, clusters being coarse labels of one region each."""
     return tables.ladder_rows(roles.described(_gridded(spark, d).withColumn("region", F.lit(0))))
+
+
+# ---------------------------------------------------------------- the review of palettes
+
+_FEATURES = ("lightness", "chroma", "saturation", "distinctiveness", "contrast", "neutrality", "neutral_factor")
+
+
+@query(_V2 + """ SELECT k.poster, k.hex, round(k.coverage, 6) AS coverage, round(k.ll, 4) AS lightness, round(k.chroma, 4) AS chroma, round(k.saturation, 4) AS saturation, round(k.distinctiveness, 4) AS distinctiveness, round(k.contrast, 4) AS contrast,
+  round(k.neutrality, 3) AS neutrality, round(k.nf, 3) AS neutral_factor, CASE k.label WHEN p1.label THEN 'primary' WHEN q2.label THEN 'secondary' WHEN q3.label THEN 'tertiary' END AS role FROM k JOIN p1 USING (poster) JOIN q2 USING (poster) JOIN q3 USING (poster)""")
+def report_candidates(spark, d):
+    """The candidates of the second version's roles and what they were judged by, clusters being coarse labels."""
+    x = _gridded(spark, d)
+    rows = palettes.report_rows(palettes.palette_v2(x), x)
+    digits = {c: 3 if c.startswith("neutral") else 4 for c in _FEATURES}
+    return rows.select("poster", "hex", F.round("coverage", 6).alias("coverage"), *[F.round(c, n).alias(c) for c, n in digits.items()], "role")
