@@ -93,7 +93,7 @@ def export_stream_committed(spark, d):
     rows = catalogue.payloads(batches)
     for part in (F.col("batch") % 2 == 0, F.col("batch") % 2 == 1):
         rows.where(part).write.option("maxRecordsPerFile", 1).mode("append").parquet(f"{folder}/in")
-        taken = jobs.follow_payloads(spark, f"{folder}/in", f"{folder}/checkpoint", f"{folder}/acknowledged", f"{__name__}:refusing_target", jobs.Budget(max_files=200), folder=f"{folder}/out")
+        taken = jobs.follow_payloads(spark, f"{folder}/in", f"{folder}/checkpoint", f"{folder}/acknowledged", f"{__name__}:refusing_target", jobs.Budget(max_files=1), folder=f"{folder}/out")
     return batches.join(taken.select("batch"), "batch", "left_semi").select("kind", "tvdb_id", "batch")
 
 
