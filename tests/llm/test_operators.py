@@ -872,3 +872,29 @@ def test_line_runs_match_brute_force(spark, odd, none):
         assert sorted(map(str, ((x[0], x[1]) for x in got))) == sorted(map(str, ((d, want[(d, t)]) for d, t in rows)))
     assert line_dedup.dedup_lines(docs).columns == ["doc_id", "text", "n_lines", "n_lines_", "n_deleted"]
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_lines(odd).count() == odd.count()
+
+
+def shuffled(node):
+    """Most rows that an exchange of a finished plan wrote."""
+    kind = node.getClass().getSimpleName()
+    inner = "executedPlan" if kind == "AdaptiveSparkPlanExec" else "plan" if kind.endswith("QueryStageExec") else None
+    below = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    own = node.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+    return max([own, *map(shuffled, below)])
+
+
+def test_texts_that_lose_no_line_are_not_shuffled(spark, tmp_path):
+    run = "\n".join(text(10, i) for i in range(6))
+    rows = [(i, f"{text(30, 1000 + i)}\n{text(30, 3000 + i)}") for i in range(600)] + [(1000 + i, run) for i in range(5)] + [(None, run), (2000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with many deleted lines
+        got = line_dedup.dedup_lines(spark.read.parquet(f"{tmp_path}/docs"))
+        out = got.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {d: t if d is None or d < 1000 or t is None else "" for d, t in rows}
+    assert {r.doc_id: r.text for r in out} == want and len(out) == len(rows)
+    assert {r.n_deleted for r in out if r.doc_id is not None and 1000 <= r.doc_id < 2000} == {6} and sum(r.n_deleted for r in out) == 30
+    assert 0 < shuffled(got._jdf.queryExecution().executedPlan()) < 50

@@ -120,16 +120,18 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", te
     """
     with scratch() as keep:
         gone = keep(cut(deleted_lines(docs, min_words, doc_id, text).groupBy(*_KEY).agg(F.collect_set("line").alias("gone")), "line-gone"))
-    names = {c: fresh(docs, c) for c in ("d", "h", "gone", "n_lines", "n_deleted")}
+    names = {c: fresh(docs, c) for c in ("d", "h", "gone", "n_lines", "n_deleted", "maybe")}
+    # texts that surely lose no line aren't shuffled, whatever Spark joins the others with
+    x = sieved(docs, F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text))), gone.select(F.xxhash64(*_KEY).alias("k")), names["maybe"])
     gone = gone.select(F.col("doc").alias(names["d"]), F.col("text_hash").alias(names["h"]), F.col("gone").alias(names["gone"]))
-    x = docs.join(gone, F.col(doc_id).eqNullSafe(F.col(names["d"])) & (F.xxhash64(F.col(text)) == F.col(names["h"])), "left")
+    some = x.where(F.col(names["maybe"])).join(gone, F.col(doc_id).eqNullSafe(F.col(names["d"])) & (F.xxhash64(F.col(text)) == F.col(names["h"])), "left")
     lines, drop = F.split(F.col(text), "\n"), F.col(names["gone"])
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
-    cleaned = F.when(drop.isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
-    n_deleted = F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long")
-    same = [cleaned.alias(c) if c == text else F.col(c) for c in docs.columns]
-    return x.select(*same, n_lines.alias(names["n_lines"]), n_deleted.alias(names["n_deleted"]))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(names["n_lines"])
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    cleaned = F.when(drop.isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
+    n_deleted = F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long").alias(names["n_deleted"])
+    some = some.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns], n_lines, n_deleted)
+    return x.where(~F.col(names["maybe"])).select(*docs.columns, n_lines, F.lit(0).cast("long").alias(names["n_deleted"])).unionByName(some)
 
 
 def oracle(min_words: int = 50) -> str:
