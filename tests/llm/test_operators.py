@@ -874,13 +874,13 @@ def test_line_runs_match_brute_force(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_lines(odd).count() == odd.count()
 
 
-def shuffled(node):
-    """Most rows that an exchange of a finished plan wrote."""
+def shuffled(node, by=""):
+    """Most rows that an exchange of a finished plan, dealt by a column ``by``, wrote."""
     kind = node.getClass().getSimpleName()
     inner = "executedPlan" if kind == "AdaptiveSparkPlanExec" else "plan" if kind.endswith("QueryStageExec") else None
     below = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
-    own = node.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
-    return max([own, *map(shuffled, below)])
+    own = node.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" and by in node.outputPartitioning().toString() else 0
+    return max([own, *(shuffled(x, by) for x in below)])
 
 
 def test_texts_that_lose_no_line_are_not_shuffled(spark, tmp_path):
@@ -898,3 +898,17 @@ def test_texts_that_lose_no_line_are_not_shuffled(spark, tmp_path):
     assert {r.doc_id: r.text for r in out} == want and len(out) == len(rows)
     assert {r.n_deleted for r in out if r.doc_id is not None and 1000 <= r.doc_id < 2000} == {6} and sum(r.n_deleted for r in out) == 30
     assert 0 < shuffled(got._jdf.queryExecution().executedPlan()) < 50
+
+
+def test_runs_of_a_text_in_most_documents_are_not_one_tasks(spark, monkeypatch):
+    rows = [(i, i * 7, 0, 0, 0, 5, 1, 1) for i in range(1500)] + [(None, 3, 0, 0, 0, 6, 1, 1), (2001, 4, 0, 0, 0, 6, 1, 1), (2002, 5, 0, 0, 0, 8, 1, 1)]
+    level = spark.createDataFrame(rows, "doc long, text_hash long, stretch long, line int, at int, rank long, ahead int, behind int")
+    got = line_dedup._later_copies(level, 1)
+    assert sorted(tuple(r) for r in got.collect()) == [*((i, i * 7, 0, 0) for i in range(1, 1500)), (2001, 4, 0, 0)]
+    assert shuffled(got._jdf.queryExecution().executedPlan(), "r1#") < 100
+    r = random.Random(4)
+    pool = [text(r.randint(2, 9), 300 + i) for i in range(6)]
+    rows = [(i, "\n".join(r.choices(pool, k=r.randint(1, 9)))) for i in range(30)]
+    monkeypatch.setattr(line_dedup, "_MANY", 2)  # large and small intervals in one table
+    want = brute_lines(rows, 12)
+    assert sorted((x.doc_id, x.text) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()) == sorted((d, want[(d, t)]) for d, t in rows)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, fresh, scratch, sieved
 
 _KEY = ("doc", "text_hash")
+#: An interval of more runs than _MANY, and more than a _FEW-th of all, isn't shuffled; there are fewer than _FEW.
+_MANY, _FEW = 1000, 10_000
 
 
 def _once(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -104,10 +106,18 @@ def _later_copies(level: DataFrame, size: int) -> DataFrame:
     for name, at in (("r1", "from"), ("r2", "tail")):
         own = ranks.select(F.col("doc").alias("d"), F.col("text_hash").alias("h"), F.col("at").alias("a"), F.col("rank").alias(name))
         runs = runs.join(own, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col(at) == F.col("a"))).drop("d", "h", "a")
-    runs = runs.withColumn("n", F.col("to") - F.col("from")).withColumn("where", F.struct(F.col("doc").isNotNull(), "doc", "text_hash", "from"))
+    runs = runs.withColumn("n", F.col("to") - F.col("from")).withColumn("where", F.struct(F.col("doc").isNotNull().alias("known"), "doc", "text_hash", "from"))
+    runs = cut(runs, "line-places")
     # the interval of each run, and its first occurrence; a null document comes first
-    intervals = runs.groupBy("n", "r1", "r2").agg(F.min("where").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    return runs.join(intervals, ["n", "r1", "r2"]).where(~F.col("where").eqNullSafe(F.col("first"))).select(*_KEY, "from", "to")
+    same = ["n", "r1", "r2"]
+    intervals = cut(runs.groupBy(*same).agg(F.min("where").alias("first"), F.count("*").alias("times")).where("times > 1"), "line-intervals")
+    # one key's runs would be one task's; intervals of so many are few, and sent to where their runs are
+    many = max(_MANY, runs.count() // _FEW)
+    large = F.broadcast(intervals.where(F.col("times") > many).select(*same, F.col("first").alias("large")))
+    runs = runs.join(large, same, "left")
+    rest = runs.where("large IS NULL").drop("large").join(intervals.where(F.col("times") <= many).drop("times"), same)
+    found = runs.where("large IS NOT NULL").withColumnRenamed("large", "first").unionByName(rest)
+    return found.where(~F.col("where").eqNullSafe(F.col("first"))).select(*_KEY, "from", "to")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
