@@ -38,13 +38,27 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is run inside deletes its shuffle files at its end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there, and later uses don't compute it again.
 
-    An executor that is lost takes nothing with it, as the files are not its own.
+    An executor that is lost takes nothing with it, as the files are not its own. The shuffles of the write are deleted
+    when it ends; without that they would lie on disk until the driver's next garbage collection.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.materialised_at = path
     return out
