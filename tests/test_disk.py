@@ -11,7 +11,7 @@ from tintlake.plans import cut
 
 #: Queries, and what they may shuffle: rows by these columns.
 ONCE = {
-    "palette_v3": {"l_partkey", "of_"}, "compare_palettes": {"l_partkey"},
+    "palette_v3": {"l_partkey", "of_"}, "compare_palettes": {"l_partkey"}, "report_summary": {"l_partkey"},
 }
 
 
