@@ -209,7 +209,6 @@ _FEATURES = ("lightness", "chroma", "saturation", "distinctiveness", "contrast",
   round(k.neutrality, 3) AS neutrality, round(k.nf, 3) AS neutral_factor, CASE k.label WHEN p1.label THEN 'primary' WHEN q2.label THEN 'secondary' WHEN q3.label THEN 'tertiary' END AS role FROM k JOIN p1 USING (poster) JOIN q2 USING (poster) JOIN q3 USING (poster)""")
 def report_candidates(spark, d):
     """The candidates of the second version's roles and what they were judged by, clusters being coarse labels."""
-    x = _gridded(spark, d)
-    rows = palettes.report_rows(palettes.palette_v2(x), x)
+    rows = palettes.report_rows(None, _gridded(spark, d))
     digits = {c: 3 if c.startswith("neutral") else 4 for c in _FEATURES}
     return rows.select("poster", "hex", F.round("coverage", 6).alias("coverage"), *[F.round(c, n).alias(c) for c, n in digits.items()], "role")
