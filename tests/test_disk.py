@@ -11,7 +11,7 @@ from tintlake.plans import cut
 
 #: Queries, and what they may shuffle: rows by these columns.
 ONCE = {
-    "palette_v3": {"l_partkey", "of_"}, "compare_palettes": {"l_partkey"}, "report_summary": {"l_partkey"}, "report_candidates": {"l_partkey"}, "review_flags_of_labels": {"l_partkey"}, "review_flags": {"l_partkey"}, "palette_v2": {"l_partkey"}, "ladder_rows": {"l_partkey", "partition_by_0"},
+    "palette_v3": {"l_partkey", "of_"}, "compare_palettes": {"l_partkey"}, "report_summary": {"l_partkey"}, "report_candidates": {"l_partkey"}, "review_flags_of_labels": {"l_partkey"}, "review_flags": {"l_partkey"}, "palette_v2": {"l_partkey"}, "ladder_rows": {"l_partkey", "partition_by_0"}, "role_palette_of_labels": {"l_partkey"},
 }
 
 
