@@ -68,3 +68,11 @@ def test_a_change_leaves_other_files_as_they_are(spark, tmp_path):
     assert len(got) == 1002 and got["movie", 250].attempts == 1 and got["movie", 251].status == "no_poster" and got["movie", 252].status == "done" and got["tv", 7].status == "error"
     assert served.change(results.where("false"), catalogue.save) == 0
     assert served.change(results, lambda t, n: t.withColumn("title", F.lit("x"))) == 3 and served.read().where("title = 'x'").count() == 102
+
+
+def test_a_directory_takes_no_more_than_its_rows(spark, tmp_path):
+    served = Served(spark, f"file://{tmp_path}/t", span=100)
+    served.publish(title_rows(spark, [("movie", i) for i in range(1, 501)]))
+    sizes = [f.stat().st_size for f in Path(tmp_path / "t").rglob("*.parquet")]
+    assert len(sizes) == 6 and max(sizes) < 50_000  # the filter of the ids is as large as 100 ids need
+    assert [r.tmdb_id for r in served.get("movie", 321).collect()] == [321]
