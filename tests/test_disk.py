@@ -38,7 +38,7 @@ def test_pixels_are_shuffled_once(spark, sf, name):
 def test_shuffles_of_a_written_table_are_gone(spark):
     files = lambda: {b for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in b}
     before = files()
-    cut.materialise(spark.range(1000).repartition(3, "id"), "t")
+    cut.materialise(spark.range(1000).repartition(3, "id"), "t", tidy=True)
     assert not {f for f in files() - before if f.endswith(".data")}
 
 

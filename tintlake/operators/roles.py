@@ -172,7 +172,7 @@ def logo_colours(labelled: DataFrame, poster_pixels: DataFrame) -> DataFrame:
     g = g.select("poster", F.array_sort(F.transform(fit, lambda z: F.struct((-score(z)).alias("s"), z.c.hex.alias("hex"), z.c.alias("c")))).alias("q"))  # six at most
     two = F.aggregate("q", F.transform(F.filter("q", lambda y: F.lit(False)), lambda y: y.c), lambda acc, y: F.when((F.size(acc) < 2) & (_worst(y.c, acc) == 0), F.array_append(acc, y.c)).otherwise(acc))
     # written, so that the logos' pixels aren't on disk beside the posters'; a poster has two rows at most
-    g = materialise(g.select("poster", two.alias("two")), "logo-clusters").select("poster", F.posexplode("two").alias("place", "c"))
+    g = materialise(g.select("poster", two.alias("two")), "logo-clusters", tidy=True).select("poster", F.posexplode("two").alias("place", "c"))
     seen = px.with_oklab(poster_pixels.select("poster", "r", "g", "b")).join(g, "poster")
     near = colour.distance([F.col(c) for c in LAB], [F.col(f"c.{c}") for c in LAB]) < f["near"]
     there = seen.groupBy("poster", "place").agg((F.count_if(near) / F.count("*")).alias("present"), F.first("c").alias("c")).where(F.col("present") >= f["present"])

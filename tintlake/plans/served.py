@@ -61,7 +61,7 @@ class Served:
         """Replaces the titles of the directories that ``incoming`` (media_type, tmdb_id, ...) falls into by ``f`` of them
         and incoming; how many directories that were. ``f`` may add keys of incoming only."""
         with scratch():
-            incoming = materialise(incoming, "served-incoming")
+            incoming = materialise(incoming, "served-incoming", tidy=True)
             # a row per directory: the number of ids over the span
             touched: dict[str, list[int]] = {}
             for r in incoming.select("media_type", self._shard(F.col("tmdb_id")).alias("shard")).distinct().collect():
@@ -72,5 +72,5 @@ class Served:
             for media_type, shards in touched.items():
                 here = here | ((F.col("media_type") == media_type) & F.col("shard").isin(shards))
             old = self.read().where(here).select(*self.schema.names)
-            self._write(materialise(f(old, incoming).select(*self.schema.names), "served-changed"))
+            self._write(materialise(f(old, incoming).select(*self.schema.names), "served-changed", tidy=True))
         return sum(map(len, touched.values()))
